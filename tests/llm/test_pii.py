@@ -1,0 +1,56 @@
+import re
+
+from variform.llm.pii import find_pii, redact
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        s += x - 9 if x > 9 else x
+    return s % 10 == 0
+
+
+def base(text):
+    out = []
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0])):
+            out.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(digits(m[0])) <= 15:
+            out.append((m.start(), 3, m.end(), "phone"))
+    return sorted(out)
+
+
+TEXTS = [
+    None, "", "no data", "a@b.c_d@e.f g.h@i", "x@y.z@w.v", "1.2.3.4.5.6.7.8 and 300.1.1.1 00255.0.0.001 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112",
+    "é😀 mail me@x.org 😀 +1 (555) 123-4567.", "+1", "++12345678901", "card 5500005555555559 ip 10.0.0.1", "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000",
+    "1 " * 30_000, "a.b" * 30_000, "a" * 100_000 + "@" + "b." * 20_000 + "c", "9" * 50_000, "1." * 40_000, "+1" + " " * 50_000, "0000000000000000000000001.2.3.4",
+]
+
+
+def test_base_spans_equal_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for r in find_pii(df).collect():
+        got = [(s.start, s.ord, s.end, s.kind) for s in r.spans if s.ord < 4]
+        assert got == base(TEXTS[r.doc_id] or ""), r.doc_id
+
+
+def test_iban_context_and_order(spark):
+    df = spark.createDataFrame([(1, TEXTS[11], "x")], "doc_id long, text string, spans string")
+    spans = find_pii(df).first().spans
+    assert [s.text for s in spans if s.kind == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    assert spans[0].score > 0.85
+
+
+def test_redact_and_empty(spark):
+    df = spark.createDataFrame([(1, TEXTS[7], "k"), (2, None, "k")], "doc_id long, text string, kind string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    assert got == {1: "é😀 mail <EMAIL> 😀 <PHONE>.", 2: None}
+    assert find_pii(df.limit(0)).count() == 0
