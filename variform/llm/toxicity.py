@@ -1,12 +1,12 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-The lower-cased words of a whole text are hashed into buckets, and a document is the set of its buckets. Besides a
-weight, every kept bucket has a small factor vector, so the model adds w_i of each term and <v_i, v_j> of each pair
+The lower-cased words of a whole text and their first four letters are hashed into buckets, and a document is the
+set of its buckets. Besides a weight, every kept bucket has a small factor vector, so the model adds w_i of each term and <v_i, v_j> of each pair
 that occurs together: pairs such as an insult and a group mention score higher than the sum of their parts.
 
 The model is fitted on a bounded sample of labelled rows (``sample_docs``), drawn by a hash of the identifier; only
-buckets that at least ``min_docs`` sample rows have are kept, so words seen once never score. Minority labels are
-weighted up to half of the loss's mass times ``balance``.
+buckets are kept that at least ``min_docs`` sample rows have and whose share among the labels differs by ``min_z``
+standard errors, so that chance words never score.
 
 Defined results: null and empty texts get the score of a document without terms; rows whose label is null are not
 learned from; without a learned row of both labels the score is the share of toxic ones (0 if none); repeated rows
@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of the learned sample, and of the model.
-SAMPLE_DOCS, HASH_BITS, FACTORS = 12_000, 18, 8
-MIN_DOCS = 8
+SAMPLE_DOCS, HASH_BITS, FACTORS = 12_000, 30, 8
+MIN_DOCS, MIN_Z = 6, 4.5
 _WORD = re.compile(r"[^\W_]+")
 
 
 def buckets(text: str | None, bits: int = HASH_BITS) -> np.ndarray:
     """The set of hashed terms of a whole text."""
     words = set(_WORD.findall((text or "").lower()))
+    words |= {"^" + w[:4] for w in words}
     mask = (1 << bits) - 1
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8")) & mask for w in words), dtype=np.int32, count=len(words)))
 
@@ -44,21 +45,31 @@ class FactorizationMachine:
     def __init__(self, bits: int = HASH_BITS, factors: int = FACTORS, seed: int = 7):
         self.bits, self.factors, self.seed = bits, factors, seed
         self.bias = -30.0
-        self.index = np.full(1 << bits, -1, dtype=np.int32)
-        self.w = np.zeros(1)
-        self.v = np.zeros((1, factors))
-
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, min_docs: int = MIN_DOCS, epochs: int = 12, rate: float = 0.1, l2: float = 2e-5, batch: int = 256) -> FactorizationMachine:
+        self.kept = np.zeros(0, dtype=np.int64)
+        self.w = np.zeros(0)
+        self.v = np.zeros((0, factors))
+
+    def known(self, terms: np.ndarray) -> np.ndarray:
+        """Positions of the kept buckets among terms."""
+        if not len(self.kept):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.kept, terms), len(self.kept) - 1)
+        return at[self.kept[at] == terms]
+
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, epochs: int = 40, rate: float = 0.3, l2: float = 1e-6, batch: int = 256) -> FactorizationMachine:
         rng = np.random.default_rng(self.seed)
         share = float(labels.mean()) if len(labels) else 0.0
         if share in (0.0, 1.0):
             self.bias = 30.0 if share else -30.0
             return self
-        seen = np.bincount(np.concatenate(docs), minlength=1 << self.bits)
-        kept = np.flatnonzero(seen >= min_docs)
-        self.index[kept] = np.arange(len(kept))
-        rows = [self.index[d][self.index[d] >= 0] for d in docs]
-        n = len(kept)
+        terms, back, seen = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+        toxic = np.bincount(back, np.repeat(labels, [len(d) for d in docs]), len(terms))
+        n1, n0 = labels.sum(), (1 - labels).sum()
+        p = seen / len(labels)
+        z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        self.kept = terms[(seen >= min_docs) & (np.abs(z) >= min_z)]
+        rows = [self.known(d) for d in docs]
+        n = len(self.kept)
         self.bias = float(np.log(share / (1 - share)))
         self.w, self.v = np.zeros(n), rng.normal(0, 0.01, (n, self.factors))
         gw, gv, gb = np.full(n, 1e-8), np.full((n, self.factors), 1e-8), 1e-8
@@ -87,8 +98,7 @@ class FactorizationMachine:
 
     def score(self, terms: np.ndarray) -> float:
         """Probability of label 1 for a set of buckets."""
-        ids = self.index[terms]
-        ids = ids[ids >= 0]
+        ids = self.known(terms)
         v = self.v[ids]
         z = self.bias + self.w[ids].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
