@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -77,8 +77,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) of which the document holds the item's text."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op8_toxicity, op9_pii)
+    f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op8_toxicity, op9_pii, op10_decontaminate)
 }
 
 ORACLE: dict[str, str] = {
