@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, minhash_dedup, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with two-word shingle similarity of 0.8 or more."""
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -83,7 +88,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op8_toxicity, op9_pii, op10_decontaminate)
+    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op8_toxicity, op9_pii, op10_decontaminate)
 }
 
 ORACLE: dict[str, str] = {
