@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, minhash_dedup, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, pii, sentencepiece_bpe, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of line runs of 50 words or more."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = language_id.held_out("doc_id", 3, 1)
@@ -88,7 +94,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op8_toxicity, op9_pii, op10_decontaminate)
+    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_exact_dedup, op4_url_filters, op5_sentencepiece, op6_language_id, op7_line_dedup, op8_toxicity, op9_pii, op10_decontaminate)
 }
 
 ORACLE: dict[str, str] = {
@@ -123,4 +129,25 @@ ORACLE: dict[str, str] = {
         SELECT cap.page_id, best.p IS NOT NULL AS blocked, best.p AS matched_pattern,
                strftime(DATE '2024-01-01' + CAST(best.d0 AS INTEGER), '%Y-%m-%d') AS valid_from, coalesce(n, 0) AS n_matches
         FROM cap LEFT JOIN best USING (page_id)""",
+    # A run counts if a window of it does that has 50 words at least and is the shortest from its start or to its end.
+    "op7_line_dedup": r"""
+        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS line FROM docs),
+        n AS (SELECT doc_id, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+        c AS (SELECT doc_id, pos, w, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS cw FROM n),
+        win AS (
+            SELECT 1 AS kind, a.doc_id, a.pos AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos
+            WHERE b.cw - a.cw + a.w >= 50 AND b.cw - b.w - a.cw + a.w < 50
+            UNION ALL
+            SELECT 2, a.doc_id, a.pos, b.pos FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos
+            WHERE b.cw - a.cw + a.w >= 50 AND b.cw - a.cw < 50),
+        keyed AS (SELECT kind, doc_id, s, e, array_to_string(list_slice(ls, s + 1, e + 1), chr(10)) AS k FROM win JOIN docs USING (doc_id)),
+        later AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY kind, k ORDER BY doc_id, s) AS r FROM keyed),
+        gone AS (SELECT DISTINCT doc_id, CAST(unnest(range(s, e + 1)) AS INTEGER) AS pos FROM later WHERE r > 1),
+        kept AS (
+            SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text,
+                   count(*) AS n_lines, count(gone.pos) AS n_removed
+            FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+        SELECT d.doc_id, kept.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
 }
