@@ -206,7 +206,8 @@ def _merge_group(rows: list[dict], header: VariantHeader, strict_filter: bool) -
                 if f.number == "G":
                     place = _genotype_place(i, len(v), m, ploidy)
                 else:
-                    place = m[i + 1] - 1 if f.number == "A" else m[i] if i < len(m) else None
+                    own = i + 1 if f.number == "A" else i
+                    place = m[own] - (f.number == "A") if own < len(m) else None
                 if place is None or place >= size:
                     continue
                 if f.type in ("Integer", "Float") or new[place] is None:
