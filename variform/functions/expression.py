@@ -256,6 +256,8 @@ class Compiler:
             return self.arithmetic("-", Site(F.array(F.lit(0.0)), NUM), self.compile(node.args[0]))
         if node.kind == "call":
             return self.call(node.value.upper(), node.args)
+        if node.args[0].kind == "file":
+            raise ExpressionError("a value file stands on the right")
         left, right = (self.compile(a) for a in node.args)
         op = node.value
         if op in ("&", "&&", "|", "||"):
@@ -431,8 +433,6 @@ class Compiler:
             raise ExpressionError("a condition cannot be compared")
         if isinstance(b, tuple):
             return self.value_set(op, a, b[1])
-        if isinstance(a, tuple):
-            raise ExpressionError("a value file stands on the right")
         for x, y, flip in ((a, b, op), (b, a, op)):
             if isinstance(x, Matrix) and x.kind == GT:
                 if not (isinstance(y, Site) and y.kind == STR and isinstance(y.literal, tuple)):

@@ -174,6 +174,9 @@ def annotate_intervals(
     Array fields in append mode take the values of all overlapping intervals, by serial. keep: records to annotate (the
     others stay as they are)."""
     _, transfers = parse_columns(columns)
+    for t in transfers:
+        if t.kind == "INFO" and t.dest and t.dest not in header.infos:
+            raise HeaderError(f"INFO/{t.dest} is not declared")
     appended = [t for t in transfers if t.mode in ("=", ".=")]
     matches = match_intervals(df, header, sources, min_overlap, first=not appended)
     names = sorted({t.source for t in transfers})
@@ -198,9 +201,7 @@ def annotate_intervals(
             current = F.when(F.size("filters") > 0, F.col("filters"))
             out = out.withColumn("filters", F.coalesce(write(t.mode, F.split(source, ";"), missing, current), F.array().cast("array<string>")))
         elif t.kind == "INFO" and t.dest:
-            f = header.infos.get(t.dest)
-            if f is None:
-                raise HeaderError(f"INFO/{t.dest} is not declared")
+            f = header.infos[t.dest]
             if t.mode in ("=", ".="):
                 if f.type == "Flag":
                     raise HeaderError("a flag cannot be appended to")

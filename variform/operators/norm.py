@@ -417,7 +417,8 @@ def check_reference(df: DataFrame, fasta: DataFrame, mode: str = "e", chunk: int
         raise ValueError(f"unknown mode {mode}")
     place = F.array_position(F.transform("alts", lambda a: F.upper(a)), real).cast("int")
     rows = rows.withColumns({"_real": real, "_bad": bad & F.col("context").isNotNull(), "_place": F.when(bad, place).otherwise(0)})
-    swapped = F.transform("alts", lambda a, i: F.when(i == F.col("_place") - 1, F.col("ref")).otherwise(a))
+    n = F.greatest(F.size("alts"), F.lit(1))
+    swapped = F.concat(F.slice("alts", F.lit(1), F.greatest(F.col("_place") - 1, F.lit(0))), F.array("ref"), F.slice("alts", F.col("_place") + 1, n))
     patched = F.filter("alts", lambda a: F.upper(a) != F.col("_real"))
     alts = F.when(~F.col("_bad"), F.col("alts")).when(F.col("_place") > 0, swapped).otherwise(patched)
     out = {"alts": alts, "ref": F.when(F.col("_bad"), F.col("_real")).otherwise(F.col("ref"))}

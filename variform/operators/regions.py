@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from variform.functions import variant
 
 LAST = 2147483647
-#: Up to so many merged intervals become a predicate, which reaches the scan; more are joined.
-INLINE = 256
+#: Up to so many merged intervals become comparisons, which reach the scan; up to INLINE one literal array; more are joined.
+COMPARED, INLINE = 16, 256
 
 
 def parse_region(text: str, contigs: Iterable[str] = ()) -> tuple[str, int, int]:
@@ -79,8 +79,14 @@ def span(mode: str, info_end: Column | None = None) -> tuple[Column, Column]:
 def overlap(regions: Iterable[tuple[str, int, int]], mode: str, info_end: Column | None = None) -> Column:
     """Two-valued predicate: does the record overlap any region?"""
     start, end = span(mode, info_end)
+    regions = merged(regions)
+    if len(regions) > COMPARED:
+        listed = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, lo, hi in regions])
+        place = F.struct(F.col("chrom").alias("c"), start.alias("s"), end.alias("e"))
+        hit = variant.let(place, lambda p: F.exists(listed, lambda r: (r["c"] == p["c"]) & (p["s"] <= r["hi"]) & (p["e"] >= r["lo"])))
+        return F.coalesce(hit, F.lit(False))
     out = F.lit(False)
-    for chrom, lo, hi in merged(regions):
+    for chrom, lo, hi in regions:
         out = out | ((F.col("chrom") == chrom) & (start <= hi) & (end >= lo))
     return F.coalesce(out, F.lit(False))
 
