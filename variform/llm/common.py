@@ -62,10 +62,10 @@ def checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def crc32_text(col: Column | str) -> Column:
-    """crc32 of a value's text form."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.crc32(c.cast("string").cast("binary"))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows: documents are long, and batches wait in memory on both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 class BitFilter:

@@ -8,9 +8,10 @@ below the threshold are dropped; all others are confirmed on the full sets.
 
 A bucket's pairs are never listed. Each bucket's hub (the member whose buckets are the largest, as the common origin
 of a group of copies is) is paired with every member, which takes one row a member. Confirmed links are joined to
-components. Only where a bucket then still holds several components are its remaining pairs looked at, between
-components alone, and only those that an exact bound allows: shingles that no other member has cannot be shared, so
-a pair can share at most the smaller rest. No pair of different components in a bucket is left out.
+components. Only the members of buckets that then still hold several components are looked at again, by an exact
+search that leaves out no link between components: every set's shingles are put in one order, rarest first; two
+linked sets share a shingle among the first of both, and where it stands bounds what they can share in all. Shingles
+whose holders all have one component are dropped, and holders of a shingle's largest component are only met by others.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. Two nodes at the threshold are missed by all bands
 with a chance of (1 - s**rows)**bands: 3e-6 at 0.8 with 32 x 5.
@@ -26,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, drop_path, materialize
+from .common import BitFilter, drop_path, materialize, small_batches
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 #: How far below the threshold an odd-sketch estimate must be to drop a candidate (over five standard errors).
 SLACK = 0.25
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd mixing constants
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,6 +134,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, bands: int =
                 names=["id", "n", "set_id", "keys", "sketch"],
             )
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 
@@ -221,19 +223,30 @@ class NearDuplicates:
         return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
     def contested_pairs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs of different components in buckets of three or more that the exact bound allows."""
+        """The pairs between components, of nodes in buckets of three or more that hold several, that can be links.
+
+        With shingles in one order, rarest first, a link's first shared shingle at places i and j (from 0) leaves at most
+        1 + min(|a| - 1 - i, |b| - 1 - j) shared ones."""
+        p = self.percent
         rows = members.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
         split = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-        rows, _ = materialize(rows.join(split, "key"), "contested")
-        shingles = self.sets(rows).select("node", F.explode("shingles").alias("h"))
-        alone = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-        # link only if the smaller rest r of the two has (100 + percent) * r >= percent * (|a| + |b|)
-        rows = rows.join(alone, "node", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-        rows, _ = materialize(rows.where(F.col("rest") * 100 >= F.col("n") * self.percent).drop("own"), "bounded")
-        side = lambda s: rows.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "rest")])
-        allowed = F.least("rest_a", "rest_b") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent
-        pairs = side("_a").join(side("_b"), "key").where((F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & allowed)
-        return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+        nodes, _ = materialize(rows.join(split, "key").select("node", "n", "label").distinct(), "contested")
+        shingles = self.sets(nodes).select("node", F.explode("shingles").alias("h"))
+        common = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        held = shingles.join(common, "h").join(nodes, "node")
+        # shingles of one holder come first in the order; they need no rows
+        w = Window.partitionBy("node")
+        first = held.select(
+            "node", "n", "label", "h", (F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "h")) - 1).alias("i")
+        ).where((F.col("n") - F.col("i")) * 100 >= F.col("n") * p)
+        first, _ = materialize(first, "first")
+        largest = first.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1")
+        mixed, _ = materialize(first.join(largest.drop("k"), "h"), "mixed")
+        side = lambda s, df: df.select("h", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "i")])
+        a, b = side("_a", mixed.where("label != most")), side("_b", mixed)
+        shared = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+        pairs = a.join(b, "h").where((F.col("label_a") != F.col("label_b")) & (shared * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p))
+        return pairs.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
 
     def labels(self) -> DataFrame:
         """(node, label) of all linked nodes."""
