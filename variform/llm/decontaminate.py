@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Items in a block: at least so many, and at most so many blocks in a list.
@@ -82,42 +84,39 @@ class Bm25Index:
         self.most = np.array([max(xs) for _, xs in self.lists] or [0.0])
 
     def wand(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with score >= threshold for a query of distinct terms."""
-        cursors = [[self.lists[t][0][0], 0, t] for t in query]  # item, place in the list, term
+        """All (item, score) with score >= threshold for a query of distinct terms.
+
+        Blocks whose largest impacts do not sum to the threshold are never entered; in the others, items are reached
+        in order by pivots whose block impacts do."""
         found, slack = [], threshold - 1e-9
-        end = len(self.items)
-        while True:
-            cursors = [c for c in cursors if c[0] < end]
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += self.most[c[2]]
-                if bound >= slack:
-                    pivot = k
+        bounds = self.largest[query].sum(axis=0) if query else np.zeros(0)
+        for k in np.flatnonzero(bounds >= threshold - 1e-4).tolist():
+            end = min((k + 1) * self.block, len(self.items))
+            cursors = [[0, 0, t, bound] for t in query if (bound := self.by_block[t][k]) > 0]  # item, place, term, bound
+            for c in cursors:
+                self._seek(c, k * self.block)
+            while True:
+                cursors = [c for c in cursors if c[0] < end]
+                cursors.sort()
+                bound, pivot = 1e-6, -1
+                for i, c in enumerate(cursors):
+                    bound += c[3]
+                    if bound >= slack:
+                        pivot = i
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                return found
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # the largest impacts on the pivot item's block; below the threshold, nothing in it can be found
-            # before another list joins in
-            k = item // self.block
-            if sum([self.by_block[c[2]][k] for c in cursors[: pivot + 1]]) >= slack - 1e-6:
+                item = cursors[pivot][0]
                 score = 0.0
-                for c in cursors[: pivot + 1]:
-                    self._seek(c, item)
+                for c in cursors:
+                    if c[0] < item:
+                        self._seek(c, item)
                     if c[0] == item:
                         score += self.lists[c[2]][1][c[1]]
+                        self._seek(c, item + 1)
                 if score >= slack:
                     found.append((item, score))
-                past = item + 1
-            else:
-                past = (k + 1) * self.block
-                if pivot + 1 < len(cursors):
-                    past = min(past, cursors[pivot + 1][0])
-            for c in cursors[: pivot + 1]:
-                self._seek(c, past)
+        return found
 
     def _seek(self, cursor: list, item: int) -> None:
         ids = self.lists[cursor[2]][0]
@@ -200,6 +199,7 @@ def find_items(docs: DataFrame, index: Bm25Index, id_type: T.DataType, text_col:
                 made.append([{"item_id": ix.items[i][0], "score": round(s, 6), "overlap": round(o, 6)} for i, (s, o) in sorted(best.items())])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(made, arrow)], names=[*cols, "matches"])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 
