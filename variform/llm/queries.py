@@ -53,8 +53,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    tokens = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
-    back = sentencepiece_bpe.decode(tokens, model)
+    back = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"], decoded_col="text")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

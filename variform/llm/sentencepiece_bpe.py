@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MARK = "▁"  # stands for a blank
 NORMAL, BYTE, UNKNOWN = 1, 6, 2
 #: Words kept per Python worker; the table is emptied when full, so memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words longer than this are encoded but not kept.
 CACHE_CHARS = 64
 
@@ -79,7 +81,7 @@ class PieceMerges:
         """Whether merging a + b ends as exactly (a, b)."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._pairs[a, b] = self._apart(a, b)
         return known
@@ -102,6 +104,22 @@ class PieceMerges:
                 j += 1
 
 
+class _Kept(dict):
+    """ids of words, as bytes, encoded when they are first met."""
+
+    def __init__(self, walk, prefix: str):
+        super().__init__()
+        self.walk, self.prefix = walk, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.asarray(self.walk(self.prefix + word), dtype=np.int32).tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class SentencePieceBpe:
     """Encoder and decoder over the vocabulary of a SentencePiece BPE model file."""
 
@@ -128,6 +146,10 @@ class SentencePieceBpe:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.byte_of[i] = int(p.piece[3:5], 16)
         self.surface = [p.piece if p.type == NORMAL else model.trainer_spec.unk_surface if p.type == UNKNOWN else "" for p in model.pieces]
+        for i, b in list(self.byte_of.items()):
+            if b < 0x80:  # a character by itself, whatever stands beside it
+                self.surface[i] = chr(b)
+                del self.byte_of[i]
         self.merges = PieceMerges(self.pieces, [p.score for p in model.pieces])
         self.automaton = ahocorasick.Automaton()
         for piece in self.pieces:
@@ -136,7 +158,10 @@ class SentencePieceBpe:
         self.automaton.make_automaton()
         crossing = any(MARK in p.lstrip(MARK) for p in self.pieces)
         self._words = re.compile(r"(?s).+" if crossing else rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self._cache: dict[str, np.ndarray] = {}
+        # lines can be cut apart where no piece holds a line feed
+        self._by_line = self.dummy_prefix and not crossing and not any("\n" in p for p in self.pieces)
+        self._feed = np.array([self.byte_ids[10]], dtype=np.int32).tobytes()
+        self._marked, self._plain = _Kept(self._walk, MARK), _Kept(self._walk, "")
 
     def _walk(self, text: str) -> list[int]:
         """ids of a text: the table of last tokens, then the way back."""
@@ -170,22 +195,30 @@ class SentencePieceBpe:
         out.reverse()
         return out
 
-    def _word(self, word: str) -> np.ndarray:
-        ids = np.asarray(self._walk(word), dtype=np.int32)
-        if len(word) <= CACHE_CHARS:
-            if len(self._cache) >= CACHE_WORDS:
-                self._cache.clear()
-            self._cache[word] = ids
-        return ids
+    def _chunks(self, marked: str) -> list[bytes]:
+        return [self._plain[w] for w in self._words.findall(marked)]
 
     def encode(self, text: str | None) -> np.ndarray:
         """ids of a whole text, without begin or end ids."""
         if not text:
             return np.empty(0, dtype=np.int32)
-        marked = (" " + text if self.dummy_prefix else text).replace(" ", MARK)
-        get, cached = self._word, self._cache.get
-        parts = [ids if (ids := cached(w)) is not None else get(w) for w in self._words.findall(marked)]
-        return np.concatenate(parts)
+        if not self._by_line:
+            return np.frombuffer(b"".join(self._chunks((" " + text if self.dummy_prefix else text).replace(" ", MARK))), dtype=np.int32)
+        parts: list[bytes] = []
+        marked = self._marked.__getitem__
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                parts.append(self._feed)
+            if "  " in line or MARK in line or (k == 0 and line.startswith(" ")):
+                # runs of marks are pieces of their own
+                parts += self._chunks((" " + line if k == 0 else line).replace(" ", MARK))
+                continue
+            words = line.split(" ")
+            if k:
+                parts.append(self._plain[words[0]])
+                del words[0]
+            parts += map(marked, words)
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the first blank of the dummy prefix dropped."""
@@ -243,7 +276,7 @@ def tokenizer(model_path: str) -> SentencePieceBpe:
     return _loaded[model_path]
 
 
-def _slices(batch: pa.RecordBatch, text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text, so that long texts never pile up."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = size = 0
@@ -256,22 +289,30 @@ def _slices(batch: pa.RecordBatch, text: int, limit: int = 8 << 20) -> Iterator[
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with ids_col, array<int>: the ids of each whole text."""
-    cols = [c for c in (keep if keep is not None else docs.columns) if c != ids_col]
+def encode(
+    docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, decoded_col: str | None = None
+) -> DataFrame:
+    """docs (or its columns ``keep``) with ids_col, array<int>: the ids of each whole text; and, if named, decoded_col:
+    the text that decoding these ids gives, made in the same pass."""
+    added = [ids_col, *([decoded_col] if decoded_col else [])]
+    cols = [c for c in (keep if keep is not None else docs.columns) if c not in added]
     src = docs.select(*cols, docs[text_col].alias("_spm_text"))
-    schema = T.StructType([*[src.schema[c] for c in cols], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    kinds = [T.ArrayType(T.IntegerType(), False), T.StringType()]
+    schema = T.StructType([*[src.schema[c] for c in cols], *[T.StructField(c, k, False) for c, k in zip(added, kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spm = tokenizer(model_path)
         for whole in batches:
             for batch in _slices(whole, len(cols)):
-                lists = [spm.encode(t) for t in batch.column(len(cols)).to_pylist()]
+                lists = [spm.encode(t.as_py()) for t in batch.column(len(cols))]
                 offsets = np.zeros(len(lists) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in lists], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], ids], names=[*cols, ids_col])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))]
+                if decoded_col:
+                    made.append(pa.array([spm.decode(x) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], *made], names=[*cols, *added])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 
