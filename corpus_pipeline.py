@@ -42,7 +42,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model), model, text_col="decoded")
+    back = sentencepiece_bpe.encode(docs, model, decoded_col="decoded")
     n_tokens = F.size("ids").cast("long").alias("n_tokens")
     return back.select(*COLUMNS, "ids", n_tokens, F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
