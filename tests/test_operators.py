@@ -185,6 +185,75 @@ def test_atoms():
     assert norm.atoms_of("A", "ATT") == [(0, "A", "ATT")] and norm.atoms_of("ATT", "A") == [(0, "ATT", "A")] and norm.atoms_of("AC", "GTT") == [(0, "A", "G"), (1, "C", "T"), (1, "C", "CT")]
 
 
+def brute_atoms(ref, alts):
+    """(offset, REF, ALT) -> (what each ALT's calls become, whether another atom overlaps), base by base."""
+    atoms = []
+    for k, alt in enumerate(alts):
+        r, a = ref, alt
+        while len(r) > 1 and len(a) > 1 and r[-1] == a[-1]:
+            r, a = r[:-1], a[:-1]
+        n = min(len(r), len(a))
+        for i in range(n):
+            if r[i] != a[i]:
+                atoms.append((i, r[i], a[i], 0, k))
+            if i == n - 1 and (len(r) != len(a) or r == a):
+                atoms.append((i, r[i:], r[i] + a[n:], int(r[i] != a[i]), k))
+    atoms.sort()
+    out = {}
+    for x in atoms:
+        if x[:3] in out:
+            continue
+        to, star = [0] * len(alts), False
+        for y in atoms:
+            if y[:3] == x[:3]:
+                to[y[4]] = 1
+            elif set(range(x[0], x[0] + len(x[1]))) & set(range(y[0], y[0] + len(y[1]))):
+                star, to[y[4]] = True, 2
+                if x[0] == y[0]:
+                    for p, q in ((x, y), (y, x)):
+                        if p[3] and (len(q[1]) == 1 or (x[1] == y[1] and len(q[2]) == 1)):
+                            to[y[4]] = 1
+        out[x[:3]] = (to, star, x[4] + 1)
+    return [(*k, *v) for k, v in out.items()]
+
+
+def test_atoms_of_several_alts_equal_brute_force(spark):
+    r = random.Random(5)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    pairs = [("AC", ["GTG"]), ("A", ["C", "G"]), ("ACG", ["TCG", "TCA"]), ("AT", ["A", "GT"]), ("A", ["*"]), ("A", ["<DEL>"]), ("A", []), ("AC", ["GT", "*"]), ("AC", ["GT", "<DEL>"])]
+    pairs += [(ref := dna(r.randint(1, 4)), list({dna(r.randint(1, 4)) for _ in range(r.randint(1, 3))} - {ref}) or ["*"]) for _ in range(300)]
+    lines, want = [], []
+    for i, (ref, alts) in enumerate(pairs):
+        gt = [r.choice([None, *range(len(alts) + 1)]) for _ in range(4)]
+        ac = [r.randrange(50) for _ in alts]
+        call = lambda g: "/".join("." if x is None else str(x) for x in g)
+        lines.append(f"chr1\t{i + 1}\t.\t{ref}\t{','.join(alts) or '.'}\t.\t.\tAC={','.join(map(str, ac)) or '.'};AN=4\tGT\t{call(gt[:2])}\t{call(gt[2:])}")
+        made = brute_atoms(ref, alts) if alts and all(set(a) <= set("ACGT") for a in alts) else None
+        if made is None or (len(made) == len(alts) == 1 and made[0][:3] == (0, ref, alts[0])):
+            want.append((i, 0, i + 1, ref, alts, ac or None, gt, None))
+            continue
+        for part, (at, x, y, to, star, source) in enumerate(made):
+            origin = f"chr1|{i + 1}|{ref}|{','.join(alts)}|{','.join(str(k + 1) for k, t in enumerate(to) if t == 1)}"
+            want.append((i, part, i + 1 + at, x, [y, "*"] if star else [y], [ac[source - 1], *([None] if star else [])], [g and to[g - 1] for g in gt], origin))
+    out, _ = norm.atomize(records(spark, HEAD, lines), HEAD, old_rec_tag="OLD")
+    got = [(x.row_id, x.part, x.pos, x.ref, x.alts, x.info.AC, [a for s in x.samples for a in s.GT.alleles], x.info.OLD) for x in out.orderBy("row_id", "part").collect()]
+    assert [g[:5] + g[6:] for g in got] == [w[:5] + w[6:] for w in want]
+    assert [g[5] for g in got if g[4] and g[4] != ["*"]] == [w[5] for w in want if w[4] and w[4] != ["*"]]
+
+
+def test_atoms_of_all_derived_rows(spark):
+    from variform.plans.catalog import QUERIES
+
+    v = {x.row_id: x for x in variants(spark, SF).select("row_id", "chrom", "pos", "ref", "alts").collect()}
+    rows = QUERIES["norm_atomize_all"](spark, SF).collect()
+    assert {x.row_id for x in rows} == set(v) and {len(x.alts) for x in v.values()} == {0, 1, 2}
+    two = {(x.row_id, x.pos, x.ref, x.alt) for x in rows if len(v[x.row_id].alts) == 2}
+    assert two == {(k, x.pos, x.ref, f"{a},*") for k, x in v.items() if len(x.alts) == 2 for a in x.alts}
+    assert [x.alt for x in rows if x.alt in (".", "<DEL>")] and all(x.part == 0 and x.alt == (",".join(v[x.row_id].alts) or ".") for x in rows if x.alt in ("*", "<DEL>", "."))
+    tags = {(x.row_id, x.origin.rsplit("|", 1)[1]) for x in QUERIES["norm_old_rec_tag_all"](spark, SF).collect() if x.origin}
+    assert {(k, str(i)) for k, x in v.items() if len(x.alts) == 2 for i in (1, 2)} <= tags
+
+
 def test_interval_files_and_annotation_modes(spark, tmp_path):
     (tmp_path / "x.bed").write_text("# c\nchr1\t4\t6\t12\n\nchr1\t4\t9\t.\n")
     src = read_intervals(spark, str(tmp_path / "x.bed"), ["CHROM", "FROM", "TO", "AN"])

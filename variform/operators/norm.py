@@ -439,12 +439,38 @@ def atoms_of(ref: str, alt: str) -> list[tuple[int, str, str]]:
         ref, alt = ref[:-1], alt[:-1]
     common = min(len(ref), len(alt))
     out = [(i, ref[i], alt[i]) for i in range(common) if ref[i] != alt[i]]
-    if len(ref) != len(alt):
+    if len(ref) != len(alt) or ref == alt:
         anchor = ref[common - 1]
         out.append((common - 1, anchor + ref[common:], anchor + alt[common:]))
     return out
 
 
+def atom_rows(ref: str, alts: list[str]) -> list[dict]:
+    """The distinct atoms of a record in order, each with the first ALT that has it and what a call of every ALT becomes:
+    1 the atom, 2 another one over the same bases ('*'), 0 neither. star: any other atom lies over the same bases."""
+    atoms = []
+    for k, alt in enumerate(alts, 1):
+        own = atoms_of(ref, alt)
+        for i, (at, x, y) in enumerate(own):
+            # an insertion or deletion whose anchor base is itself substituted goes along with that substitution
+            behind = len(x) != len(y) and i > 0 and own[i - 1][0] == at
+            atoms.append((at, x, y, behind, k))
+    atoms.sort()
+    out: list[dict] = []
+    for at, x, y, behind, k in atoms:
+        if out and (out[-1]["offset"], out[-1]["ref"], out[-1]["alt"]) == (at, x, y):
+            continue
+        mapping, star = [0] * len(alts), False
+        for at2, x2, y2, behind2, k2 in atoms:
+            if (at2, x2, y2) == (at, x, y):
+                mapping[k2 - 1] = 1
+            elif at2 <= at + len(x) - 1 and at <= at2 + len(x2) - 1:
+                together = at2 == at and ((behind and len(x2) == 1) or (behind2 and len(x) == 1) or (x2 == x and ((behind and len(y2) == 1) or (behind2 and len(y) == 1))))
+                mapping[k2 - 1], star = 1 if together else 2, True
+        out.append({"offset": at, "ref": x, "alt": y, "source": k, "mapping": mapping, "star": star})
+    return out
+
+
 _ATOMS = T.ArrayType(
     T.StructType([
         T.StructField("offset", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType()),
@@ -455,27 +481,7 @@ _ATOMS = T.ArrayType(
 
 @F.pandas_udf(_ATOMS)
 def _atoms_udf(ref: pd.Series, alts: pd.Series) -> pd.Series:
-    out = []
-    for r, a in zip(ref, alts, strict=True):
-        found: dict[tuple, list[int]] = {}
-        for k, alt in enumerate(a, 1):
-            for atom in atoms_of(r, alt):
-                found.setdefault(atom, []).append(k)
-        rows = []
-        for (at, x, y), sources in sorted(found.items()):
-            # 1: the ALT has this atom; 2: it has another one over the same bases; 0: neither
-            mapping = [0] * len(a)
-            for (at2, x2, y2), others in found.items():
-                if (at2, x2, y2) != (at, x, y) and at2 <= at + len(x) - 1 and at <= at2 + len(x2) - 1:
-                    own_anchor = at2 == at and (x2[:1], y2[:1]) != (x[:1], y[:1]) and (len(x) != len(y) or len(x2) != len(y2)) and set(others) & set(sources)
-                    for k in others:
-                        if not own_anchor:
-                            mapping[k - 1] = max(mapping[k - 1], 2)
-            for k in sources:
-                mapping[k - 1] = 1
-            rows.append({"offset": at, "ref": x, "alt": y, "source": sources[0], "mapping": mapping, "star": 2 in mapping})
-        out.append(rows)
-    return pd.Series(out)
+    return pd.Series([atom_rows(r, list(a)) for r, a in zip(ref, alts, strict=True)])
 
 
 def atomize(df: DataFrame, header: VariantHeader, *, star: bool = True, old_rec_tag: str | None = None) -> tuple[DataFrame, VariantHeader]:

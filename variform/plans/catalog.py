@@ -643,6 +643,26 @@ def norm_old_rec_tag(spark, sf_dir):
     return out.select("row_id", F.col("info.OLD").alias("origin"))
 
 
+def _numbers(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+
+
+@q()
+def norm_atomize_all(spark, sf_dir):
+    """Atoms of all variants: several ALTs, '*', symbolic alleles and records without an ALT too."""
+    out = norm.atomize(variants(spark, sf_dir), HEADER)[0]
+    depths = F.array_join(F.transform("samples", lambda s: _numbers(s["AD"])), " ")
+    af10 = _numbers(F.transform("info.AF", lambda a: F.round(a * 10).cast("int")))
+    return out.select("row_id", "part", "chrom", "pos", "ref", _list(F.col("alts")).alias("alt"), af10.alias("af10"), _alleles().alias("gts"), depths.alias("ad"))
+
+
+@q()
+def norm_old_rec_tag_all(spark, sf_dir):
+    """The origin of the atoms of all variants, null for a record that stays as it is."""
+    out, _ = norm.atomize(variants(spark, sf_dir), HEADER, old_rec_tag="OLD")
+    return out.select("row_id", "part", "pos", "ref", _list(F.col("alts")).alias("alt"), F.col("info.OLD").alias("origin"))
+
+
 # ---------------------------------------------------------------- validation, headers, statistics
 
 _TRIM = "t AS (SELECT row_id, chrom, pos AS p, ref AS r, unnest(alts) AS a FROM v)"
