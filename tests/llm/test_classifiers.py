@@ -21,6 +21,14 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_every_sampled_row_enters_the_dictionary(spark):
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04d}")
+    rows = [(i, "q" + name(i) + " " + " ".join(name(i * 37 % 9000 + j) for j in range(20 if i % 2 else 900)), "en") for i in range(400)]
+    content = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).contents["en"]
+    assert {w[1:] for w in content.decode().split() if w[0] == "q"} == {name(i) for i in range(400)}
+    assert 0.95 * language_id.DICT_BYTES < len(content) <= language_id.DICT_BYTES
+
+
 def test_toxicity_held_out_and_interactions(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = language_id.held_out("doc_id", 3, 1)

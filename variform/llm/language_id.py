@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For every language a raw-content zstandard dictionary is made from a bounded sample of its labelled texts. A text is
+For every language a raw-content zstandard dictionary is made from a bounded sample of its labelled texts: about
+``SAMPLE_DOCS`` rows, all of which enter. Where they exceed ``DICT_BYTES``, the long ones are cut to an equal share. A text is
 compressed with each dictionary, and the language whose dictionary gives the fewest bytes is chosen. Long texts are
 compressed in blocks, so that the whole text is judged by the dictionaries and not by its own beginning. A text is
 rejected when the margin to the second language is narrow, or when it has no letter.
@@ -105,6 +106,22 @@ class CompressionModel:
         return list(self.contents)[best], score, margin, margin < min_margin
 
 
+def fair_share(sizes: list[int], total: int) -> int:
+    """The largest bound for every size with which their sum is at most total; what short ones leave goes to the long ones."""
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > total:
+            return max(2, total // (len(sizes) - i))
+        total -= size
+    return max(sizes, default=0)
+
+
+def _cut(piece: bytes, share: int) -> bytes:
+    """The first share bytes at most, in whole words; of a longer word, its whole characters."""
+    if len(piece) <= share:
+        return piece
+    return piece[: share + 1].rpartition(b" ")[0] or piece[:share].decode("utf-8", "ignore").encode("utf-8")
+
+
 def fit(
     rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, max_languages: int = MAX_LANGUAGES,
@@ -122,13 +139,9 @@ def fit(
         texts.setdefault(lang, []).append((d, text))
     contents = {}
     for lang, rows_ in texts.items():
-        content = b""
-        share = max(256, 4 * dict_bytes // max(1, len(rows_)))
-        for _, text in sorted(rows_):
-            # no sample row may fill the dictionary by itself; whole words only
-            piece = letters(text).encode("utf-8")
-            content += b" " + (piece if len(piece) <= share else piece[:share].rpartition(b" ")[0])
-        contents[lang] = content[-dict_bytes:]
+        pieces = [letters(text).encode("utf-8") for _, text in sorted(rows_)]
+        share = fair_share([len(p) + 1 for p in pieces], dict_bytes) - 1
+        contents[lang] = b"".join(b" " + _cut(p, share) for p in pieces)
     return CompressionModel({k: v for k, v in contents.items() if v.strip()})
 
 
