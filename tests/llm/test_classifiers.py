@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from variform.llm import language_id, toxicity
@@ -29,6 +31,16 @@ def test_every_sampled_row_enters_the_dictionary(spark):
     assert 0.95 * language_id.DICT_BYTES < len(content) <= language_id.DICT_BYTES
 
 
+def test_languages_beyond_the_limit_are_learned(spark):
+    r = random.Random(3)
+    vocab = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)] for k in range(12)}
+    rows = [(i, " ".join(r.sample(vocab[lang], 30)), lang) for i, lang in enumerate(lang for k, lang in enumerate(vocab) for _ in range(40 - 2 * k))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_languages=5)
+    assert set(model.contents) == set(vocab) and sum(map(len, model.contents.values())) <= 5 * language_id.DICT_BYTES
+    assert all(x.lang == x.lang_pred and not x.rejected for x in language_id.identify(df, model).collect())
+
+
 def test_toxicity_held_out_and_interactions(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = language_id.held_out("doc_id", 3, 1)

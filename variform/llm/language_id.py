@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 UNDETERMINED = "und"
-#: Bounds of the learned sample: rows a language, bytes of a dictionary, languages (the most frequent ones).
+#: Bounds of the learned sample: rows a language, bytes of a dictionary, languages that get so much (with more, all get less).
 SAMPLE_DOCS, DICT_BYTES, MAX_LANGUAGES = 400, 112 << 10, 200
+#: Rows a language, and bytes of its dictionary, that any number of languages leaves it.
+LEAST_DOCS, LEAST_BYTES = 20, 2048
 BLOCK_BYTES = 4096
 #: Texts up to this many bytes are compressed at the thorough level, where short matches count.
 SHORT_BYTES, SHORT_LEVEL, LONG_LEVEL = 600, 19, 3
@@ -126,11 +128,16 @@ def fit(
     rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, max_languages: int = MAX_LANGUAGES,
 ) -> CompressionModel:
-    """Learn dictionaries from about sample_docs labelled rows a language, drawn by a hash of the identifier."""
+    """Learn dictionaries from about sample_docs labelled rows a language, drawn by a hash of the identifier.
+
+    Every language is learned; more than max_languages share the rows and bytes of so many."""
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
     if not counts:
         return CompressionModel({})
+    if len(counts) > max_languages:
+        sample_docs = min(sample_docs, max(LEAST_DOCS, sample_docs * max_languages // len(counts)))
+        dict_bytes = min(dict_bytes, max(LEAST_BYTES, dict_bytes * max_languages // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 30))
     limit = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(int((1 << 30) * min(1.0, sample_docs / r[1]))))])
     drawn = rows.where(draw < limit[F.col(lang_col)]).select(lang_col, draw.alias("d"), text_col)
