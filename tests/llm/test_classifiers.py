@@ -55,6 +55,23 @@ def test_toxicity_held_out_and_interactions(spark):
     assert toxicity.score(odd, untrained).first().score < 0.01
 
 
+def test_toxicity_scores_do_not_depend_on_the_share_drawn(spark):
+    import math
+
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(12_000):
+        y = int(i % 12 == 0)
+        common = [f"w{r.randrange(300)}" for _ in range(12)]
+        rows.append((i, " ".join(common + (["bad"] if r.random() < (0.6, 0.1)[1 - y] else []))))
+        labels.append((i, y))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    logit = lambda p: math.log(p / (1 - p))
+    whole, even = toxicity.fit(docs, known, sample_docs=24_000), toxicity.fit(docs, known, sample_docs=2_000)
+    for text in ("w1 w2", "bad w1 w2"):
+        assert abs(logit(whole.score(toxicity.buckets(text))) - logit(even.score(toxicity.buckets(text)))) < 0.6
+
+
 def test_factorization_machine_learns_a_pair():
     import numpy as np
 

@@ -6,7 +6,8 @@ that occurs together: pairs such as an insult and a group mention score higher t
 
 The model is fitted on a bounded sample of labelled rows (``sample_docs``), drawn by a hash of the identifier; only
 buckets are kept that at least ``min_docs`` sample rows have and whose share among the labels differs by ``min_z``
-standard errors, so that chance words never score.
+standard errors, so that chance words never score. Where the labels are drawn at different rates, the bias is corrected
+to what all rows would give, so that scores mean the same at every size.
 
 Defined results: null and empty texts get the score of a document without terms; rows whose label is null are not
 learned from; without a learned row of both labels the score is the share of toxic ones (0 if none); repeated rows
@@ -58,7 +59,8 @@ class FactorizationMachine:
         at = np.minimum(np.searchsorted(self.kept, terms), len(self.kept) - 1)
         return at[self.kept[at] == terms]
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, epochs: int = 40, rate: float = 0.3, l2: float = 1e-6, batch: int = 256) -> FactorizationMachine:
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, epochs: int = 40, rate: float = 0.3, l2: float = 1e-6, batch: int = 256, rates: tuple[float, float] = (1.0, 1.0)) -> FactorizationMachine:
+        """rates: at which rows of label 0 and of label 1 were drawn."""
         rng = np.random.default_rng(self.seed)
         share = float(labels.mean()) if len(labels) else 0.0
         if share in (0.0, 1.0):
@@ -96,6 +98,8 @@ class FactorizationMachine:
                 self.w[used] -= rate * dw / np.sqrt(gw[used])
                 self.v[used] -= rate / 4 * dv / np.sqrt(gv[used])
                 self.bias -= rate * err.sum() / np.sqrt(gb)
+        # the weights take half of the log-odds of the labels' share out of the fit; the other half is the sample's
+        self.bias -= 0.5 * float(np.log(rates[1] / rates[0]))
         return self
 
     def score(self, terms: np.ndarray) -> float:
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     draw = F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1 << 30))
-    part = lambda y: int((1 << 30) * min(1.0, sample_docs / 2 / max(1, counts.get(y, 0))))
+    part = lambda y: max(1, int((1 << 30) * min(1.0, sample_docs / 2 / max(1, counts.get(y, 0)))))
     drawn = known.where(draw < F.when(F.col("y") == 1, part(1)).otherwise(part(0))).limit(4 * sample_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(drawn), "id")  # at most 4 * sample_docs pairs of numbers
@@ -126,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample.select("id", "y", "text").mapInArrow(terms, T.StructType(fields)).limit(4 * sample_docs).toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (str(rows["id"][i]), rows["y"][i].as_py(), len(rows["terms"][i])))
     sets = [np.asarray(rows["terms"][i].values.to_numpy(), dtype=np.int64) for i in order]
-    return FactorizationMachine().fit(sets, np.array([rows["y"][i].as_py() for i in order], dtype=float))
+    return FactorizationMachine().fit(sets, np.array([rows["y"][i].as_py() for i in order], dtype=float), rates=(part(0) / (1 << 30), part(1) / (1 << 30)))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
