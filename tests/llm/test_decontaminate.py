@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from variform.llm.decontaminate import Bm25Index, contamination, drop_contaminated, words
+from variform.llm.decontaminate import Bm25Index, build_slices, contamination, drop_contaminated, words
 
 
 def items(r, n=60):
@@ -48,3 +48,16 @@ def test_answers_must_stand_in_the_passage(spark):
     q = "what is the capital of this far land called"
     df = spark.createDataFrame([(1, f"{q}? Port Elm!"), (2, f"{q}? elm port")], "doc_id long, text string")
     assert [x.doc_id for x in contamination(df, table, answer_col="answer", threshold=0.5).collect()] == [1]
+
+
+def test_slices_give_the_scores_of_one_index(spark):
+    r = random.Random(6)
+    # the first items repeat one another's words, so that a slice's own frequencies are far from those of all
+    bench = [(i, " ".join(f"w{r.randrange(30 if i < 40 else 400)}" for _ in range(r.randint(6, 40)))) for i in range(120)]
+    table = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    one, many = build_slices(table), build_slices(table, slice_bytes=900)
+    assert len(one) == 1 < len(many) and sum(len(x.items) for x in many) == len(one[0].items) == 120
+    for _ in range(40):
+        text = " ".join(f"w{r.randrange(400)}" for _ in range(50)) + " " + " ".join(r.choice(bench)[1].split()[: r.randint(4, 40)])
+        found = [{x.items[i][0]: (round(s, 6), o) for i, (s, o) in x.search(text, 0.3, 0.1).items()} for x in (*one, *many)]
+        assert found[0] == {k: v for part in found[1:] for k, v in part.items()}

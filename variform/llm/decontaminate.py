@@ -12,6 +12,7 @@ shingle) that the passage holds must reach ``min_overlap``, and the answer, wher
 passage as a word sequence.
 
 The items are a test set: they are collected in slices of at most ``slice_bytes`` of text, and each slice is one pass.
+Document frequencies, item count, mean and longest length are those of all items, so slices do not change a score.
 
 Defined results: a null or empty text holds no item; items without words are never found; equal items are all
 reported; a null item identifier is reported as null; repeated documents are judged alike; with an empty table of
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +51,24 @@ def shingles(tokens: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
 
 
+class ItemStats:
+    """What BM25 takes from all items: in how many a term is, their number, their words and the longest one's."""
+
+    def __init__(self):
+        self.df: Counter[str] = Counter()
+        self.n = self.words = self.longest = 0
+
+    def add(self, tokens: list[str]) -> None:
+        if tokens:
+            self.df.update(set(tokens))
+            self.n, self.words, self.longest = self.n + 1, self.words + len(tokens), max(self.longest, len(tokens))
+
+
 class Bm25Index:
-    """Inverted index of items [(id, question, answer or None), ...] with block-max impacts."""
+    """Inverted index of items [(id, question, answer or None), ...] with block-max impacts; stats: of all items, if these
+    are a slice."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], stats: ItemStats | None = None):
         tokens = [words(q) + words(a) for _, q, a in items]
         kept = [i for i, t in enumerate(tokens) if t]
         self.items = [items[i] for i in kept]
@@ -60,8 +76,12 @@ class Bm25Index:
         self.block = block = max(LEAST_BLOCK, -(-len(kept) // MOST_BLOCKS))
         self.questions = [shingles(words(q)) for _, q, _ in self.items]
         self.answers = [words(a) for _, _, a in self.items]
-        self.longest = max(map(len, tokens), default=0)
-        mean = sum(map(len, tokens)) / max(1, len(tokens))
+        if stats is None:
+            stats = ItemStats()
+            for t in tokens:
+                stats.add(t)
+        self.longest = stats.longest
+        mean = stats.words / max(1, stats.n)
         postings: dict[str, list[tuple[int, float]]] = {}
         for i, toks in enumerate(tokens):
             for term in dict.fromkeys(toks):
@@ -69,8 +89,8 @@ class Bm25Index:
                 postings.setdefault(term, []).append((i, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(toks) / mean))))
         n = len(tokens)
         own = [0.0] * n
-        for plist in postings.values():
-            idf = math.log(1 + (n - len(plist) + 0.5) / (len(plist) + 0.5))
+        for term, plist in postings.items():
+            idf = math.log(1 + (stats.n - stats.df[term] + 0.5) / (stats.df[term] + 0.5))
             plist[:] = [(i, idf * x) for i, x in plist]
             for i, x in plist:
                 own[i] += x
@@ -167,17 +187,25 @@ class Bm25Index:
 
 def build_slices(items: DataFrame, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES) -> list[Bm25Index]:
     """Indexes over all items, each of at most about slice_bytes of text."""
-    out, rows, size = [], [], 0
     picked = items.select(F.col(id_col), F.col(question_col), F.col(answer_col) if answer_col else F.lit(None).cast("string"))
-    for r in picked.toLocalIterator():
-        rows.append(tuple(r))
-        size += len(r[1] or "") + len(r[2] or "")
-        if size >= slice_bytes:
-            out.append(Bm25Index(rows))
-            rows, size = [], 0
-    if rows or not out:
-        out.append(Bm25Index(rows))
-    return out
+
+    def slices() -> Iterator[list[tuple]]:
+        rows, size = [], 0
+        for r in picked.toLocalIterator():
+            rows.append(tuple(r))
+            size += len(r[1] or "") + len(r[2] or "")
+            if size >= slice_bytes:
+                yield rows
+                rows, size = [], 0
+        if rows:
+            yield rows
+
+    stats, count, held = ItemStats(), 0, []
+    for held in slices():
+        count += 1
+        for _, q, a in held:
+            stats.add(words(q) + words(a))
+    return [Bm25Index(held, stats)] if count < 2 else [Bm25Index(rows, stats) for rows in slices()]
 
 
 def find_items(docs: DataFrame, index: Bm25Index, id_type: T.DataType, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP) -> DataFrame:
