@@ -72,3 +72,30 @@ def test_odd_sketch_estimates_high_similarity():
         estimate = 1 + signer.bits / 4 / 160 * np.log(max(1e-3, 1 - 2 * z / signer.bits))
         assert abs(estimate - truth) < 0.12
     assert len(shingle_set("a b c", 5)) == 1
+
+
+def test_repeated_identifiers_are_told_apart_by_text(spark):
+    y = [f"y{i}" for i in range(60)]
+    y2, x = " ".join([*y[:-1], "end"]), " ".join(f"x{i}" for i in range(40))
+    z = [f"z{i}" for i in range(60)]
+    rows = [(3, " ".join(y)), (5, x), (5, y2), (-7, " ".join(z)), (-7, " ".join([*z[:-1], "end"])), (9, "a b c d e f g"), (9, "a b c d e f g"), (9, ""), (9, None), (11, x), (12, "one more text of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(df).collect()}
+    assert {g[2:] for g in groups if g[:2] == (5, 36)} == {(5, True)} and {g[2:] for g in groups if g[:2] == (5, 56)} == {(3, False)}
+    assert {g[2:] for g in groups if g[0] == 11} == {(5, False)} and [g[2] for g in groups if g[0] == -7] == [-7, -7]
+    out = drop_near_copies(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and len(got) == len(set(got)) == 7
+    assert set(got) - {g for g in got if g[0] == -7} == {(3, " ".join(y)), (5, x), (9, "a b c d e f g"), (9, ""), (9, None), (12, "one more text of its own here")}
+
+
+def test_repeated_identifiers_equal_brute_force(spark):
+    texts = [t for _, t in corpus(8, 6, 8)]
+    rows = [(i // 3 * 5 - 20, t) for i, t in enumerate(random.Random(9).sample(texts, len(texts)))]
+    want = brute(list(enumerate(t for _, t in rows)), 5)
+    least = {}
+    for at, (i, _) in enumerate(rows):
+        least[want[at][1]] = min(i, least.get(want[at][1], i))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, want[at][0], least[want[at][1]]) for at, (i, _) in enumerate(rows))
+    assert drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == len({w for _, w in want.values()})

@@ -17,8 +17,10 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. Two nodes
 with a chance of (1 - s**rows)**bands: 3e-6 at 0.8 with 32 x 5.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a text with fewer
-words than a shingle has its whole sequence as one; rows that repeat an identifier are one node for each text; a row
-with a null identifier is alone, with a null component, and kept; an empty table gives an empty result.
+words than a shingle has its whole sequence as one; rows that repeat an identifier are one node for each set of
+shingles, and each is kept or dropped by its own set; of rows that repeat both, all are marked alike and
+``drop_near_copies`` keeps one; a row with a null identifier is alone, with a null component, and kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ SKETCH_BITS = 512
 SLACK = 0.25
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd mixing constants
 WORD_CACHE = 150_000
+#: More than the sets that can share their smallest identifier.
+NUMBERS = 1 << 31
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,6 +81,13 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(shingles: np.ndarray) -> bytes | None:
+    """128-bit hash of a set of shingles, None if it is empty."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 class Signer:
     """MinHash band keys and odd sketches of shingle sets."""
 
@@ -113,19 +125,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, bands: int =
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         signer = Signer(bands, rows)
         for b in batches:
             n, set_ids, keys, sketches = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
+                set_ids.append(set_digest(s))
                 if len(s):
-                    set_ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                     key, sketch = signer.sign(s)
                 else:
-                    set_ids.append(None)
                     key = sketch = np.zeros(0, dtype=np.int64)
                 keys.append(key)
                 sketches.append(sketch)
@@ -176,11 +185,27 @@ class NearDuplicates:
         self.docs, self.k, self.percent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, percent
         self.samples = bands * rows
         self.signed, _ = materialize(signatures(docs, k, id_col, text_col, bands, rows), "signed")
-        nodes = self.signed.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(
+        filled = self.signed.where("n > 0 AND id IS NOT NULL")
+        self.repeated, _ = materialize(filled.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated")
+        #: Whether identifiers repeat; only then are nodes more than the smallest identifier of a set.
+        self.numbered = not self.repeated.isEmpty()
+        nodes = filled.groupBy("set_id").agg(
             F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
         )
+        if self.numbered:
+            # sets of one smallest identifier are numbered: identifier * NUMBERS + number, in the identifiers' order
+            number = F.row_number().over(Window.partitionBy("node").orderBy("set_id")) - 1
+            wide = F.col("node").cast("decimal(20,0)") * F.lit(NUMBERS).cast("decimal(10,0)") + F.col("_k").cast("decimal(10,0)")
+            nodes = nodes.withColumn("_k", number).withColumn("node", wide.cast("decimal(38,0)")).drop("_k")
         self.nodes, _ = materialize(nodes, "nodes")
 
+    def id_of(self, node: Column) -> Column:
+        """The smallest identifier of a node's set."""
+        if not self.numbered:
+            return node
+        least = node - F.pmod(node, F.lit(NUMBERS).cast("decimal(38,0)"))
+        return (least / F.lit(NUMBERS).cast("decimal(10,0)")).cast(self.docs.schema["id"].dataType)
+
     def members(self) -> DataFrame:
         """(key, node, n, size) of all buckets with two nodes or more."""
         rows = self.nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -190,6 +215,8 @@ class NearDuplicates:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from their texts."""
         wanted, _ = materialize(wanted.select("node").distinct(), "wanted")
+        if self.numbered:
+            return self.numbered_sets(wanted)
         n = wanted.count()
         maybe = BitFilter(wanted.select(F.xxhash64("node").alias("h")), "h", n).keep(self.docs.where("id IS NOT NULL"), F.xxhash64("id"))
         texts = maybe.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
@@ -203,6 +230,22 @@ class NearDuplicates:
 
         return materialize(texts.select("id", "text").mapInArrow(run, kind), "sets")[0]
 
+    def numbered_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes where identifiers repeat: the text is the one with the node's set."""
+        nodes = self.nodes.join(wanted, "node").select("node", self.id_of(F.col("node")).alias("id"), "set_id")
+        texts = self.docs.join(nodes, "id")
+        kind = T.StructType([T.StructField("node", nodes.schema["node"].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [shingle_set(t.as_py(), k) for t in b.column(1)]
+                own = pa.array([set_digest(s) == x.as_py() for s, x in zip(made, b.column(2), strict=True)], pa.bool_())
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield out.filter(own)
+
+        return materialize(texts.select("node", "text", "set_id").mapInArrow(run, kind).dropDuplicates(["node"]), "sets")[0]
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) at or above the threshold."""
         sketch = self.nodes.select("node", "sketch")
@@ -266,14 +309,37 @@ def near_groups(
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B|; fewer bands miss more, for a lower percent
     more bands or fewer rows are needed. Identifiers are integers."""
-    run = NearDuplicates(docs, shingle_words, percent, id_col, text_col, bands, rows)
-    of_set = run.nodes.select("set_id", "node").join(run.labels(), "node", "left").select("set_id", F.coalesce("label", "node").alias("component_id"))
+    out = _marked(NearDuplicates(docs, shingle_words, percent, id_col, text_col, bands, rows))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _marked(run: NearDuplicates) -> DataFrame:
+    """id, n, set_id, component_id and kept of every row."""
+    label = F.coalesce("label", "node")
+    of_set = run.nodes.select("set_id", "node").join(run.labels(), "node", "left").select(
+        "set_id", run.id_of(label).alias("component_id"), (label == F.col("node")).alias("root")
+    )
     out = run.signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    kept = component.eqNullSafe(F.col("id")) & F.coalesce("root", F.lit(True))
+    return out.select("id", "n", "set_id", component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one of the smallest identifier; all columns stay."""
-    gone = near_groups(docs, id_col, text_col, shingle_words, percent).where("NOT kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    run = NearDuplicates(docs, shingle_words, percent, id_col, text_col, BANDS, ROWS)
+    gone = _marked(run).where("NOT kept")
+    if not run.numbered:
+        return docs.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    # rows of a repeated identifier are told apart by their sets
+    gone, _ = materialize(gone.select(F.col("id").alias(id_col), F.col("set_id").alias("_set")), "gone")
+    repeated = run.repeated.select(F.col("id").alias(id_col))
+    once = docs.join(repeated, id_col, "left_anti").join(gone, id_col, "left_anti")
+
+    @F.pandas_udf(T.BinaryType())
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(shingle_set(t, shingle_words)) for t in texts], dtype=object)
+
+    several, _ = materialize(docs.join(repeated, id_col, "left_semi").withColumn("_set", digest(text_col)), "several")
+    filled = several.where("_set IS NOT NULL").join(gone, [id_col, "_set"], "left_anti").dropDuplicates([id_col, "_set"])
+    return once.unionByName(filled.unionByName(several.where("_set IS NULL")).select(*docs.columns)).select(*docs.columns)
