@@ -68,6 +68,33 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+#: A key of at least 1/HOT_SHARE of the rows, and of HOT_LEAST rows, is dealt over several tasks; there are at most HOT_SHARE.
+HOT_SHARE, HOT_LEAST = 512, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: int, count: str = "c") -> DataFrame:
+    """(keys, _parts) of the keys of counts that too many of n rows have: at most HOT_SHARE rows, so they may be broadcast."""
+    limit = max(HOT_LEAST, n // HOT_SHARE)
+    return counts.where(F.col(count) >= limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("_parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key, on keys. The rows of a hot key are dealt by a hash of the columns
+    ``spread`` over as many parts as hot says, and its row of right is repeated for each."""
+    parts = F.broadcast(hot)  # at most HOT_SHARE rows
+    dealt = left.join(parts, keys, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+    copies = right.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 class BitFilter:
     """A one-hash membership bitmap held as rows (slot, 4 KiB bitmap); no false negatives.
 

@@ -1,23 +1,26 @@
 """Repeated line runs, by a suffix array over line-ID sequences (DataFrame functions only).
 
-A line's ID is its 64-bit hash. Lines that occur once cannot repeat and cut a document into stretches; stretches with
-fewer than ``min_words`` words are left out, as no run in them can count. Over what is left:
-
-* Prefix doubling. The rank of the 2**(k+1) lines from a position is the order of the pair (rank of the first 2**k,
-  rank of the next 2**k). Distinct pairs are sorted over all partitions by range, and a row's number in that order is
-  its rank, so no task sees a whole group. Suffixes end up sorted to the depth of the longest window (below).
-* Intervals. From each position the shortest window of ``min_words`` words starts, and to each position one ends. The
-  suffixes that share a window's lines are one longest-common-prefix interval, named by the window's length and the
-  ranks of its first and its last 2**k lines. A window is a later copy if its interval has an earlier position
-  (smaller document, then line). A run of min_words words or more stands earlier if and only if these windows of it
-  do, so the windows that overlap make up the maximal repeated runs.
-* Deletion. The later copies of maximal runs are deleted, in whole; the first copy stays.
-
-Runs do not reach across documents; a run may overlap its own earlier copy. Lines are compared as they are.
+A line's ID is its 64-bit hash. Lines that occur once cannot repeat and cut a document into stretches. Over the suffixes
+of all stretches:
+
+* Prefix doubling. A suffix's key at level k is the list of its ranks so far; the rank for its first 2**(k+1) lines is
+  the place of the pair (rank for the first 2**k, key of the suffix 2**k lines on) among all distinct pairs, which are
+  sorted by range over all partitions, so keys compare as suffixes do. Suffixes that are alone with their first lines
+  are sorted and not ranked again; doubling goes on until every suffix is told from all others, or has ended.
+* Prefix lengths. Suffixes of one rank at level k are a longest-common-prefix interval of 2**k lines or more. In every
+  interval the first position (document, then line) has no earlier copy of that length. The length of the longest
+  prefix that also stands earlier is found bit by bit: the members of an interval that are first in theirs of the next
+  level are split by the rank of the lines that follow the shared ones, with one first member for reference in each
+  part; a position that is not first in its part shares the longer prefix, one that is first only the shorter.
+* Deletion. Where that longest earlier run has ``min_words`` words or more, it is deleted, in whole; the first copy stays.
+
+Runs do not reach across documents; a run may overlap its own earlier copy. Lines are compared as they are. A line or
+run that very many rows share is dealt over many tasks (salted joins; everything else is combined before it is shuffled).
 
 Defined results: a null text stays null and an empty one empty; a document that loses all lines has an empty text;
 rows that repeat an identifier with other text are ordered by a hash of the text, equal rows are treated as one and
-get the same answer; rows with a null identifier are left as they are; an empty table gives an empty result.
+get the same answer; rows with a null identifier are left as they are; an empty table gives an empty result; columns of
+the input that are called as those that are added are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, checked_broadcast, drop_path, materialize
+from .common import BitFilter, checked_broadcast, drop_path, fresh, hot_keys, materialize, salted_join
 
 MIN_WORDS = 50
 DOC = ["id", "t"]
+PLACE = ["id", "t", "pos"]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,87 +48,136 @@ def _ordered(df: DataFrame, keys: list[str], name: str, rank: str) -> tuple[Data
     return materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(rank, F.monotonically_increasing_id()), name)
 
 
-def stretches(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Stretches of repeated lines with min_words words or more: id, t, grp, pos, r0, and the windows of every position.
-
-    to_end: last line of the shortest window from pos, from_start: first line of the shortest window to pos (or null)."""
-    lines = _lines(docs, id_col, text_col)
-    repeated = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    ranked, _ = _ordered(repeated, ["h"], "lines", "r0")
-    maybe = BitFilter(ranked, "h", ranked.count()).keep(lines, F.col("h"))
-    rows = maybe.join(ranked, "h").select("id", "t", "pos", "w", "r0").dropDuplicates([*DOC, "pos"])
-    rows = rows.withColumn("grp", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
-    whole = Window.partitionBy(*DOC, "grp")
-    rows = rows.withColumns({"words": F.sum("w").over(whole), "begin": F.min("pos").over(whole), "last": F.max("pos").over(whole)})
-    rows = rows.where(F.col("words") >= min_words).withColumn("cw", F.sum("w").over(whole.orderBy("pos"))).withColumn("b", F.col("cw") - F.col("w"))
-    after = F.min("pos").over(whole.orderBy("b").rangeBetween(min_words, Window.unboundedFollowing))
-    before = F.max("pos").over(whole.orderBy("cw").rangeBetween(Window.unboundedPreceding, -min_words))
-    to_end = F.coalesce(after - 1, F.when(F.col("words") - F.col("b") >= min_words, F.col("last")))
-    from_start = F.coalesce(before + 1, F.when(F.col("cw") >= min_words, F.col("begin")))
-    return materialize(rows.select("id", "t", "grp", "pos", "r0", to_end.alias("to_end"), from_start.alias("from_start")), "stretches")[0]
-
-
-def doubled(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows with ranks r0 .. rK; K is the level of the longest window, or the last that two positions share."""
-    spark = rows.sparkSession
-    longest = rows.agg(F.max(F.greatest(F.col("to_end") - F.col("pos"), F.col("pos") - F.col("from_start"))) + 1).first()[0] or 0
-    level, path = 0, None
-    while 2 << level <= longest:
-        this, new = f"r{level}", f"r{level + 1}"
-        ahead = F.lead(this, 1 << level).over(Window.partitionBy(*DOC, "grp").orderBy("pos"))
-        paired = rows.withColumn("nxt", F.coalesce(ahead, F.lit(-1).cast("long")))
-        pairs = paired.groupBy(this, "nxt").agg(F.count("*").alias("c"))
-        ranked, ranked_path = _ordered(pairs, [this, "nxt"], "ranks", new)
-        if ranked.where("c > 1 AND nxt >= 0").isEmpty():
-            drop_path(spark, ranked_path)
-            break
-        after, after_path = materialize(paired.join(ranked.drop("c"), [this, "nxt"]).drop("nxt"), "doubled")
-        for old in filter(None, (path, ranked_path)):
-            drop_path(spark, old)
-        rows, path, level = after, after_path, level + 1
-    return rows, level
-
-
-def later_copies(rows: DataFrame, level: int) -> DataFrame:
-    """(id, t, pos, end) of the windows whose lines also stand at an earlier position."""
-    ranks = F.array(*[f"r{k}" for k in range(level + 1)])
-    starts = rows.where("to_end IS NOT NULL").select("id", "t", "pos", F.col("to_end").alias("end"))
-    ends = rows.where("from_start IS NOT NULL").select("id", "t", F.col("from_start").alias("pos"), F.col("pos").alias("end"))
-    windows = starts.unionByName(ends).distinct().withColumn("len", F.col("end") - F.col("pos") + 1)
-    # floor(log2(len)): the digits of len in binary, less one; a window of a level that no two positions share has no copy
-    windows = windows.withColumn("k", F.length(F.bin("len")) - 1).where(F.col("k") <= level)
-    windows = windows.withColumn("tail", F.expr("CAST(end + 1 - shiftleft(1, k) AS INT)"))
-    at = rows.select("id", "t", "pos", ranks.alias("ranks"))
-    named = windows.join(at, [*DOC, "pos"]).withColumn("x", F.get("ranks", F.col("k"))).drop("ranks")
-    tails = at.select("id", "t", F.col("pos").alias("tail"), F.col("ranks").alias("tail_ranks"))
-    named = named.join(tails, [*DOC, "tail"]).select("id", "t", "pos", "end", "len", "x", F.get("tail_ranks", F.col("k")).alias("y"))
-    place = F.struct("id", "t", "pos")
-    shared = named.groupBy("len", "x", "y").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
-    return named.join(shared, ["len", "x", "y"]).where(F.col("first") < place).select("id", "t", "pos", "end")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, t, gone) with gone the sorted line numbers to delete, for the documents that have any."""
-    rows, level = doubled(stretches(docs, id_col, text_col, min_words))
-    later = later_copies(rows, level).groupBy(*DOC, "pos").agg(F.max("end").alias("end"))
-    reach = F.max("end").over(Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    gone = rows.select(*DOC, "pos").join(later, [*DOC, "pos"], "left").withColumn("reach", reach).where("reach >= pos")
-    return gone.groupBy(*DOC).agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+class SuffixArray:
+    """The suffixes of the repeated lines of a table.
+
+    ``lines``: id, t, pos, grp (stretch), last (line of its stretch), w (words) and cw (words of the stretch up to and with this line).
+    ``levels[k]``: the suffixes that share their first 2**k lines with another: id, t, pos, r (rank), h (first position of
+    that rank) and lead (is it the first of its rank at level k + 1, or alone there?)."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.levels: list[DataFrame] = []
+        self.paths: list[str] = []
+        lines = _lines(docs, id_col, text_col)
+        ranked, ranked_path = _ordered(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), ["h"], "ids", "r")
+        n_ids, n = ranked.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+        maybe = BitFilter(ranked, "h", n_ids).keep(lines, F.col("h"))
+        rows = salted_join(maybe, ranked.select("h", "r"), ["h"], hot_keys(ranked, ["h"], n), PLACE)
+        rows = rows.groupBy(*PLACE).agg(F.first("w").alias("w"), F.first("r").alias("r"))  # equal rows are one
+        rows = rows.withColumn("grp", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
+        stretch = Window.partitionBy(*DOC, "grp")
+        rows = rows.withColumns({"last": F.max("pos").over(stretch), "cw": F.sum("w").over(stretch.orderBy("pos"))})
+        self.lines, path = materialize(rows, "suffixes")
+        drop_path(docs.sparkSession, ranked_path)
+        self.paths.append(path)
+        self._double()
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.lines.sparkSession, path)
+
+    def _double(self) -> None:
+        """Ranks by the first 1, 2, 4, ... lines, until no two suffixes that go on are alike."""
+        n = self.lines.count()
+        lines = self.lines.select(*PLACE, "grp", "last", "r")
+        groups, path = materialize(lines.groupBy("r").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("h")), "groups")
+        self.paths.append(path)
+        state = salted_join(lines, groups, ["r"], hot_keys(groups, ["r"], n), PLACE)
+        state = state.select(*PLACE, "grp", "last", F.array("r").alias("key"), (F.col("c") > 1).alias("live"), "h")
+        state, path = materialize(state, "level")
+        self.paths.append(path)
+        k = 0
+        while live := state.where("live").count():
+            state, path = self._ranked(state, k, live)
+            self.paths.append(path)
+            self.levels.append(state.where("was").select(*PLACE, F.get("key", F.lit(k)).alias("r"), F.col("led").alias("h"), (~F.col("live") | (F.col("h") == F.struct(*PLACE))).alias("lead")))
+            k += 1
+
+    def _ranked(self, state: DataFrame, k: int, n: int) -> tuple[DataFrame, str]:
+        """The suffixes after the n live ones were ranked by 2**(k + 1) lines; live: whether that many are there and
+        shared, was: before. Lines that no live suffix of their stretch reaches are left out."""
+        span = 1 << k
+        stretch = Window.partitionBy(*DOC, "grp")
+        rows = state.withColumns({
+            "nxt": F.coalesce(F.lead("key", span).over(stretch.orderBy("pos")), F.array().cast("array<bigint>")),
+            "need": F.min(F.when(F.col("live"), F.col("pos"))).over(stretch), "r": F.element_at("key", -1),
+        }).where("pos >= need")
+        whole = F.col("pos") + 2 * span - 1 <= F.col("last")
+        pairs = rows.where("live").groupBy("r", "nxt").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("f"), F.max(whole).alias("whole"))
+        pairs, path = _ordered(pairs, ["r", "nxt"], "ranks", "n")
+        self.paths.append(path)
+        # ended and unique suffixes meet no pair: all ranks are 0 or more
+        rows = rows.withColumn("r", F.when(F.col("live"), F.col("r")).otherwise(-1 - F.abs(F.xxhash64(*PLACE) % (1 << 60))))
+        joined = salted_join(rows, pairs.withColumn("shared", F.col("c") > 1).drop("c"), ["r", "nxt"], hot_keys(pairs, ["r", "nxt"], n), PLACE, "left")
+        after = joined.select(
+            *PLACE, "grp", "last", F.when(F.col("live"), F.concat("key", F.array("n"))).otherwise(F.col("key")).alias("key"),
+            (F.col("live") & F.coalesce(F.col("shared") & F.col("whole"), F.lit(False))).alias("live"), F.col("f").alias("h"), F.col("live").alias("was"), F.col("h").alias("led"),
+        )
+        return materialize(after, "level")
+
+    def earlier(self) -> DataFrame:
+        """(id, t, pos, l) of the positions whose first line also stands earlier, with the number of lines l from there that
+        do so together: the longest prefix that the suffix shares with one of an earlier position."""
+        shared = None
+        for k in range(len(self.levels) - 1, -1, -1):
+            new = self.levels[k].where("lead AND h != struct(id, t, pos)").select(*PLACE, "h", F.lit(1 << k).alias("l"))
+            shared = new if shared is None else shared.unionByName(new)
+            if not k:
+                break
+            shared, path = materialize(shared, "shared")
+            self.paths.append(path)
+            shared, path = self._bit(shared, k - 1)
+            self.paths.append(path)
+        return self.lines.select(*PLACE).withColumn("l", F.lit(0)).limit(0) if shared is None else shared.select(*PLACE, "l")
+
+    def _bit(self, shared: DataFrame, j: int) -> tuple[DataFrame, str]:
+        """shared after deciding whether 2**j lines more are shared. A set (h, l) holds positions that share l lines with
+        position h, the first of them, and that are first themselves for 2**(j + 1) more."""
+        n = shared.count()
+        at = self.levels[j].select("id", "t", F.col("pos").alias("_at"), F.col("r").alias("y"))
+        asked = shared.withColumn("_at", F.col("pos") + F.col("l")).join(at, ["id", "t", "_at"], "left").drop("_at")
+        # a position that is alone with its next lines shares no more; it meets no part, as ranks are 0 or more
+        asked = asked.withColumn("y", F.coalesce("y", -1 - F.abs(F.xxhash64(*PLACE) % (1 << 60))))
+        asked, path = materialize(asked, "asked")
+        self.paths.append(path)
+        parts = asked.where("y >= 0").groupBy("h", "l", "y").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("f"))
+        heads = asked.where("y >= 0").select("h", "l").distinct().select("h", "l", F.col("h.id").alias("id"), F.col("h.t").alias("t"), (F.col("h.pos") + F.col("l")).alias("_at"))
+        heads = heads.join(at, ["id", "t", "_at"]).select("h", "l", "y", F.lit(True).alias("own"))
+        parts = parts.join(heads, ["h", "l", "y"], "left").select("h", "l", "y", "c", F.when(F.col("own"), F.col("h")).otherwise(F.col("f")).alias("f"))
+        parts, path = materialize(parts, "parts")
+        self.paths.append(path)
+        split = salted_join(asked, parts.drop("c"), ["h", "l", "y"], hot_keys(parts, ["h", "l", "y"], n), PLACE, "left")
+        more = F.coalesce(F.col("f") != F.struct(*PLACE), F.lit(False))
+        return materialize(split.select(*PLACE, F.when(more, F.col("f")).otherwise(F.col("h")).alias("h"), F.when(more, F.col("l") + (1 << j)).otherwise(F.col("l")).alias("l")), "shared")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
+    """(id, t, gone) with gone the sorted line numbers to delete, for the documents that have any; and its path."""
+    array = SuffixArray(docs, id_col, text_col)
+    runs = array.earlier().withColumn("end", F.col("pos") + F.col("l") - 1)
+    to_end = array.lines.select("id", "t", F.col("pos").alias("end"), F.col("cw").alias("upto"))
+    runs = runs.join(to_end, ["id", "t", "end"]).select(*PLACE, "end", "upto")
+    reach = F.max(F.when(F.col("upto") - F.col("cw") + F.col("w") >= min_words, F.col("end"))).over(Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    gone = array.lines.select(*PLACE, "cw", "w").join(runs, PLACE, "left").withColumn("reach", reach).where("reach >= pos")
+    made = materialize(gone.groupBy(*DOC).agg(F.sort_array(F.collect_list("pos")).alias("gone")), "gone")
+    array.drop()
+    return made
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs deleted from text_col, and n_lines and n_removed (replaced if they clash)."""
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone, _ = materialize(repeated_lines(docs, id_col, text_col, min_words), "gone")
+    gone, _ = repeated_lines(docs, id_col, text_col, min_words)
     n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    gone = checked_broadcast(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "gone"), 1, 40 * n + 4 * size)
+    own_id, own_t, own_gone = (fresh(c, docs.columns) for c in ("_id", "_t", "_gone"))
+    gone = checked_broadcast(gone.select(F.col("id").alias(own_id), F.col("t").alias(own_t), F.col("gone").alias(own_gone)), 1, 40 * n + 4 * size)
     left = docs.select(*cols)
-    text = F.col(text_col)
-    joined = left.join(gone, (left[id_col] == gone["_id"]) & (F.xxhash64(text) == gone["_t"]), "left")
+    text, listed = F.col(text_col), F.col(own_gone)
+    joined = left.join(gone, (left[id_col] == gone[own_id]) & (F.xxhash64(text) == gone[own_t]), "left")
     lines = F.split(text, "\n")
     # the one-element transform binds the split lines, so that they are not split again for each line
-    kept = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i)), "\n")), F.lit(0))
-    cleaned = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    kept = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), listed), lambda i: F.get(ls, i)), "\n")), F.lit(0))
+    cleaned = F.when(listed.isNull(), text).otherwise(kept)
     n_lines = F.when(text.isNotNull(), F.size(lines)).otherwise(F.lit(0)).cast("long")
-    removed = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(F.lit(0))
-    return joined.select(*[cleaned.alias(c) if c == text_col else left[c] for c in cols], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed"))
+    removed = F.when(listed.isNotNull(), F.size(listed)).otherwise(F.lit(0))
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in cols], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed"))
