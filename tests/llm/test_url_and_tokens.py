@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import public_tokenizers
 
+from variform.llm import url_filter
 from variform.llm.token_counts import RankedBpe, allocate, count_tokens, line_sections
 from variform.llm.url_filter import filter_urls, validity_intervals
 
@@ -27,6 +28,18 @@ def test_list_entries_hold_at_fetch_time(spark):
     assert not any(r.blocked for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, blocked string"), entries.limit(0)).collect())
 
 
+def test_any_column_names_long_urls_and_hot_captures(spark):
+    entries = spark.createDataFrame([("spam.com/" + "p" * 3000, "block", DAY(0)), ("spam.com", "block", DAY(5))], "pattern string, action string, at timestamp")
+    long = "http://spam.com/" + "p" * 3000 + "/" + "q" * 50_000
+    rows = [(1, long, DAY(1), "m", "a", "n")] + [(2, "http://x.spam.com/", DAY(6), "m", "a", "n")] * 300 + [(3, None, DAY(6), "m", "a", "n")] * 100
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, m string, _at string, n string")
+    for bound in (1 << 25, 0):  # the broadcast, and the join beyond it
+        old, url_filter.BROADCAST_BYTES = url_filter.BROADCAST_BYTES, bound
+        got = filter_urls(df, entries).collect()
+        url_filter.BROADCAST_BYTES = old
+        assert sorted((r.page_id, r.blocked, r.n_matches, r.m, r["_at"], r.n) for r in got) == [(1, True, 1, "m", "a", "n")] + [(2, True, 1, "m", "a", "n")] * 300 + [(3, False, 0, "m", "a", "n")] * 100
+
+
 TEXTS = ["", "one line", "a\n\nb\n", "héllo 日本語 😀😀\nwörld  \n\n  x", "😀" * 500 + "\n" + "y" * 20_000, None]
 
 
