@@ -55,9 +55,21 @@ def test_slices_give_the_scores_of_one_index(spark):
     # the first items repeat one another's words, so that a slice's own frequencies are far from those of all
     bench = [(i, " ".join(f"w{r.randrange(30 if i < 40 else 400)}" for _ in range(r.randint(6, 40)))) for i in range(120)]
     table = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
-    one, many = build_slices(table), build_slices(table, slice_bytes=900)
+    one, many = list(build_slices(table)), list(build_slices(table, slice_bytes=900))
     assert len(one) == 1 < len(many) and sum(len(x.items) for x in many) == len(one[0].items) == 120
     for _ in range(40):
         text = " ".join(f"w{r.randrange(400)}" for _ in range(50)) + " " + " ".join(r.choice(bench)[1].split()[: r.randint(4, 40)])
         found = [{x.items[i][0]: (round(s, 6), o) for i, (s, o) in x.search(text, 0.3, 0.1).items()} for x in (*one, *many)]
         assert found[0] == {k: v for part in found[1:] for k, v in part.items()}
+
+
+def test_passes_over_slices_find_what_one_does(spark):
+    r = random.Random(7)
+    bench = [(i, q) for i, q, _ in items(r, 30)]
+    table = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    rows = [(d, " ".join([*(f"f{r.randrange(90)}" for _ in range(20)), *(bench[d][1].split() if d % 2 else [])]), "m") for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, matches string")
+    found = [sorted((x.doc_id, x.item_id, x.score) for x in contamination(df, table, slice_bytes=n).collect()) for n in (1 << 20, 700)]
+    assert found[0] == found[1] and [x[:2] for x in found[0]] == [(d, d) for d in range(1, 30, 2)]
+    out = drop_contaminated(df, table, slice_bytes=700)
+    assert sorted(x.doc_id for x in out.collect()) == list(range(0, 30, 2)) and out.columns == df.columns and out.first().matches == "m"

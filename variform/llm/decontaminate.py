@@ -11,12 +11,14 @@ Retrieved items are verified: the share of the question's word shingles (five wo
 shingle) that the passage holds must reach ``min_overlap``, and the answer, where an item has one, must stand in the
 passage as a word sequence.
 
-The items are a test set: they are collected in slices of at most ``slice_bytes`` of text, and each slice is one pass.
+The items are a test set: they are read in slices of at most ``slice_bytes`` of text, one at a time, and each slice is
+one broadcast and one pass, written before the next is built.
 Document frequencies, item count, mean and longest length are those of all items, so slices do not change a score.
 
 Defined results: a null or empty text holds no item; items without words are never found; equal items are all
 reported; a null item identifier is reported as null; repeated documents are judged alike; with an empty table of
-documents or items nothing is found; clashing columns of the input are replaced.
+documents or items nothing is found; very long texts are searched whole; a ``matches`` column of the input is replaced
+by ``find_items`` and stays in ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import drop_path, fresh, materialize, small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -185,35 +187,47 @@ class Bm25Index:
         return best
 
 
-def build_slices(items: DataFrame, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES) -> list[Bm25Index]:
-    """Indexes over all items, each of at most about slice_bytes of text."""
-    picked = items.select(F.col(id_col), F.col(question_col), F.col(answer_col) if answer_col else F.lit(None).cast("string"))
+class ItemSlices:
+    """Indexes over all items, one after the other, each of at most about slice_bytes of text: the driver holds one."""
 
-    def slices() -> Iterator[list[tuple]]:
+    def __init__(self, items: DataFrame, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES):
+        self.picked = items.select(F.col(id_col), F.col(question_col), F.col(answer_col) if answer_col else F.lit(None).cast("string"))
+        self.slice_bytes, self.stats, self.count, self.only = slice_bytes, ItemStats(), 0, None
+        for held in self._rows():
+            self.count += 1
+            self.only = held if self.count == 1 else None
+            for _, q, a in held:
+                self.stats.add(words(q) + words(a))
+
+    def _rows(self) -> Iterator[list[tuple]]:
         rows, size = [], 0
-        for r in picked.toLocalIterator():
+        for r in self.picked.toLocalIterator():
             rows.append(tuple(r))
             size += len(r[1] or "") + len(r[2] or "")
-            if size >= slice_bytes:
+            if size >= self.slice_bytes:
                 yield rows
                 rows, size = [], 0
         if rows:
             yield rows
 
-    stats, count, held = ItemStats(), 0, []
-    for held in slices():
-        count += 1
-        for _, q, a in held:
-            stats.add(words(q) + words(a))
-    return [Bm25Index(held, stats)] if count < 2 else [Bm25Index(rows, stats) for rows in slices()]
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[Bm25Index]:
+        for rows in [self.only] if self.only is not None else self._rows():
+            yield Bm25Index(rows, self.stats)
+
+
+def build_slices(items: DataFrame, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES) -> ItemSlices:
+    return ItemSlices(items, id_col, question_col, answer_col, slice_bytes)
 
 
-def find_items(docs: DataFrame, index: Bm25Index, id_type: T.DataType, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """docs (or its columns ``keep``) with matches, array<struct<item_id, score, overlap>> in item order."""
-    cols = [c for c in (keep if keep is not None else docs.columns) if c != "matches"]
+def find_items(docs: DataFrame, index: Bm25Index, id_type: T.DataType, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, column: str = "matches") -> DataFrame:
+    """docs (or its columns ``keep``) with ``column``, array<struct<item_id, score, overlap>> in item order."""
+    cols = [c for c in (keep if keep is not None else docs.columns) if c != column]
     src = docs.select(*cols, docs[text_col].alias("_dec_text"))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType())]))
-    schema = T.StructType([*[src.schema[c] for c in cols], T.StructField("matches", kind)])
+    schema = T.StructType([*[src.schema[c] for c in cols], T.StructField(column, kind)])
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,25 +239,35 @@ def find_items(docs: DataFrame, index: Bm25Index, id_type: T.DataType, text_col:
             for text in b.column(len(cols)):
                 best = ix.search(text.as_py(), threshold, min_overlap)
                 made.append([{"item_id": ix.items[i][0], "score": round(s, 6), "overlap": round(o, 6)} for i, (s, o) in sorted(best.items())])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(made, arrow)], names=[*cols, "matches"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(made, arrow)], names=[*cols, column])
 
     small_batches(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, **limits) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES, **limits) -> DataFrame:
     """One row per document and item that it holds: id_col, item_id, score, overlap."""
-    out = None
-    for index in build_slices(items, item_col, question_col, answer_col):
-        found = find_items(docs, index, items.schema[item_col].dataType, text_col, keep=[id_col], **limits)
-        rows = found.select(id_col, F.inline("matches"))
+    slices, out = build_slices(items, item_col, question_col, answer_col, slice_bytes), None
+    kind = items.schema[item_col].dataType
+    for index in slices or [Bm25Index([])]:
+        rows = find_items(docs, index, kind, text_col, keep=[id_col], **limits).select(id_col, F.inline("matches"))
+        if len(slices) > 1:
+            # written before the next slice is built, so that one index at a time is broadcast
+            rows, _ = materialize(rows, "matches")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, **limits) -> DataFrame:
-    """docs without the rows that hold an item; all columns stay."""
-    for index in build_slices(items, item_col, question_col, answer_col):
-        found = find_items(docs, index, items.schema[item_col].dataType, text_col, **limits)
-        docs = found.where(F.size("matches") == 0).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, slice_bytes: int = SLICE_BYTES, **limits) -> DataFrame:
+    """docs without the rows that hold an item; all columns stay, whatever their names."""
+    slices, path, spark = build_slices(items, item_col, question_col, answer_col, slice_bytes), None, docs.sparkSession
+    columns, mark = docs.columns, fresh("matches", docs.columns)
+    for k, index in enumerate(slices):
+        found = find_items(docs, index, items.schema[item_col].dataType, text_col, column=mark, **limits)
+        docs = found.where(F.size(mark) == 0).select(*columns)
+        if k < len(slices) - 1:
+            old = path
+            docs, path = materialize(docs, "clean")
+            if old:
+                drop_path(spark, old)
     return docs
