@@ -8,13 +8,16 @@ below the threshold are dropped; all others are confirmed on the full sets.
 
 A bucket's pairs are never listed. Each bucket's hub (the member whose buckets are the largest, as the common origin
 of a group of copies is) is paired with every member, which takes one row a member. Confirmed links are joined to
-components. Only the members of buckets that then still hold several components are looked at again, by an exact
-search that leaves out no link between components: every set's shingles are put in one order, rarest first; two
+components. Only the members of buckets that then still hold several components are looked at again, by a search that
+leaves out no link between their components: every set's shingles are put in one order, rarest first; two
 linked sets share a shingle among the first of both, and where it stands bounds what they can share in all. Shingles
 whose holders all have one component are dropped, and holders of a shingle's largest component are only met by others.
+These pairs are confirmed on the full sets without the sketches. Buckets, hubs, star centres and shingles that very
+many rows have are dealt over many tasks (salted joins).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. Two nodes at the threshold are missed by all bands
-with a chance of (1 - s**rows)**bands: 3e-6 at 0.8 with 32 x 5.
+with a chance of (1 - s**rows)**bands: 3e-6 at 0.8 with 32 x 5. A linked pair of a hub is dropped by the sketches if its
+estimate is SLACK too low, over five standard errors: under 1e-6.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a text with fewer
 words than a shingle has its whole sequence as one; rows that repeat an identifier are one node for each set of
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, drop_path, materialize, small_batches
+from .common import BitFilter, drop_path, hot_keys, materialize, salted_join, small_batches
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
@@ -154,28 +157,33 @@ def odd_estimate(a: Column, b: Column, samples: int, bits: int = SKETCH_BITS) ->
     return F.lit(1.0) + F.lit(bits / 4.0 / samples) * F.log(inside)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (u, v): label is the smallest node reachable. Alternating large and small stars."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) of every node of edges (u, v), and its path: label is the smallest node reachable. Alternating large
+    and small stars; the edges of a star's centre are dealt over many tasks if they are very many."""
     current, path = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     seen = None
     while True:
+        n = 2 * current.count()
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = large.unionByName(least.where("m != u").select("u", F.col("m").alias("v"))).distinct()
+        large = salted_join(both.where("v > u"), least.select("u", "m"), ["u"], hot_keys(least, ["u"], n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large, large_path = materialize(large.unionByName(least.where("m != u").select("u", F.col("m").alias("v"))).distinct(), "large")
         # small star: every smaller neighbour, and the node itself, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = salted_join(large, low.select("u", "m"), ["u"], hot_keys(low, ["u"], n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         after, after_path = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_path(edges.sparkSession, path)
+        for old in (path, large_path):
+            drop_path(edges.sparkSession, old)
         current, path = after, after_path
         if tuple(state) == seen:
             break
         seen = tuple(state)
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    made = materialize(current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "labels")
+    drop_path(edges.sparkSession, path)
+    return made
 
 
 class NearDuplicates:
@@ -183,7 +191,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bands: int, rows: int):
         self.docs, self.k, self.percent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, percent
-        self.samples = bands * rows
+        self.samples, self.paths = bands * rows, []
         self.signed, _ = materialize(signatures(docs, k, id_col, text_col, bands, rows), "signed")
         filled = self.signed.where("n > 0 AND id IS NOT NULL")
         self.repeated, _ = materialize(filled.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated")
@@ -206,15 +214,22 @@ class NearDuplicates:
         least = node - F.pmod(node, F.lit(NUMBERS).cast("decimal(38,0)"))
         return (least / F.lit(NUMBERS).cast("decimal(10,0)")).cast(self.docs.schema["id"].dataType)
 
-    def members(self) -> DataFrame:
-        """(key, node, n, size) of all buckets with two nodes or more."""
+    def scratch(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that goes when the labels are known."""
+        made, path = materialize(df, name)
+        self.paths.append(path)
+        return made
+
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        """(key, node, n, size) of all buckets with two nodes or more, and the keys that very many have."""
         rows = self.nodes.select("node", "n", F.explode("keys").alias("key"))
-        shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        return materialize(rows.join(shared, "key"), "members")[0]
+        shared = self.scratch(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        hot = hot_keys(shared, ["key"], shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "size")
+        return self.scratch(salted_join(rows, shared, ["key"], hot, ["node"]), "members"), hot
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from their texts."""
-        wanted, _ = materialize(wanted.select("node").distinct(), "wanted")
+        wanted = self.scratch(wanted.select("node").distinct(), "wanted")
         if self.numbered:
             return self.numbered_sets(wanted)
         n = wanted.count()
@@ -228,7 +243,7 @@ class NearDuplicates:
                 made = [shingle_set(t.as_py(), k).view(np.int64) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-        return materialize(texts.select("id", "text").mapInArrow(run, kind), "sets")[0]
+        return self.scratch(texts.select("id", "text").mapInArrow(run, kind), "sets")
 
     def numbered_sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes where identifiers repeat: the text is the one with the node's set."""
@@ -244,62 +259,86 @@ class NearDuplicates:
                 out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["node", "shingles"])
                 yield out.filter(own)
 
-        return materialize(texts.select("node", "text", "set_id").mapInArrow(run, kind).dropDuplicates(["node"]), "sets")[0]
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) at or above the threshold."""
-        sketch = self.nodes.select("node", "sketch")
-        near = pairs.join(sketch.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u").join(sketch.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v")
-        near = near.where(odd_estimate(F.col("su"), F.col("sv"), self.samples) >= self.percent / 100 - SLACK).select("u", "v")
-        near, _ = materialize(near, "near")
-        sets = self.sets(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))))
-        full = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        return self.scratch(texts.select("node", "text", "set_id").mapInArrow(run, kind).dropDuplicates(["node"]), "sets")
+
+    def confirm(self, pairs: DataFrame, sketched: bool = True) -> DataFrame:
+        """The pairs (u, v) at or above the threshold; sketched: drop those first whose odd-sketch estimate is far below.
+
+        The node of a pair that has more pairs (a hub) comes last, so that its set is not shuffled for each of them."""
+        pairs = self.scratch(pairs, "pairs")
+        n = pairs.count()
+        degree = pairs.select(F.col("u").alias("x")).unionByName(pairs.select(F.col("v").alias("x"))).groupBy("x").agg(F.count("*").alias("c"))
+        hot = self.scratch(hot_keys(degree, ["x"], n), "hot")
+        named = lambda df, x, **cols: df.select(F.col("node").alias(x), *[F.col(c).alias(k) for k, c in cols.items()])
+        parts = lambda x: hot.select(F.col("x").alias(x), "_parts")
+        # at most one node of HOT_SHARE is hot, and a pair of two hot ones may stand either way
+        hubs = F.broadcast(hot.select(F.col("x").alias("u"), F.lit(True).alias("_hub")))
+        turned = pairs.join(hubs, "u", "left").select(
+            F.when(F.col("_hub"), F.col("v")).otherwise(F.col("u")).alias("m"), F.when(F.col("_hub"), F.col("u")).otherwise(F.col("v")).alias("h")
+        )
+        near = turned
+        if sketched:
+            near = salted_join(near, named(self.nodes, "m", sm="sketch"), ["m"], parts("m"), ["h"])
+            near = salted_join(near, named(self.nodes, "h", sh="sketch"), ["h"], parts("h"), ["m"])
+            near = near.where(odd_estimate(F.col("sm"), F.col("sh"), self.samples) >= self.percent / 100 - SLACK).select("m", "h")
+        near = self.scratch(near, "near")
+        sets = self.sets(near.select(F.col("m").alias("node")).unionByName(near.select(F.col("h").alias("node"))))
+        full = salted_join(near, named(sets, "m", a="shingles"), ["m"], parts("m"), ["h"])
+        full = salted_join(full, named(sets, "h", b="shingles"), ["h"], parts("h"), ["m"])
         both = F.size(F.array_intersect("a", "b"))
         # 100 * both >= percent * (|a| + |b| - both)
-        return materialize(full.where(both * (100 + self.percent) >= (F.size("a") + F.size("b")) * self.percent).select("u", "v"), "links")[0]
+        links = full.where(both * (100 + self.percent) >= (F.size("a") + F.size("b")) * self.percent)
+        return self.scratch(links.select(F.greatest("m", "h").alias("u"), F.least("m", "h").alias("v")), "links")
 
-    def hub_pairs(self, members: DataFrame) -> DataFrame:
+    def hub_pairs(self, members: DataFrame, hot: DataFrame) -> DataFrame:
         """Every member with the hub of its bucket."""
         weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
         hubs = members.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("o"))).alias("h"))
-        pairs = members.select("key", "node").join(hubs.select("key", (-F.col("h.o")).alias("hub")), "key").where("node != hub")
+        pairs = salted_join(members.select("key", "node"), hubs.select("key", (-F.col("h.o")).alias("hub")), ["key"], hot, ["node"]).where("node != hub")
         return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
-    def contested_pairs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+    def contested_pairs(self, members: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs between components, of nodes in buckets of three or more that hold several, that can be links.
 
         With shingles in one order, rarest first, a link's first shared shingle at places i and j (from 0) leaves at most
         1 + min(|a| - 1 - i, |b| - 1 - j) shared ones."""
         p = self.percent
-        rows = members.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        rows = self.scratch(members.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
         split = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-        nodes, _ = materialize(rows.join(split, "key").select("node", "n", "label").distinct(), "contested")
+        nodes = self.scratch(salted_join(rows, split, ["key"], hot, ["node"]).select("node", "n", "label").distinct(), "contested")
         shingles = self.sets(nodes).select("node", F.explode("shingles").alias("h"))
-        common = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        held = shingles.join(common, "h").join(nodes, "node")
+        common = self.scratch(shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+        n = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        held = salted_join(shingles, common, ["h"], hot_keys(common, ["h"], n, "df"), ["node"]).join(nodes, "node")
         # shingles of one holder come first in the order; they need no rows
         w = Window.partitionBy("node")
         first = held.select(
             "node", "n", "label", "h", (F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "h")) - 1).alias("i")
         ).where((F.col("n") - F.col("i")) * 100 >= F.col("n") * p)
-        first, _ = materialize(first, "first")
-        largest = first.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1")
-        mixed, _ = materialize(first.join(largest.drop("k"), "h"), "mixed")
+        first = self.scratch(first, "first")
+        largest = first.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1")
+        largest = self.scratch(largest.drop("k"), "largest")
+        wide = hot_keys(largest, ["h"], largest.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        mixed = self.scratch(salted_join(first, largest.drop("c"), ["h"], wide, ["node"]), "mixed")
         side = lambda s, df: df.select("h", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "i")])
         a, b = side("_a", mixed.where("label != most")), side("_b", mixed)
         shared = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-        pairs = a.join(b, "h").where((F.col("label_a") != F.col("label_b")) & (shared * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p))
+        pairs = salted_join(a, b, ["h"], wide, ["node_a"]).where((F.col("label_a") != F.col("label_b")) & (shared * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p))
         return pairs.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
 
     def labels(self) -> DataFrame:
         """(node, label) of all linked nodes."""
-        members = self.members()
-        links = self.confirm(self.hub_pairs(members))
-        first, _ = materialize(components(links), "labels")
-        more = self.confirm(self.contested_pairs(members, first))
-        if more.isEmpty():
-            return first
-        return materialize(components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)), "labels")[0]
+        members, hot = self.members()
+        links = self.confirm(self.hub_pairs(members, hot))
+        labels, path = components(links)
+        more = self.confirm(self.contested_pairs(members, hot, labels), sketched=False)
+        if not more.isEmpty():
+            first, old = labels, path
+            labels, _ = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
+            drop_path(first.sparkSession, old)
+        for path in self.paths:
+            drop_path(self.nodes.sparkSession, path)
+        return labels
 
 
 def near_groups(
