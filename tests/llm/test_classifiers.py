@@ -41,6 +41,47 @@ def test_languages_beyond_the_limit_are_learned(spark):
     assert all(x.lang == x.lang_pred and not x.rejected for x in language_id.identify(df, model).collect())
 
 
+def test_predictions_equal_a_plain_rendering(spark):
+    import unicodedata
+
+    import zstandard as z
+
+    docs = table(spark, SF, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    plain = {}
+    for r in docs.where("doc_id % 5 = 0").collect():
+        low = unicodedata.normalize("NFC", r.text or "").lower()
+        words = "".join(c if c.isalpha() else " " for c in low).split()
+        raw = (" " + " ".join(words) + " ").encode()
+        sizes = []
+        for lang, content in sorted(model.contents.items()):
+            maker = z.ZstdCompressor(level=6, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(maker.compress(raw[i : i + 4096] + content[-256:])) for i in range(0, len(raw), 4096)), lang))
+        best, second = sorted(sizes)[:2]
+        plain[r.doc_id] = (best[1], (second[0] - best[0]) / best[0] < 0.002) if words else ("und", True)
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language_id.identify(docs.where("doc_id % 5 = 0"), model).collect()}
+    # a dictionary that is loaded beforehand may be matched a little otherwise than one loaded for the text
+    assert sum(got[k][0] != plain[k][0] for k in plain) <= len(plain) // 100
+
+
+def test_language_ties_repeats_and_clashing_columns(spark):
+    rows = [(i, "aba abab baba", lang) for i, lang in enumerate(["x", "y"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert set(model.contents) == {"x", "y"} and all(c == b" aba abab baba" for c in model.contents.values())
+    assert model.predict("aba abab")[0] == "x" and model.predict("aba abab")[3]
+    out = language_id.identify(df.withColumn("margin", F.lit("m")).withColumn("d", F.lit("e")), model)
+    assert sorted(out.columns) == ["d", "doc_id", "lang", "lang_pred", "margin", "rejected", "score", "text"] and out.count() == 40
+
+
+def test_pieces_come_from_the_whole_text():
+    text = " ".join(f"w{i}" for i in range(5000)).encode()
+    cut = language_id.spread_pieces(text, 1000)
+    words = cut.split()
+    assert len(cut) <= 1000 and set(words) <= set(text.split()) and words[0] == b"w0" and words[-1] == b"w4999"
+    assert language_id.spread_pieces("é".encode() * 500, 101) == "é".encode() * 50 and language_id.spread_pieces(b"a b", 9) == b"a b"
+
+
 def test_toxicity_held_out_and_interactions(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     held = language_id.held_out("doc_id", 3, 1)
@@ -83,3 +124,41 @@ def test_factorization_machine_learns_a_pair():
         y.append(float(a and b))
     fm = toxicity.FactorizationMachine().fit(docs, np.array(y))
     assert fm.score(np.array([1, 2, 15])) > 0.9 > 0.3 > fm.score(np.array([1, 15])) and fm.score(np.array([2, 15])) < 0.3
+
+
+def test_pairs_of_terms_that_are_harmless_singly():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    docs, y = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append(np.array(sorted({*rng.integers(10, 60, 5), *([1] if a else []), *([2] if b else [])})))
+        y.append(float(a == b))
+    fm = toxicity.FactorizationMachine().fit(docs, np.array(y))
+    assert fm.kept.tolist() == [1, 2]
+    assert min(fm.score(np.array([1, 2, 15])), fm.score(np.array([15]))) > 0.9 > 0.1 > max(fm.score(np.array([1, 15])), fm.score(np.array([2, 15])))
+
+
+def test_scores_equal_a_sum_over_all_pairs():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 30, 6)) for _ in range(800)]
+    fm = toxicity.FactorizationMachine().fit(docs, np.array([float(3 in d and (5 in d or 7 in d)) for d in docs]), min_z=2.0)
+    place = {int(t): i for i, t in enumerate(fm.kept)}
+    for d in docs[:50]:
+        ids = [place[t] for t in d.tolist() if t in place]
+        z = fm.bias + sum(fm.w[i] for i in ids) + sum(float(fm.v[i] @ fm.v[j]) for k, i in enumerate(ids) for j in ids[:k])
+        assert abs(fm.score(d) - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_toxicity_learns_one_text_of_a_repeated_identifier(spark):
+    rows = [(i % 40, f"{'bad' if i % 40 < 20 else 'good'} word here") for i in range(200)] + [(None, "bad"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 3 + [(99, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.withColumn("score", F.lit("s")), model).collect()
+    assert len(scored) == 202 and all((r.score > 0.7) == (r.text or "").startswith("bad") for r in scored if r.doc_id != 99)
