@@ -1,7 +1,9 @@
 """Personal data in texts, with DataFrame functions only.
 
 Per kind, a regular expression proposes leftmost non-overlapping spans; a validator confirms them (octet range for
-addresses, Luhn for card numbers, digit count for phones, mod-97 for IBANs); words of the surroundings move a score.
+addresses, Luhn for card numbers, digit count for phones, mod-97 for IBANs, digits and letters for secrets); words of the
+surroundings move a score, and spans below ``min_score`` are not reported. The base kinds reach it by their validator;
+long hexadecimal and key-like strings, which are mostly digests and names of files, only where a word nearby says so.
 Offsets come from the lengths of the pieces between matches, so they count code points, and ends are exclusive.
 
 The patterns are possessive forms of the stated ones. Where a run can only match as a whole, a look-behind stops
@@ -22,6 +24,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9_-])(?:[0-9A-Fa-f]{32,}+|AKIA[0-9A-Z]{16}+|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])"
 
 #: kind, pattern, a substring pattern that every match contains, score when confirmed, context words; in output order.
 KINDS = (
@@ -30,10 +33,11 @@ KINDS = (
     ("card", CARD, None, 0.80, r"(?i)\b(?:card|visa|credit|debit|payment|amex)\b"),
     ("phone", PHONE, "+", 0.70, r"(?i)\b(?:tel|phone|call|mobile|fax|whatsapp)\b"),
     ("iban", IBAN, None, 0.85, r"(?i)\b(?:iban|bank|account|transfer|konto|cuenta|compte)\b"),
+    ("secret", SECRET, None, 0.30, r"(?i)(?:token|secret|passw(?:or)?d|pwd|passwort|api.?key|auth|bearer|credential)"),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
-CONTEXT_CHARS = 40
-CONTEXT_BONUS = 0.1
+#: Characters on either side that are looked at, what a context word adds, and the least score of a span that is reported.
+CONTEXT_CHARS, CONTEXT_BONUS, MIN_SCORE = 40, 0.3, 0.5
 
 
 def _digits(s: Column) -> Column:
@@ -75,6 +79,8 @@ def confirmed(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(s, F.lit(" "), F.lit("")))
+    if kind == "secret":
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -100,17 +106,19 @@ def _scored(text: Column, ord_: int, kind: str, pattern: str, _mark: str | None,
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] + 1 - CONTEXT_CHARS, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        bonus = F.when(before.rlike(words), CONTEXT_BONUS).otherwise(0.0)
+        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
+        bonus = F.when(before.rlike(words) | after.rlike(words), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
             s["start"].alias("start"), F.lit(ord_).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text"),
-            F.round(F.lit(base) + bonus, 3).alias("score"),
+            F.round(F.least(F.lit(base) + bonus, F.lit(1.0)), 3).alias("score"),
         )
 
     return F.transform(good, scored)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the identifier and spans, array<struct<start, ord, end, kind, text, score>> by start, then kind as in KINDS."""
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """Per row: the identifier and the spans of at least min_score, array<struct<start, ord, end, kind, text, score>> by
+    start, then kind as in KINDS."""
     df = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = F.col("_text")
     none = F.array().cast("array<string>")
@@ -120,16 +128,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         proposals[f"_m_{kind}"] = F.when(text.contains(mark), found).otherwise(none) if mark else found
     df = df.withColumns(proposals)
     spans = [_scored(text, ord_, *kind) for ord_, kind in enumerate(KINDS)]
-    return df.select(id_col, F.array_sort(F.concat(*spans)).alias("spans"))
+    return df.select(id_col, F.array_sort(F.filter(F.concat(*spans), lambda s: s["score"] >= min_score)).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """docs with every span of at least min_score replaced by <KIND>; overlapping spans are replaced once, from the first."""
     # The row travels as the identifier, so nothing is joined back.
-    inner = find_pii(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(text_col)), "_row", text_col)
+    inner = find_pii(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole")), "_row", "_whole", min_score)
 
     def step(acc: Column, s: Column) -> Column:
-        skip = (s["start"] < acc["at"]) | (s["score"] < min_score)
+        skip = s["start"] < acc["at"]
         piece = F.concat(F.substring(F.coalesce(F.col(f"_row.{text_col}"), F.lit("")), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.when(skip, acc["at"]).otherwise(s["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
