@@ -182,11 +182,12 @@ def _flags(selected: list[bool] | None, n: int) -> Column:
 
 
 def compare_numbers(op: str, a: Column, b: Column) -> Column:
-    """Two-valued comparison of nullable doubles; in single precision unless a side exceeds 2**24."""
+    """Two-valued comparison of nullable doubles; in single precision unless a side exceeds 2**24. NaN equals nothing and
+    has no order (Spark would put it above all numbers)."""
     ops: dict[str, Callable] = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
     test = ops[op]
     wide = (a > 16777216) | (b > 16777216)
-    held = F.when(wide, test(a, b)).otherwise(test(a.cast("float"), b.cast("float")))
+    held = F.when(F.isnan(a) | F.isnan(b), op == "!=").when(wide, test(a, b)).otherwise(test(a.cast("float"), b.cast("float")))
     if op in ("=", "!="):
         one_missing = a.isNull() != b.isNull()
         return F.when(a.isNull() & b.isNull(), op == "=").when(one_missing, op == "!=").otherwise(held)
@@ -524,22 +525,28 @@ class Compiler:
         if not (isinstance(a, Truth) and isinstance(b, Truth)):
             raise ExpressionError(f"{op} joins conditions")
         both = op[0] == "&"
-        site = (a.site & b.site) if both else (a.site | b.site)
         if a.passes is None and b.passes is None:
-            return Truth(site)
+            return Truth(a.site & b.site if both else a.site | b.site)
         selected = _merge(a.selected, b.selected) if a.passes is not None and b.passes is not None else (a if a.passes is not None else b).selected
+        if op == "&" and a.passes is not None and b.passes is not None:
+            # samples pass only where their side does, so the record follows from them and nothing is mentioned twice
+            passes = F.zip_with(a.passes, b.passes, lambda x, y: x & y)
+            return Truth(F.exists(passes, lambda p: p), passes, selected)
+        site = (a.site & b.site) if both else (a.site | b.site)
         chosen, nothing = _flags(selected, self.n), _flags([False] * self.n, self.n)
         if a.passes is None or b.passes is None:
             scalar, own = (a, b.passes) if a.passes is None else (b, a.passes)
-            passes = F.when(scalar.site, chosen).otherwise(own) if op == "||" else own
-        elif op == "&":
-            passes = F.zip_with(a.passes, b.passes, lambda x, y: x & y)
-            site = site & F.exists(passes, lambda p: p)
+            if op == "||":
+                passes = F.when(scalar.site, chosen).otherwise(own)
+            else:
+                # with |, samples pass by their own side alone
+                passes = F.when(scalar.site, own).otherwise(nothing) if both else own
         elif op == "||":
-            passes = chosen
+            passes = F.when(site, chosen).otherwise(nothing)
         else:
             passes = F.zip_with(a.passes, b.passes, lambda x, y: x | y)
-        return Truth(site, F.when(site, passes).otherwise(nothing), selected)
+            passes = F.when(site, passes).otherwise(nothing) if op == "&&" else passes
+        return Truth(site, passes, selected)
 
     # arithmetic
 
@@ -662,10 +669,10 @@ def reduce_values(how: str, arr: Column) -> Column:
     def of(values: Column) -> Column:
         n = F.size(values)
         total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-        if how == "MAX":
-            return F.array_max(values)
-        if how == "MIN":
-            return F.array_min(values)
+        if how in ("MAX", "MIN"):
+            # NaN is passed over; without any other value the result is the empty one's, an infinity
+            pick, empty = (F.array_max, float("-inf")) if how == "MAX" else (F.array_min, float("inf"))
+            return F.coalesce(pick(F.filter(values, lambda x: ~F.isnan(x))), F.lit(empty))
         if how == "SUM":
             return total
         if how == "AVG":

@@ -17,17 +17,40 @@ PAIRINGS = ("snps", "indels", "both", "all", "some", "exact", "id")
 MODES = ("", ".", "+", ".+", "-", "=", ".=")
 
 
-def overlap_join(targets: DataFrame, sources: DataFrame, width: int = 1 << 12) -> DataFrame:
+#: Bin widths of the interval join: an interval goes by the first level whose bins are no shorter.
+LEVELS = (1 << 7, 1 << 13, 1 << 19)
+
+
+def _binned(df: DataFrame, a: str, b: str, levels: Column) -> DataFrame:
+    """df once for every bin that [a, b] reaches in each of the levels: _level and _bin."""
+    width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), F.col("_level") + 1)
+    df = df.withColumn("_level", F.explode(levels))
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
+
+
+def _level(a: str, b: str) -> Column:
+    out = F.lit(len(LEVELS) - 1)
+    for k in range(len(LEVELS) - 2, -1, -1):
+        out = F.when(F.col(b) - F.col(a) < LEVELS[k], k).otherwise(out)
+    return out
+
+
+def overlap_join(targets: DataFrame, sources: DataFrame) -> DataFrame:
     """Every target with every source interval it overlaps: an equi-join on bins plus the exact test.
 
-    targets: row_id, chrom, start, end; sources: serial, chrom, from, to. A pair meets in several bins but is emitted
-    only in the first bin that both reach, so nothing is deduplicated afterwards."""
-    bins = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))
-    t = targets.withColumn("_bin", F.explode(bins("start", "end")))
-    s = sources.withColumnRenamed("chrom", "_chrom").withColumn("_sbin", F.explode(bins("from", "to")))
+    targets: row_id, chrom, start, end; sources: serial, chrom, from, to. The longer interval of a pair says at which level
+    of bins it meets, so that a long one is not cut into many short bins nor a short one lost in a wide bin. A pair that
+    meets in several bins is emitted only in the first that both reach, so nothing is deduplicated afterwards."""
+    upward = lambda own: F.sequence(own, F.lit(len(LEVELS) - 1))
+    width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), F.col("_level") + 1)
+    t = targets.withColumn("_own", _level("start", "end"))
+    t = _binned(t, "start", "end", upward(F.col("_own")))
+    s = sources.withColumnRenamed("chrom", "_chrom").withColumn("_slevel", _level("from", "to"))
+    s = _binned(s, "from", "to", upward(F.col("_slevel"))).withColumnsRenamed({"_level": "_at", "_bin": "_sbin"})
     first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("from") / width))
-    held = (t["chrom"] == s["_chrom"]) & (t["_bin"] == s["_sbin"]) & (s["from"] <= t["end"]) & (s["to"] >= t["start"]) & (t["_bin"] == first)
-    return t.join(s, held).drop("_bin", "_sbin", "_chrom")
+    held = (t["chrom"] == s["_chrom"]) & (t["_level"] == s["_at"]) & (t["_bin"] == s["_sbin"]) & (s["from"] <= t["end"]) & (s["to"] >= t["start"])
+    held = held & (t["_level"] == F.greatest("_own", "_slevel")) & (t["_bin"] == first)
+    return t.join(s, held).drop("_bin", "_sbin", "_chrom", "_own", "_slevel", "_level", "_at")
 
 
 def target_spans(df: DataFrame, header: VariantHeader, *extra: str) -> DataFrame:
@@ -36,15 +59,55 @@ def target_spans(df: DataFrame, header: VariantHeader, *extra: str) -> DataFrame
     return df.select("row_id", "chrom", F.col("pos").alias("start"), checked.alias("end"), *extra)
 
 
-def match_intervals(df: DataFrame, header: VariantHeader, sources: DataFrame, min_overlap: tuple[float, float] | None = None, first: bool = True) -> DataFrame:
+def match_layout(names: list[str]) -> set[str]:
+    """The match columns of a tabular source, checked: CHROM with POS, or with FROM and TO; REF and ALT go together, and
+    with POS only; none twice but '-'."""
+    alike = {"BEG": "FROM", "END": "TO"}
+    found = [alike.get(n, n) for n in names if alike.get(n, n) in ("CHROM", "POS", "FROM", "TO", "REF", "ALT", "~ID", "~INFO/END")]
+    if len(set(found)) != len(found):
+        raise ValueError("an annotation match column stands twice")
+    layout = set(found)
+    if "CHROM" not in layout or layout & {"POS", "FROM", "TO"} not in ({"POS"}, {"FROM", "TO"}):
+        raise ValueError("tabular annotation needs CHROM with POS, or with FROM and TO")
+    if ("REF" in layout) != ("ALT" in layout):
+        raise ValueError("tabular allele matching needs both REF and ALT")
+    if "REF" in layout and "POS" not in layout:
+        raise ValueError("tabular REF and ALT need POS rather than FROM and TO")
+    return layout
+
+
+def _source_alts() -> Column:
+    return F.when(F.col("ALT").isNull() | (F.col("ALT") == "."), F.array().cast("array<string>")).otherwise(F.split("ALT", ","))
+
+
+def match_intervals(df: DataFrame, header: VariantHeader, sources: DataFrame, min_overlap: tuple[float, float] | None = None, first: bool = True, layout: set[str] = frozenset()) -> DataFrame:
     """(row_id, source columns) of overlapping intervals: the lowest serial of each record, or all of them.
 
-    min_overlap: least shares of the source and of the target that the overlap covers."""
-    pairs = overlap_join(target_spans(df, header), sources)
+    min_overlap: least shares of the source and of the target that the overlap covers. layout: of ``match_layout``; with
+    REF and ALT (columns of the source) a row must start at the record and have an allele that maps to one of it (then
+    _map says which), ~ID must share an ID, and ~INFO/END be the record's END where it has one."""
+    with_end = "~INFO/END" in layout and "END" in header.infos
+    extra = ["ref", "alts"] if "REF" in layout else []
+    extra += ["ids"] if "~ID" in layout else []
+    targets = target_spans(df, header, *extra, *([F.col("info.END").alias("_end")] if with_end else []))
+    # the record's own columns would clash with the source's in any case
+    targets = targets.withColumnsRenamed({c: f"_t_{c}" for c in extra})
+    if "REF" in layout:
+        pairs = targets.join(sources.withColumnsRenamed({"chrom": "_chrom"}), (F.col("chrom") == F.col("_chrom")) & (F.col("start") == F.col("from"))).drop("_chrom")
+        pairs = pairs.withColumn("_s_alts", _source_alts()).withColumn("_map", allele_map("_t_ref", "_t_alts", "REF", "_s_alts"))
+        mapped = F.exists(F.slice("_map", 2, F.greatest(F.size("_s_alts"), F.lit(1))), lambda a: a.isNotNull())
+        bare = (F.size("_s_alts") == 0) & (F.size("_t_alts") == 0) & (F.get("_map", F.lit(0)) == 0)
+        pairs = pairs.where(F.coalesce(F.when(F.size("_s_alts") == 0, bare).otherwise(mapped), F.lit(False)))
+    else:
+        pairs = overlap_join(targets, sources)
+    if "~ID" in layout:
+        pairs = pairs.where(F.coalesce(F.size(F.array_intersect("_t_ids", F.split(F.col("~ID"), ";"))) > 0, F.lit(False)))
+    if with_end:
+        pairs = pairs.where(F.col("_end").isNull() | F.col("_end").eqNullSafe(F.col("~INFO/END").cast("int")))
     if min_overlap is not None:
         shared = (F.least("end", "to") - F.greatest("start", "from") + 1).cast("double")
         pairs = pairs.where((shared / (F.col("to") - F.col("from") + 1) >= min_overlap[0]) & (shared / (F.col("end") - F.col("start") + 1) >= min_overlap[1]))
-    carried = [c for c in sources.columns if c != "chrom"]
+    carried = [F.col(f"`{c}`") for c in [*(c for c in sources.columns if c != "chrom"), *(["_map"] if "REF" in layout else [])]]
     if not first:
         return pairs.select("row_id", *carried)
     best = pairs.groupBy("row_id").agg(F.min_by(F.struct(*carried), "serial").alias("m"))
@@ -92,14 +155,91 @@ def allele_map(ref: str, alts: str, s_ref: str, s_alts: str) -> Column:
     t_alts, s_alts_ = F.transform(alts, lambda a: F.upper(a)), F.transform(s_alts, lambda a: F.upper(a))
     extra_t, extra_s = F.substring(t, F.length(s) + 1, F.length(t)), F.substring(s, F.length(t) + 1, F.length(s))
     compatible = t.startswith(s) | s.startswith(t)
-    symbolic = lambda a: a.startswith("<") | (a == "*")
-    widen = lambda a, extra: F.when(symbolic(a), a).otherwise(F.concat(a, extra))
-    wide_t = F.transform(t_alts, lambda a: widen(a, extra_s))
-    place = lambda a: F.array_position(wide_t, widen(a, extra_t)).cast("int")
+    # with REFs of two lengths no symbolic ALT or '*' equals its widened self, as it must not
+    wide_t = F.transform(t_alts, lambda a: F.concat(a, extra_s))
+    place = lambda a: F.array_position(wide_t, F.concat(a, extra_t)).cast("int")
     mapped = F.concat(F.array(F.lit(0)), F.transform(s_alts_, lambda a: F.nullif(place(a), F.lit(0))))
     return F.when(compatible, mapped).otherwise(F.transform(F.concat(F.array(s), s_alts_), lambda a: F.lit(None).cast("int")))
 
 
+def merge_alleles(mode: str, number: str, target: Column, source: Column, missing: Column, mapping: Column, n_alleles: Column) -> Column:
+    """A Number=A or R array after each source allele's value was written to the allele of the target it maps to, under a
+    write mode; other alleles keep theirs. missing: the source has an explicit '.', for all its alleles."""
+    low = 1 if number == "A" else 0
+    kind = F.lit(None)
+    present = F.coalesce(target, F.transform(F.sequence(F.lit(low), n_alleles - 1), lambda i: kind))
+
+    def one(old: Column, i: Column) -> Column:
+        place = F.array_position(mapping, (i + low).cast("int")).cast("int") - 1 - low
+        new = F.get(source, place)
+        written = {
+            "": F.coalesce(new, old), ".": new, "+": F.coalesce(old, new), ".+": F.coalesce(old, new), "-": F.when(target.isNotNull(), new),
+        }[mode]
+        return F.when(place >= 0, written).otherwise(old)
+
+    made = F.transform(present, one)
+    emptied = F.transform(present, lambda old, i: F.when(F.array_contains(mapping, (i + low).cast("int")), kind).otherwise(old))
+    changed = F.when(source.isNotNull(), made)
+    if mode == ".":
+        changed = changed.when(missing & target.isNotNull(), emptied)
+    # nothing written to an absent field leaves it absent
+    return F.when((n_alleles > low) & (target.isNotNull() | F.exists(made, lambda x: x.isNotNull())), F.coalesce(changed, target)).otherwise(target)
+
+
+def genotype_lists(n: Column, ploidy: int) -> Column:
+    """array<array<int>>: the genotypes of n alleles in the order of Number=G, each with its alleles in ascending order."""
+
+    def grown(p: int):
+        # those with highest allele k: the genotypes of one copy less whose highest is k at most, which come first
+        first = lambda less, k: F.slice(less, F.lit(1), _choose(k + p - 1, p - 1).cast("int"))
+        return lambda less: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(first(less, k), lambda g: F.concat(g, F.array(k)))))
+
+    out = F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.array(a))
+    for p in range(2, ploidy + 1):
+        out = variant.let(out, grown(p))
+    return out
+
+
+def _choose(n: Column, k: int) -> Column:
+    """n over k for a column n and a small k."""
+    out = F.lit(1).cast("long")
+    for i in range(k):
+        out = F.floor(out * (n - i) / (i + 1)).cast("long")
+    return out
+
+
+def _genotype_index(g: Column, ploidy: int) -> Column:
+    """Place of a genotype of ascending alleles among all in the order of Number=G."""
+    out = F.lit(0).cast("long")
+    for i in range(1, ploidy + 1):
+        out = out + _choose(F.get(g, F.lit(i - 1)) + i - 1, i)
+    return out.cast("int")
+
+
+MAX_PLOIDY = 4
+
+
+def remap_genotypes(value: Column, mapping: Column, n_source: Column, n_target: Column, name: str) -> Column:
+    """A Number=G array in the order of the target's genotypes; those with an allele the source lacks are null. The ploidy
+    is the one whose number of genotypes is the array's length."""
+
+    def place(p: int):
+        own = lambda g: F.transform(g, lambda a: F.nullif(F.array_position(mapping, a.cast("int")).cast("int"), F.lit(0)) - 1)
+        return lambda g: F.when(~F.exists(own(g), lambda a: a.isNull()), _genotype_index(F.array_sort(own(g)), p))
+
+    out = F.raise_error(F.lit(f"{name} fits no ploidy up to {MAX_PLOIDY}")).cast("array<int>")
+    for p in range(MAX_PLOIDY, 0, -1):
+        out = F.when(F.size(value) == _choose(n_source + p - 1, p), F.transform(genotype_lists(n_target, p), place(p))).otherwise(out)
+    return F.when(value.isNotNull() & (F.size(value) > 0), F.transform(out, lambda i: F.get(value, i)))
+
+
+def remap_call(gt: Column, mapping: Column) -> Column:
+    """A genotype in the target's alleles; one that the target lacks is an error."""
+    lost = F.raise_error(F.lit("FORMAT/GT has an allele that cannot be represented in the target")).cast("int")
+    alleles = F.transform(gt["alleles"], lambda a: F.when(a.isNotNull(), F.coalesce(F.get(mapping, a), lost)))
+    return F.when(gt.isNotNull(), F.struct(alleles.alias("alleles"), gt["phased"].alias("phased")))
+
+
 def write(mode: str, source: Column, source_missing: Column, target: Column) -> Column:
     """A value under a write mode. source: the new value (null if it has none); source_missing: it is an explicit '.';
     target: the present value. '' replaces by values, '.' also by missing ones, '+' fills, '.+' fills also with missing
@@ -172,17 +312,25 @@ def annotate_intervals(
     """Transfer columns of the first overlapping interval (serial, chrom, from, to, text columns) to records.
 
     Array fields in append mode take the values of all overlapping intervals, by serial. keep: records to annotate (the
-    others stay as they are)."""
-    _, transfers = parse_columns(columns)
+    others stay as they are). With REF and ALT among the columns, Number=A and R fields take each source allele's value to
+    the record's allele, of all matching rows by serial; the source then has columns REF and ALT (text), ~ID or ~INFO/END
+    likewise."""
+    names, transfers = parse_columns(columns)
+    layout = match_layout(names)
     for t in transfers:
         if t.kind == "INFO" and t.dest and t.dest not in header.infos:
             raise HeaderError(f"INFO/{t.dest} is not declared")
     appended = [t for t in transfers if t.mode in ("=", ".=")]
-    matches = match_intervals(df, header, sources, min_overlap, first=not appended)
+    by_allele = [t for t in transfers if "REF" in layout and t.kind == "INFO" and t.dest and t not in appended and _is_by_allele(header.infos[t.dest])]
+    several = bool(appended or by_allele)
+    matches = match_intervals(df, header, sources, min_overlap, first=not several, layout=layout)
     names = sorted({t.source for t in transfers})
-    if appended:
+    if several:
         agg = [F.min_by(F.col(n), "serial").alias(f"_a_{n}") for n in names]
-        agg += [F.transform(F.array_sort(F.collect_list(F.struct("serial", F.col(n).alias("v")))), lambda x: x["v"]).alias(f"_all_{n}") for n in names]
+        agg += [F.transform(F.array_sort(F.collect_list(F.struct("serial", F.col(n).alias("v")))), lambda x: x["v"]).alias(f"_all_{n}") for n in sorted({t.source for t in appended})]
+        if by_allele:
+            rows = F.struct("serial", "_map", *[F.col(n) for n in sorted({t.source for t in by_allele})])
+            agg.append(F.array_sort(F.collect_list(rows), lambda x, y: F.when(x["serial"] < y["serial"], -1).otherwise(1)).alias("_rows"))
         matches = matches.groupBy("row_id").agg(F.lit(True).alias("_hit"), *agg)
     else:
         matches = matches.select("row_id", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_a_{n}") for n in names])
@@ -211,6 +359,9 @@ def annotate_intervals(
                 values = F.transform(F.filter(F.col(f"_all_{t.source}"), lambda v: v.isNotNull()), lambda v: v.cast(element))
                 new = write(t.mode, F.when(gate & (F.size(values) > 0), values), missing, F.col("info")[t.dest])
                 header = header.with_(infos=header.infos | {t.dest: Field(f.id, ".", f.type, f.description)})
+            elif t in by_allele:
+                present = F.col("info")[t.dest].cast(f.spark())
+                new = F.when(gate, F.aggregate("_rows", present, _folded(t, f))).otherwise(present)
             else:
                 new = write(t.mode, _parsed(source, f), missing, F.col("info")[t.dest])
             info = info.withField(t.dest, new.cast(f.spark()))
@@ -221,14 +372,20 @@ def annotate_intervals(
 
 
 def annotate_variants(
-    df: DataFrame, header: VariantHeader, sources: DataFrame, source_header: VariantHeader, columns: str, *, logic: str = "some", samples: list[str] | None = None, exclude: bool = False,
+    df: DataFrame, header: VariantHeader, sources: DataFrame, source_header: VariantHeader, columns: str, *, logic: str = "some", samples: list[str] | None = None, exclude: bool = False, keep: Column | None = None,
 ) -> tuple[DataFrame, VariantHeader]:
-    """Transfer columns of the first variant of ``sources`` that pairs with each record; Number=A and R values follow the
-    alleles, FORMAT values the sample names."""
+    """Transfer columns of the first variant of ``sources`` that pairs with each record.
+
+    Number=A and R values of INFO are written allele by allele, those of FORMAT and Number=G as a whole in the order of the
+    target's alleles and genotypes; GT follows its alleles; FORMAT values go by sample names. keep: records to annotate
+    (the others stay as they are)."""
     _, transfers = parse_columns(columns)
+    if any(t.mode in ("=", ".=") for t in transfers):
+        raise HeaderError("append mode needs a tabular source")
     m = match_variants(df, header, sources, logic, source_header)
     out = df.join(m.withColumn("_hit", F.lit(True)), "row_id", "left").withColumn("_map", allele_map("ref", "alts", "s_ref", "s_alts"))
-    hit = F.col("_hit").isNotNull()
+    gate = F.lit(True) if keep is None else keep
+    hit = F.col("_hit").isNotNull() & gate
     expanded: list[Transfer] = []
     for t in transfers:
         if t.kind == "INFO" and t.dest is None:
@@ -259,7 +416,13 @@ def annotate_variants(
             sample_edits.append((t.dest, t, known))
             continue
         present = F.col("info")[t.dest] if t.dest in header.infos else F.lit(None).cast(known.spark())
-        info = info.withField(t.dest, write(t.mode, _by_allele(F.when(hit, F.col("s_info")[t.source]), known), hit & F.col("s_info")[t.source].isNull(), present))
+        raw = F.when(hit, _sized(F.col("s_info")[t.source], known, f"INFO/{t.source}"))
+        missing = hit & raw.isNull()
+        if _is_by_allele(known):
+            new = merge_alleles(t.mode, known.number, present, raw, missing, F.col("_map"), F.size("alts") + 1).cast(known.spark())
+        else:
+            new = write(t.mode, _remapped(raw, known, f"INFO/{t.source}"), missing, present)
+        info = info.withField(t.dest, new)
     out = out.withColumn("info", info)
     if sample_edits:
         names = samples if samples is not None and not exclude else [s for s in header.samples if s in source_header.samples and not (exclude and s in (samples or []))]
@@ -274,17 +437,48 @@ def annotate_variants(
                 present = s[dest] if dest in header.formats else F.lit(None).cast(f.spark())
                 if i in source_place:
                     raw = F.get("s_samples", F.lit(source_place[i]))[t.source]
-                    present = write(t.mode, _by_allele(F.when(hit, raw), f), hit & raw.isNull(), present)
+                    raw = F.when(hit, _sized(raw, f, f"FORMAT/{t.source}"))
+                    present = write(t.mode, _remapped(raw, f, f"FORMAT/{t.source}"), hit & raw.isNull(), present)
                 s = s.withField(dest, present)
             rows.append(s)
         out = out.withColumn("samples", F.array(*rows))
     return out.select(*df.columns), header.with_(infos=infos, formats=formats)
 
 
-def _by_allele(value: Column, f: Field) -> Column:
-    """A Number=A or R array in the order of the target's alleles (column _map maps the source's)."""
-    if f.scalar or f.number not in ("A", "R"):
+def _folded(t: Transfer, f: Field):
+    """Writes the values of one tabular row (its columns and _map) into an array by allele."""
+    low = 1 if f.number == "A" else 0
+
+    def fold(acc: Column, row: Column) -> Column:
+        wrong = F.raise_error(F.lit(f"INFO/{t.dest} has another number of values than its row has alleles")).cast(f.spark())
+        value = variant.let(_parsed(row[t.source], f), lambda v: F.when(v.isNull() | (F.size(v) == F.size(row["_map"]) - low), v).otherwise(wrong))
+        return merge_alleles(t.mode, f.number, acc, value, row[t.source].isNull(), row["_map"], F.size("alts") + 1).cast(f.spark())
+
+    return fold
+
+
+def _is_by_allele(f: Field) -> bool:
+    return not f.scalar and f.number in ("A", "R")
+
+
+def _sized(value: Column, f: Field, name: str) -> Column:
+    """A Number=A or R array of a source that has ALTs, of as many values as it has alleles; any other number is an error."""
+    if not _is_by_allele(f):
+        return value
+    n = F.size("s_alts") + (0 if f.number == "A" else 1)
+    wrong = F.raise_error(F.lit(f"{name} has another number of values than its record has alleles")).cast(f.spark())
+    return F.when(value.isNull() | (F.size(value) == n) | (F.size("s_alts") == 0), value).otherwise(wrong)
+
+
+def _remapped(value: Column, f: Field, name: str) -> Column:
+    """A source's value in the order of the target's alleles or genotypes (column _map maps the source's); null where the
+    source has none."""
+    if f.id == "GT":
+        return remap_call(value, F.col("_map"))
+    if f.scalar or f.number not in ("A", "R", "G"):
         return value
+    if f.number == "G":
+        return remap_genotypes(value, F.col("_map"), F.size("s_alts") + 1, F.size("alts") + 1, name)
     low = 1 if f.number == "A" else 0
     targets = F.sequence(F.lit(low), F.size("alts"))
     source_of = lambda i: F.array_position("_map", i).cast("int") - 1 - low

@@ -96,8 +96,10 @@ def snp_gap(df: DataFrame, distance: int, types: str = "indel", width: int = 1 <
     rows = rows.where(F.col("mask").bitwiseAND(bits | variant.SNP) != 0)
     rows = _in_range_bins(rows, F.col("reach"), width)
     snp, listed = F.col("mask").bitwiseAND(variant.SNP) != 0, F.col("mask").bitwiseAND(bits) != 0
-    w = Window.partitionBy("chrom", "_bin").orderBy("pos", "row_id")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # running frames only look back, so a row costs the same however many its bin has: ahead is back in the other order
+    w = Window.partitionBy("chrom", "_bin")
+    before = w.orderBy("pos", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    after = w.orderBy(F.desc("pos"), F.desc("row_id")).rowsBetween(Window.unboundedPreceding, -1)
     next_listed = F.min(F.when(listed, F.col("pos"))).over(after)
     reached = F.max(F.when(listed, F.col("reach"))).over(before)
     # a later record of a listed type marks the earlier SNP instead of itself
@@ -117,14 +119,32 @@ def first_alt_count(header: VariantHeader) -> Column:
     return F.when(ac.isNotNull() & (an >= 0), F.when(usable, F.get(ac, F.lit(0)))).otherwise(gt)
 
 
-def indel_gap(df: DataFrame, header: VariantHeader, distance: int) -> DataFrame:
+def _chained(rows: DataFrame, width: int) -> DataFrame:
+    """rows (chrom, pos, row_id, until) with chain: a number a contig of the chains, which end where POS lies beyond the until
+    of the record before. Bins of ``width`` positions are chained by themselves, then the bins by their ends."""
+    rows = rows.withColumn("_bin", F.floor(F.col("pos") / width))
+    inside = Window.partitionBy("chrom", "_bin").orderBy("pos", "row_id")
+    place = F.struct("pos", "row_id")
+    ends = rows.withColumn("_opens", F.coalesce(F.col("pos") > F.lag("until").over(inside), F.lit(False))).groupBy("chrom", "_bin").agg(
+        F.sum(F.col("_opens").cast("long")).alias("_n"), F.min_by("pos", place).alias("_first"), F.max_by("until", place).alias("_last")
+    )
+    # one row a bin
+    bins = Window.partitionBy("chrom").orderBy("_bin")
+    before = F.lag("_last").over(bins)
+    ends = ends.withColumn("_before", before).withColumn("_new", F.coalesce(F.col("_first") > F.col("_before"), F.lit(True)).cast("long"))
+    base = F.sum(F.col("_n") + F.col("_new")).over(bins) - F.col("_n")
+    ends = ends.withColumn("_base", base).select("chrom", "_bin", "_base")
+    opens = F.coalesce(F.col("pos") > F.lag("until").over(inside), F.lit(False))
+    counted = rows.withColumn("_opens", opens.cast("long")).withColumn("_local", F.sum("_opens").over(inside))
+    return counted.join(ends, ["chrom", "_bin"]).withColumn("chain", F.col("_base") + F.col("_local")).drop("_bin", "_opens", "_local", "_base")
+
+
+def indel_gap(df: DataFrame, header: VariantHeader, distance: int, width: int = 1 << 16) -> DataFrame:
     """(row_id) of the indels of a chain that are not its best: highest QUAL above 0, else most copies of the first ALT."""
     rows = df.where(variant.record_class().bitwiseAND(variant.INDEL) != 0).select(
         "row_id", "chrom", "pos", (F.col("pos") + F.length("ref") - 1 + distance).alias("until"), "qual", first_alt_count(header).alias("ac")
     )
-    in_chrom = Window.partitionBy("chrom").orderBy("pos", "row_id")
-    opens = F.coalesce(F.col("pos") > F.lag("until").over(in_chrom), F.lit(True))
-    rows = rows.withColumn("chain", F.sum(opens.cast("long")).over(in_chrom))
+    rows = _chained(rows, width)
     chain = Window.partitionBy("chrom", "chain")
     ordered = chain.orderBy("pos", "row_id")
     rows = rows.withColumns({

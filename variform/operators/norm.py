@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from variform.functions import variant
 from variform.operators.annotate import overlap_join
+from variform.operators.ordered import last_before
 from variform.sources.header import Field, VariantHeader
 
 MAX_PLOIDY = 8
@@ -146,7 +149,7 @@ def check_order(df: DataFrame) -> DataFrame:
     chunks' last rows."""
     chunked = df.select("row_id", "contig_idx", "pos", F.floor(F.col("row_id") / (1 << 18)).alias("chunk"))
     ends = chunked.groupBy("chunk").agg(F.max(F.struct("row_id", "contig_idx", "pos")).alias("l"))
-    previous = ends.select("chunk", F.lag("l").over(Window.orderBy("chunk")).alias("p"))
+    previous = last_before(ends, "chunk", "l", "p")
     w = Window.partitionBy("chunk").orderBy("row_id")
     rows = chunked.join(previous, "chunk").withColumn("before", F.coalesce(F.lag(F.struct("row_id", "contig_idx", "pos")).over(w), F.col("p")))
     problem = F.when(F.col("before.contig_idx") > F.col("contig_idx"), "contig-order").when(
@@ -181,7 +184,7 @@ def _merge_group(rows: list[dict], header: VariantHeader, strict_filter: bool) -
         maps.append(mapping)
     out = dict(rows[0], ref=ref, alts=alts)
     out["ids"] = list(dict.fromkeys(i for r in rows for i in r["ids"]))
-    quals = [r["qual"] for r in rows if r["qual"] is not None and not pd.isna(r["qual"])]
+    quals = [r["qual"] for r in rows if r["qual"] is not None]
     out["qual"] = max(quals) if quals else None
     filters: list[str] = []
     for r in rows:
@@ -254,7 +257,7 @@ def _merge_gt(calls: list, maps: list[list[int]]):
     for call, m in zip(calls, maps, strict=True):
         if call is None or call["alleles"] is None:
             continue
-        alleles = [None if a is None or pd.isna(a) else m[int(a)] for a in call["alleles"]]
+        alleles = [None if a is None else m[a] for a in call["alleles"]]
         if merged is None:
             merged = {"alleles": alleles, "phased": list(call["phased"])}
             continue
@@ -273,41 +276,47 @@ def join_multiallelic(df: DataFrame, header: VariantHeader, policy: str = "any",
     alone = df.join(crowded, ["chrom", "pos"], "left_anti").select(*df.columns)
     several = df.join(crowded, ["chrom", "pos"], "left_semi").withColumn("_mask", variant.record_class().bitwiseAND(~variant.REF & 0xFF)).select(*df.columns, "_mask")
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = [_plain(r) for r in group.sort_values("row_id").to_dict("records")]
+    kind = to_arrow_schema(schema)
+
+    def groups_of(rows: list[dict]) -> list[list[dict]]:
         if policy == "any":
-            groups = [rows]
-        else:
-            rows.sort(key=lambda r: r["_mask"])
-            groups = []
-            while rows:
+            return [rows]
+        rows = sorted(rows, key=lambda r: r["_mask"])
+        groups = []
+        while rows:
+            size = 0
+            for target in JOIN_TARGETS[policy]:
                 size = 0
-                for target in JOIN_TARGETS[policy]:
-                    size = 0
-                    while size < len(rows) and rows[size]["_mask"] in (0, target):
-                        size += 1
-                    if size:
-                        break
-                size = max(size, 1)
-                groups.append(rows[:size])
-                rows = rows[size:]
-        made = [g[0] if len(g) == 1 else _merge_group(g, header, strict_filter) for g in groups]
-        return pd.DataFrame([{c: r[c] for c in schema.fieldNames()} for r in made], columns=schema.fieldNames())
-
-    return alone.unionByName(several.groupBy("chrom", "pos").applyInPandas(fold, schema))
-
-
-def _plain(value):
-    """Lists and dicts out of the arrays that Arrow gives."""
-    if hasattr(value, "tolist") and getattr(value, "ndim", 0):
-        return [_plain(v) for v in value.tolist()]
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if isinstance(value, list | tuple):
-        return [_plain(v) for v in value]
-    if isinstance(value, float) and pd.isna(value):
-        return None
-    return value
+                while size < len(rows) and rows[size]["_mask"] in (0, target):
+                    size += 1
+                if size:
+                    break
+            size = max(size, 1)
+            groups.append(rows[:size])
+            rows = rows[size:]
+        return groups
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted, so a coordinate's stand together; only one coordinate's are held
+        held: list[dict] = []
+
+        def merged() -> list[dict]:
+            return [g[0] if len(g) == 1 else _merge_group(g, header, strict_filter) for g in groups_of(held)] if held else []
+
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if held and (held[0]["chrom"], held[0]["pos"]) != (row["chrom"], row["pos"]):
+                    made += merged()
+                    held = []
+                held.append(row)
+            if made:
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in kind.names} for r in made], schema=kind)
+        if held:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in kind.names} for r in merged()], schema=kind)
+
+    ordered = several.repartition("chrom", "pos").sortWithinPartitions("chrom", "pos", "row_id")
+    return alone.unionByName(ordered.mapInArrow(fold, schema))
 
 
 # ---------------------------------------------------------------- reference
@@ -351,53 +360,68 @@ def _anchored(pos: int, alleles: list[str], base) -> tuple[int, str, list[str]]:
     return pos, alleles[0], alleles[1:]
 
 
-def with_reference(df: DataFrame, fasta: DataFrame, chunk: int) -> DataFrame:
-    """df with context (reference bases) and context_start: the record's chunk with its neighbours, by an equi-join."""
-    at = F.floor((F.col("pos") - 1) / chunk)
-    around = [fasta.select(F.col("chrom").alias("_c"), (F.col("chunk") - d).alias("_k"), F.struct(F.lit(d).alias("d"), "seq").alias("p")) for d in (-1, 0, 1)]
+def with_reference(df: DataFrame, fasta: DataFrame, chunk: int, margin: int | None = None, only: Column | None = None) -> DataFrame:
+    """df with context (reference bases) and context_start, by an equi-join on chunks: the bases from ``margin`` before to
+    margin behind REF, cut out where the join meets, or without margin the record's chunk and its neighbours. only: the
+    records that are looked up (the others meet nothing)."""
+    beside = chunk if margin is None else margin
+    around = [
+        fasta.select(F.col("chrom").alias("_c"), (F.col("chunk") - d).alias("_k"), F.struct(F.lit(d).alias("d"), part.alias("seq")).alias("p"))
+        for d, part in ((-1, F.substring("seq", -beside, beside)), (0, F.col("seq")), (1, F.substring("seq", 1, beside)))
+    ]
     pieces = around[0].unionByName(around[1]).unionByName(around[2]).groupBy("_c", "_k").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    joined = pieces.select("_c", "_k", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("context"), (F.get("p", F.lit(0))["d"]).alias("_d"))
-    out = df.withColumn("_at", at).join(joined, (F.col("chrom") == F.col("_c")) & (F.col("_at") == F.col("_k")), "left")
-    start = (F.greatest(F.col("_k") + F.col("_d"), F.lit(0)) * chunk + 1).cast("int")
-    return out.select(*df.columns, "context", start.alias("context_start"))
+    ahead = F.when(F.get("p", F.lit(0))["d"] == -1, F.length(F.get("p", F.lit(0))["seq"])).otherwise(0)
+    pieces = pieces.select("_c", "_k", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("_seq"), (F.greatest("_k", F.lit(0)) * chunk + 1 - ahead).cast("int").alias("_from"))
+    at = F.floor((F.col("pos") - 1) / chunk)
+    if only is not None:
+        at = F.when(only, at).otherwise(-2 - F.pmod("row_id", F.lit(1 << 20)))  # no chunk, and no one task
+    out = df.withColumn("_at", at).join(pieces, (F.col("chrom") == F.col("_c")) & (F.col("_at") == F.col("_k")), "left")
+    if margin is None:
+        return out.select(*df.columns, F.col("_seq").alias("context"), F.col("_from").alias("context_start"))
+    start = F.greatest(F.col("pos") - margin, F.col("_from"))
+    bases = F.substring("_seq", start - F.col("_from") + 1, F.col("pos") - start + F.length("ref") + margin)
+    return out.select(*df.columns, bases.alias("context"), start.alias("context_start"))
 
 
-def normalize(df: DataFrame, fasta: DataFrame, chunk: int = 1 << 16, transcripts: DataFrame | None = None) -> DataFrame:
+def normalize(df: DataFrame, fasta: DataFrame, chunk: int = 1 << 16, transcripts: DataFrame | None = None, window: int = 256) -> DataFrame:
     """Left-align and trim against the reference (right-align on forward-only transcripts). Symbolic alleles, '*',
     breakends and records without an ALT stay as they are; IUPAC codes in REF count as their first base.
 
     Raises if a repeat is longer than the chunk before (or after) the record's own."""
     plain = (F.size("alts") > 0) & F.col("ref").rlike("(?i)^[ACGTNRYSWKMBDHV]+$") & F.forall("alts", lambda a: a.rlike("(?i)^[ACGTN]+$"))
-    rows = with_reference(df, fasta, chunk).withColumn("_plain", plain & F.col("context").isNotNull())
+    rows = df.withColumn("_ok", plain)
     if transcripts is not None:
         rows = rows.join(transcript_direction(df, transcripts), "row_id", "left").withColumn("_right", F.coalesce("right", F.lit(False))).drop("right")
     else:
         rows = rows.withColumn("_right", F.lit(False))
-    result = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alts", T.ArrayType(T.StringType()))])
+    result = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alts", T.ArrayType(T.StringType())), T.StructField("short", T.BooleanType())])
 
     @F.pandas_udf(result)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for pos, ref, alts, context, start, ok, right in batches:
             out = []
             for p, r, a, c, s, k, d in zip(pos, ref, alts, context, start, ok, right, strict=True):
-                if not k:
-                    out.append((p, r, list(a)))
-                    continue
-                p2, r2, a2, short = align(int(p), r, list(a), c.upper(), int(s), bool(d))
-                if short:
-                    raise ValueError(f"reference context too short at {p}")
-                out.append((p2, r2, a2))
-            yield pd.DataFrame(out, columns=["pos", "ref", "alts"])
+                out.append(align(int(p), r, list(a), c.upper(), int(s), bool(d)) if k else (p, r, list(a), False))
+            yield pd.DataFrame(out, columns=["pos", "ref", "alts", "short"])
+
+    def aligned(found: DataFrame, ok: Column) -> DataFrame:
+        column = run("pos", "ref", "alts", F.when(ok, F.col("context")).otherwise(""), F.coalesce("context_start", F.lit(0)), ok & F.col("context").isNotNull(), "_right")
+        return found.withColumn("_a", column).drop("context", "context_start")
 
-    rows = rows.withColumn("_n", run("pos", "ref", "alts", F.coalesce("context", F.lit("")), F.coalesce("context_start", F.lit(0)), "_plain", "_right"))
-    return rows.select(*[F.col(f"_n.{c}").alias(c) if c in ("pos", "ref", "alts") else F.col(c) for c in df.columns])
+    # nearly all records are settled by a short window; only the others meet the chunks around them
+    near = aligned(with_reference(rows, fasta, chunk, window), F.col("_ok"))
+    near = near.withColumn("_n", F.when(~F.col("_a.short"), F.col("_a"))).drop("_a")
+    far = aligned(with_reference(near, fasta, chunk, only=F.col("_n").isNull()), F.col("_n").isNull())
+    failed = F.raise_error(F.concat(F.lit("reference context too short at "), F.col("pos").cast("string"))).cast(result)
+    done = far.withColumn("_n", F.coalesce("_n", F.when(F.col("_a.short"), failed).otherwise(F.col("_a"))))
+    return done.select(*[F.col(f"_n.{c}").alias(c) if c in ("pos", "ref", "alts") else F.col(c) for c in df.columns])
 
 
 def transcript_direction(df: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(row_id, right): only forward transcripts overlap the record."""
     spans = df.select("row_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref") - 1).alias("end"))
     sources = transcripts.select("chrom", F.col("start").alias("from"), F.col("end").alias("to"), "reverse")
-    return overlap_join(spans, sources, 1 << 16).groupBy("row_id").agg((~F.bool_or("reverse")).alias("right"))
+    return overlap_join(spans, sources).groupBy("row_id").agg((~F.bool_or("reverse")).alias("right"))
 
 
 def check_reference(df: DataFrame, fasta: DataFrame, mode: str = "e", chunk: int = 1 << 16) -> DataFrame:

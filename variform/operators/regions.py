@@ -97,6 +97,44 @@ def select_regions(df: DataFrame, regions: Iterable[tuple[str, int, int]], mode:
     if len(regions) <= INLINE:
         held = overlap(regions, mode, info_end)
         return df.where(~held if negate else held)
-    table = df.sparkSession.createDataFrame(regions, "_chrom string, _lo int, _hi int")
     start, end = span(mode, info_end)
-    return df.join(table, (F.col("chrom") == F.col("_chrom")) & (start <= F.col("_hi")) & (end >= F.col("_lo")), "left_anti" if negate else "left_semi")
+    held = _looked_up(df.withColumns({"_start": start, "_end": end}), regions)
+    return held.where(~F.col("_held") if negate else F.col("_held")).select(*df.columns)
+
+
+def _looked_up(df: DataFrame, regions: list[tuple[str, int, int]], width: int = 1 << 14) -> DataFrame:
+    """df with _held: whether [_start, _end] overlaps one of many merged regions.
+
+    The regions become one row for every bin of positions up to the last start, with those that reach into the bin and the
+    number of earlier starts. A record asks the bins of its first and last position (two equi-joins, one row each): it
+    overlaps if a region covers the first, or if more regions start up to the last than up to the first."""
+    rows, last = [], {}
+    by_chrom: dict[str, list[tuple[int, int]]] = {}
+    for chrom, lo, hi in regions:
+        by_chrom.setdefault(chrom, []).append((lo, hi))
+    for chrom, own in by_chrom.items():
+        last[chrom] = own[-1][0] // width
+        bins: list[list[tuple[int, int]]] = [[] for _ in range(last[chrom] + 1)]
+        for lo, hi in own:
+            for b in range(lo // width, min(hi // width, last[chrom]) + 1):
+                bins[b].append((lo, hi))
+        started = 0
+        for b, reached in enumerate(bins):
+            rows.append((chrom, b, started, reached))
+            started += sum(lo // width == b for lo, _ in reached)
+    table = df.sparkSession.createDataFrame(rows, "_c string, _b int, _n int, _r array<struct<lo:int,hi:int>>")
+    ends = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])
+
+    def asked(out: DataFrame, at: str, name: str) -> DataFrame:
+        found = table.select(F.col("_c").alias("_c" + name), F.col("_b").alias("_b" + name), F.struct("_b", "_n", "_r").alias(name))
+        place = F.least(F.floor(F.col(at) / width), F.try_element_at(ends, F.col("chrom")))
+        return out.join(found, (F.col("chrom") == F.col("_c" + name)) & (place == F.col("_b" + name)), "left").drop("_c" + name, "_b" + name)
+
+    out = asked(asked(df, "_start", "_first"), "_end", "_last")
+    covers = F.exists("_first._r", lambda r: (r["lo"] <= F.col("_start")) & (r["hi"] >= F.col("_start")))
+
+    def starts_to(row: str, at: str) -> Column:
+        return F.col(f"{row}._n") + F.size(F.filter(f"{row}._r", lambda r: (r["lo"] <= F.col(at)) & (F.floor(r["lo"] / width) == F.col(f"{row}._b"))))
+
+    held = covers | (starts_to("_last", "_end") > starts_to("_first", "_start"))
+    return out.withColumn("_held", F.coalesce(held & (F.col("_end") >= F.col("_start")), F.lit(False)))

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from variform.functions import variant
 from variform.functions.expression import compare_numbers, compile_truth
 from variform.functions.stats import binom_udf
+from variform.operators.ordered import sums_before
 from variform.operators.filtering import fill_genotype, refresh_counts
 from variform.sources.header import HeaderError, VariantHeader
 
@@ -54,7 +55,7 @@ def draws_before(df: DataFrame, count: Column, chunk: int = 1 << 16) -> DataFram
     window holds the whole table."""
     rows = df.withColumn("_count", count.cast("long")).withColumn("_chunk", F.floor(F.col("row_id") / chunk))
     totals = rows.groupBy("_chunk").agg(F.sum("_count").alias("t"))
-    upto = totals.withColumn("_base", F.sum("t").over(Window.orderBy("_chunk")) - F.col("t")).drop("t")
+    upto = sums_before(totals, "_chunk", "t", "_base")
     inside = F.sum("_count").over(Window.partitionBy("_chunk").orderBy("row_id")) - F.col("_count")
     return rows.withColumn("_inside", inside).join(upto, "_chunk").withColumn("_before", F.col("_base") + F.col("_inside")).drop("_chunk", "_count", "_inside", "_base")
 
@@ -101,9 +102,11 @@ def _ranked() -> tuple[Column, Column]:
 
 
 def _deepest(s: Column) -> Column:
-    """The allele of the largest AD, ties to the lower index."""
+    """The allele of the largest AD, ties to the lower index; a missing, short, long or negative AD is an error."""
+    wrong = F.raise_error(F.lit("FORMAT/AD must have a depth of 0 or more for every allele")).cast("int")
     order = F.array_sort(F.filter(F.transform(s["AD"], lambda d, i: F.struct((-d).alias("d"), i.alias("i"))), lambda x: x["d"].isNotNull()))
-    return F.get(order, F.lit(0))["i"]
+    sound = (F.size(s["AD"]) == F.size("alts") + 1) & ~F.exists(s["AD"], lambda d: F.coalesce(d < 0, F.lit(False))) & (F.size(order) > 0)
+    return F.when(F.coalesce(sound, F.lit(False)), F.get(order, F.lit(0))["i"]).otherwise(wrong)
 
 
 def replacement(kind: str, s: Column) -> Column:
@@ -147,6 +150,10 @@ def set_genotypes(
         raise HeaderError("FORMAT/GT is not declared")
     if (new == "X" or (new.startswith("c:") and "X" in new)) and "AD" not in header.formats:
         raise HeaderError("FORMAT/AD is not declared")
+    if new == "X" or (new.startswith("c:") and "X" in new):
+        ad = header.formats["AD"]
+        if (ad.number, ad.type) != ("R", "Integer"):
+            raise HeaderError("FORMAT/AD must be an integer of Number=R")
     out = df.withColumn("_chosen", select_target(df, header, target, include, exclude))
     if fraction is not None:
         if not 0 < fraction < 1:

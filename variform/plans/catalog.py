@@ -141,13 +141,24 @@ _expression("fn_npass_fpass", "N_PASS(FMT/DP > 20) >= 3 && F_PASS(GT = \"het\")
 _expression("fn_count", "COUNT(FMT/DP) < 4 && COUNT(GT=\"het\") > 1", f"len({_VALUES}) < 4 AND len(list_filter(gt, lambda g: {_COMPLETE} AND g[1] <> g[2])) > 1")
 
 
-@q()
+#: Two-sided binomial test of the depths of the two called alleles of sample i, null where there is none.
+_DEPTHS = "list_transform(gt[i], lambda a: CASE WHEN a IS NOT NULL THEN ad[i][a + 1] END)"
+_BINOM_OF = "CASE WHEN {d}[1] IS NULL OR {d}[2] IS NULL OR {d}[1] + {d}[2] = 0 THEN NULL WHEN {d}[1] = {d}[2] THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({d}[1], {d}[2]) + 1), lambda j: exp(lgamma({d}[1] + {d}[2] + 1) - lgamma(j + 1) - lgamma({d}[1] + {d}[2] - j + 1) - ({d}[1] + {d}[2]) * ln(2.0))))) END"
+_BINOM = f"list_transform([1, 2, 3, 4], lambda i: {_BINOM_OF.format(d=_DEPTHS)})"
+
+
+@q(f"SELECT row_id, array_to_string(list_transform({_BINOM}, lambda p: CASE WHEN coalesce(CAST(p AS FLOAT) < CAST(0.05 AS FLOAT), false) THEN 'true' ELSE 'false' END), ',') AS passes FROM v WHERE len(list_filter({_BINOM}, lambda p: CAST(p AS FLOAT) < CAST(0.05 AS FLOAT))) > 0")
 def fn_binom(spark, sf_dir):
     t = compile_truth("BINOM(FMT/AD) < 0.05", HEADER)
     return variants(spark, sf_dir).where(t.site).select("row_id", F.array_join(t.passes.cast("array<string>"), ",").alias("passes"))
 
 
-@q()
+_FISHER_AT = "exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({x} + 1) - lgamma(a + b - {x} + 1) - lgamma(a + c - {x} + 1) - lgamma(d - a + {x} + 1))"
+
+
+@q(f"""SELECT row_id, chrom, pos, ref, alt FROM (SELECT *, {_FISHER_AT.format(x='a')} AS own FROM (
+        SELECT *, CAST((k * 3) % 23 AS INTEGER) AS a, CAST((k * 5) % 23 AS INTEGER) AS b, CAST((k * 7) % 23 AS INTEGER) AS c, CAST((k * 11) % 23 AS INTEGER) AS d FROM v))
+    WHERE a + b + c + d > 0 AND CAST(least(1.0, list_sum(list_filter(list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda x: {_FISHER_AT.format(x='x')}), lambda p: p <= own * (1 + 1e-7)))) AS FLOAT) < CAST(0.01 AS FLOAT)""")
 def fn_fisher(spark, sf_dir):
     header = HEADER.with_(infos=HEADER.infos | {"DP4": Field("DP4", "4", "Integer", "")})
     v = variants(spark, sf_dir)
@@ -453,7 +464,13 @@ def ann_format_samples(spark, sf_dir):
     return out.select("row_id", F.array_join(dps, " ").alias("dps"))
 
 
-@q()
+_HALVES = "t AS (SELECT * FROM v WHERE k % 10 < 5), so AS (SELECT * FROM v WHERE k % 10 >= 5)"
+
+
+@q(f"""$BASE, {_HALVES}, m AS (SELECT t.row_id, min(s.row_id) AS source FROM t JOIN so s ON s.chrom = t.chrom AND s.pos = t.pos WHERE {_SAME} GROUP BY t.row_id)
+    SELECT t.row_id, array_to_string(CASE WHEN source IS NULL OR t.n = 0 THEN list_transform(t.af, lambda a: round(a, 1))
+        ELSE list_transform(range(1, t.n + 1), lambda i: round(CASE WHEN list_contains(s.alts, t.alts[i]) THEN s.af[list_position(s.alts, t.alts[i])] ELSE t.af[i] END, 1)) END, ',') AS af
+    FROM t LEFT JOIN m USING (row_id) LEFT JOIN so s ON s.row_id = source""")
 def ann_allele_transfer(spark, sf_dir):
     v = variants(spark, sf_dir)
     kind = F.col("row_id") % 10 < 5
@@ -461,6 +478,71 @@ def ann_allele_transfer(spark, sf_dir):
     return out.select("row_id", F.array_join(F.transform("info.AF", lambda a: F.coalesce(a.cast("string"), F.lit("."))), ",").alias("af"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Targets and sources: the two records of each locus."""
+    v = variants(spark, sf_dir)
+    kind = F.col("row_id") % 10 < 5
+    return v.where(kind), v.where(~kind)
+
+
+def _tabular(sources: DataFrame, *extra: Column) -> DataFrame:
+    at = F.col("pos")
+    return sources.select(F.col("row_id").alias("serial"), "chrom", at.alias("from"), at.alias("to"), "ref", _list(F.col("alts")).alias("alt"), F.col("info.DP").cast("string").alias("DP"), *extra).withColumnsRenamed({"ref": "REF", "alt": "ALT"})
+
+
+_EXTENDED = "(starts_with(t.ref, s.ref) OR starts_with(s.ref, t.ref)) AND ((s.n = 0 AND t.n = 0) OR len(list_intersect(list_transform(s.alts, lambda x: x || substr(t.ref, length(s.ref) + 1)), list_transform(t.alts, lambda x: x || substr(s.ref, length(t.ref) + 1)))) > 0)"
+
+
+@q(f"""$BASE, {_HALVES}, m AS (SELECT t.row_id, arg_min(s.dp, s.row_id) AS d FROM t JOIN so s ON s.chrom = t.chrom AND s.pos = t.pos WHERE {_EXTENDED} GROUP BY t.row_id)
+    SELECT t.row_id, coalesce(d, t.dp) AS dp FROM t LEFT JOIN m USING (row_id)""")
+def ann_tab_alleles(spark, sf_dir):
+    target, source = _halves(spark, sf_dir)
+    out, _ = annotate.annotate_intervals(target, HEADER, _tabular(source), "CHROM,POS,REF,ALT,INFO/DP")
+    return out.select("row_id", F.col("info.DP").alias("dp"))
+
+
+@q(f"""$BASE, {_HALVES}, m AS (SELECT t.row_id, arg_min(s.dp, s.row_id) AS d FROM t JOIN so s ON s.chrom = t.chrom AND s.pos BETWEEN t.pos AND t.pos + length(t.ref) - 1 WHERE t.id = 'rs' || (s.k - 5) OR t.id = 'rs' || (s.k - 4) GROUP BY t.row_id)
+    SELECT t.row_id, coalesce(d, t.dp) AS dp FROM t LEFT JOIN m USING (row_id)""")
+def ann_tab_id(spark, sf_dir):
+    target, source = _halves(spark, sf_dir)
+    ids = F.concat(F.lit("rs"), (F.col("row_id") - 5).cast("string"), F.lit(";rs"), (F.col("row_id") - 4).cast("string"))
+    out, _ = annotate.annotate_intervals(target, HEADER, _tabular(source, ids.alias("~ID")), "CHROM,POS,~ID,INFO/DP")
+    return out.select("row_id", F.col("info.DP").alias("dp"))
+
+
+#: Sources with their ALTs turned round; of each target genotype (a, b), the place among the source's.
+_TURNED = "so AS (SELECT * REPLACE (list_reverse(alts) AS alts) FROM v WHERE k % 10 >= 5)"
+_OWN = "CASE WHEN x = 0 THEN 0 ELSE nullif(list_position(s.alts, t.alts[x]), 0) END"
+_GENOTYPES = "flatten(list_transform(range(0, t.n + 1), lambda b: list_transform(range(0, b + 1), lambda a: [a, b])))"
+_PLACED = f"list_transform({_GENOTYPES}, lambda g: list_transform(g, lambda x: {_OWN}))"
+
+
+@q(f"""$BASE, t AS (SELECT * FROM v WHERE k % 10 < 5), {_TURNED}, m AS (SELECT t.row_id, min(s.row_id) AS source FROM t JOIN so s ON s.chrom = t.chrom AND s.pos = t.pos WHERE {_SAME} GROUP BY t.row_id)
+    SELECT t.row_id, CASE WHEN source IS NULL THEN '' ELSE array_to_string(list_transform([1, 2, 3, 4], lambda i: array_to_string(list_transform({_PLACED},
+        lambda o: CASE WHEN o[1] IS NULL OR o[2] IS NULL THEN '.' ELSE CAST((s.k * 7 + i * 11 + 13 * (greatest(o[1], o[2]) * (greatest(o[1], o[2]) + 1) // 2 + least(o[1], o[2]))) % 97 AS VARCHAR) END), ',')), ' ') END AS pls
+    FROM t LEFT JOIN m USING (row_id) LEFT JOIN so s ON s.row_id = source""")
+def ann_number_g(spark, sf_dir):
+    """FORMAT/PL (Number=G) of sources whose ALTs stand the other way round."""
+    target, source = _halves(spark, sf_dir)
+    size = ((F.size("alts") + 1) * (F.size("alts") + 2) / 2).cast("int")
+    likely = lambda i: F.transform(F.sequence(F.lit(0), size - 1), lambda j: ((F.col("row_id") * 7 + (i + 1) * 11 + 13 * j) % 97).cast("int"))
+    source = source.withColumn("alts", F.reverse("alts")).withColumn("samples", F.array(*[F.get("samples", F.lit(i)).withField("PL", likely(i)) for i in range(4)]))
+    source_header = HEADER.with_(formats=HEADER.formats | {"PL": Field("PL", "G", "Integer", "")})
+    target = target.withColumn("samples", F.transform("samples", lambda s: s.withField("PL", F.lit(None).cast("array<int>"))))
+    out, _ = annotate.annotate_variants(target, source_header, source, source_header, "FORMAT/PL")
+    one = lambda s: F.array_join(F.transform(s["PL"], lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+    return out.select("row_id", F.array_join(F.transform("samples", one), " ").alias("pls"))
+
+
+@q(f"""$BASE, t AS (SELECT * FROM v WHERE k % 10 < 5), {_TURNED}, m AS (SELECT t.row_id, min(s.row_id) AS source FROM t JOIN so s ON s.chrom = t.chrom AND s.pos = t.pos WHERE {_EXACT} GROUP BY t.row_id)
+    SELECT t.row_id, {_sql_alleles('CASE WHEN source IS NULL THEN t.gt ELSE list_transform(s.gt, lambda g: list_transform(g, lambda a: CASE WHEN a > 0 THEN list_position(t.alts, s.alts[a]) ELSE a END)) END')} AS gts
+    FROM t LEFT JOIN m USING (row_id) LEFT JOIN so s ON s.row_id = source""")
+def ann_gt_remap(spark, sf_dir):
+    target, source = _halves(spark, sf_dir)
+    out, _ = annotate.annotate_variants(target, HEADER, source.withColumn("alts", F.reverse("alts")), HEADER, "FORMAT/GT", logic="exact")
+    return out.select("row_id", _alleles().alias("gts"))
+
+
 # ---------------------------------------------------------------- genotype editing
 
 def _set(target: str, new: str, **how):
@@ -497,10 +579,24 @@ _MAJOR = f"list_position({_COUNTS}, list_max({_COUNTS})) - 1"
 QUERIES["setgt_to_major"] = _set("./x", "M")
 ORACLE["setgt_to_major"] = _set_sql(f"{_N_NULL} = 1", f"concat({_MAJOR}, '/', {_MAJOR})")
 QUERIES["setgt_binom"] = _set("b:AD<0.05", ".")
+ORACLE["setgt_binom"] = _set_sql(f"gt[i][1] <> gt[i][2] AND coalesce(CAST({_BINOM_OF.format(d=_DEPTHS)} AS FLOAT) < CAST(0.05 AS FLOAT), false)", "'./.'")
 QUERIES["setgt_random"] = _set("a", "0", fraction=0.25, seed=7)
-
-
-@q()
+# The generator's step is squared again and again; each draw's state is made of the steps of its number's binary digits.
+ORACLE["setgt_random"] = "WITH RECURSIVE " + BASE.strip().removeprefix("WITH ") + f""",
+    steps(b, m, c) AS (SELECT 0, CAST(25214903917 AS HUGEINT), CAST(11 AS HUGEINT)
+        UNION ALL SELECT b + 1, (m * m) % 281474976710656, (c * m + c) % 281474976710656 FROM steps WHERE b < 32),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS r FROM v),
+    draws(b, row_id, i, n, x) AS (
+        SELECT 0, row_id, i, 4 * r + i, CAST(7 * 65536 + 13070 AS HUGEINT) FROM numbered, (SELECT unnest([1, 2, 3, 4]) AS i)
+        UNION ALL SELECT d.b + 1, row_id, i, n, CASE WHEN (n >> d.b) & 1 = 1 THEN (x * m + c) % 281474976710656 ELSE x END FROM draws d JOIN steps USING (b) WHERE d.b < 32),
+    hit AS (SELECT row_id, list(i) AS chosen FROM draws WHERE b = 32 AND x / 281474976710656.0 <= 0.25 GROUP BY row_id)
+    SELECT row_id, array_to_string(list_transform([1, 2, 3, 4], lambda i: CASE WHEN list_contains(coalesce(chosen, []), i) THEN '0/0' ELSE {_GT_TEXT} END), ' ') AS gts
+    FROM v LEFT JOIN hit USING (row_id)"""
+
+_MINOR = "list_sort(list_transform(range(0, n + 1), lambda x: [-len(list_filter(called, lambda a: a = x)), x]))[2][2]"
+
+
+@q(f"SELECT row_id, array_to_string(list_transform([1, 2, 3, 4], lambda i: CASE WHEN {_N_NULL} = 1 THEN concat({_MINOR}, '|', {_MINOR}) ELSE {_GT_TEXT} END), ' ') AS gts FROM c WHERE n >= 1")
 def setgt_to_minor(spark, sf_dir):
     v = view.select_records(variants(spark, sf_dir), min_alleles=2)
     return setgt.set_genotypes(v, HEADER, "./x", "mp").select("row_id", _gts().alias("gts"))
@@ -570,6 +666,31 @@ def norm_join_snps(spark, sf_dir):
     return out.select("row_id", "pos", F.array_join(F.array_sort("alts"), ",").alias("alts"))
 
 
+def _joined_sql(group: str, more: str) -> str:
+    """Records of a coordinate and group in one: {more} selects from j (rows r, longest REF, all ALTs widened and distinct)."""
+    return f"""{BASE}, w AS (SELECT *, CASE WHEN cls = 64 THEN 0 ELSE cls END AS mask, {group} AS grp FROM v),
+    g AS (SELECT chrom, pos, list({{'row_id': row_id, 'ref': ref, 'alts': alts, 'gt': gt, 'ph': ph}} ORDER BY CASE WHEN grp = 'all' THEN 0 ELSE mask END, row_id) AS r,
+          arg_max(ref, length(ref)) AS ref FROM w GROUP BY chrom, pos, grp),
+    x AS (SELECT *, list_transform(r, lambda e: list_transform(e.alts, lambda a: CASE WHEN a[1] IN ('<', '*') THEN a ELSE a || substr(ref, length(e.ref) + 1) END)) AS wide FROM g),
+    j AS (SELECT *, list_filter(flatten(wide), lambda a, i: list_position(flatten(wide), a) = i) AS alts FROM x)
+    SELECT r[1].row_id AS row_id, chrom, pos, ref, CASE WHEN len(alts) = 0 THEN '.' ELSE array_to_string(alts, ',') END AS alt{more} FROM j"""
+
+
+#: Allele h of sample i: the first that is not REF or missing in any record, else the first record's.
+_CALLED_IN = "list_transform(range(1, len(r) + 1), lambda e: CASE WHEN r[e].gt[i][h] > 0 THEN list_position(alts, wide[e][r[e].gt[i][h]]) ELSE r[e].gt[i][h] END)"
+_MERGED = f"coalesce(CAST(coalesce(list_filter({_CALLED_IN}, lambda a: a > 0)[1], ({_CALLED_IN})[1]) AS VARCHAR), '.')"
+_MERGED_GTS = f", array_to_string(list_transform([1, 2, 3, 4], lambda i: replace(array_to_string(list_transform([1, 2], lambda h: {_MERGED}), '/'), '/', CASE WHEN r[1].ph[i] THEN '|' ELSE '/' END)), ' ') AS gts"
+ORACLE["norm_join_any"] = _joined_sql("'all'", _MERGED_GTS)
+ORACLE["norm_join_both"] = _joined_sql("CASE WHEN mask IN (0, 1) THEN 'snp' WHEN mask IN (2, 4, 8) THEN CAST(mask AS VARCHAR) ELSE 'r' || row_id END", "")
+ORACLE["norm_join_policy_snps"] = _joined_sql("CASE WHEN mask IN (0, 1) THEN 'snp' ELSE 'r' || row_id END", "")
+
+
+@q()
+def norm_join_policy_snps(spark, sf_dir):
+    out = norm.join_multiallelic(variants(spark, sf_dir), HEADER, "snps")
+    return out.select("row_id", "chrom", "pos", "ref", _list(F.col("alts")).alias("alt"))
+
+
 @q()
 def norm_join_any(spark, sf_dir):
     out = norm.join_multiallelic(variants(spark, sf_dir), HEADER, "any")
@@ -600,6 +721,31 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("ref", ref).withColumn("alts", F.array(alt)).drop("context", "context_start")
 
 
+_SEQ = "(SELECT string_agg(substr('ACGTTGCAAC', CAST((i * i + i // 7) % 10 + 1 AS INTEGER), 1), '' ORDER BY i) FROM range(0, 20200) t(i))"
+#: What _placed makes, then one step to the left (l) or to the right (r) after the other; the last of them are kept.
+_PLACED_SQL = "WITH RECURSIVE " + BASE.strip().removeprefix("WITH ") + f""", f AS (SELECT {_SEQ} AS seq),
+    b AS (SELECT row_id, chrom, pos, substr(seq, pos, CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END) AS ref, substr(seq, pos, 1) AS one, k FROM v, f),
+    p AS (SELECT row_id, chrom, pos, ref, CASE WHEN k % 3 = 0 THEN one WHEN k % 3 = 1 THEN one || one ELSE translate(one, 'ACGT', 'CGTA') END AS alt FROM b),
+    l(row_id, chrom, pos, ref, alt) AS (SELECT row_id, chrom, CAST(pos AS BIGINT), ref, alt FROM p
+        UNION ALL SELECT row_id, chrom, CASE WHEN length(ref) > 1 AND length(alt) > 1 THEN pos ELSE pos - 1 END,
+            CASE WHEN length(ref) > 1 AND length(alt) > 1 THEN left(ref, -1) ELSE substr(seq, pos - 1, 1) || left(ref, -1) END,
+            CASE WHEN length(ref) > 1 AND length(alt) > 1 THEN left(alt, -1) ELSE substr(seq, pos - 1, 1) || left(alt, -1) END
+        FROM l, f WHERE right(ref, 1) = right(alt, 1) AND ((length(ref) > 1 AND length(alt) > 1) OR pos > 1)),
+    le AS (SELECT *, list_max(list_filter(range(0, least(length(ref), length(alt))), lambda q: left(ref, q) = left(alt, q))) AS cut
+        FROM l WHERE NOT (right(ref, 1) = right(alt, 1) AND ((length(ref) > 1 AND length(alt) > 1) OR pos > 1))),
+    lefts AS (SELECT row_id, chrom, CAST(pos + cut AS INTEGER) AS pos, substr(ref, cut + 1) AS ref, substr(alt, cut + 1) AS alt FROM le)"""
+ORACLE["norm_left_align"] = _PLACED_SQL + " SELECT * FROM lefts"
+_SHRINKS, _TURNS = "(length(ref) > 1 AND length(alt) > 1 AND left(ref, 1) = left(alt, 1))", "(length(ref) <> length(alt) AND least(length(ref), length(alt)) = 1 AND left(ref, 1) = left(alt, 1))"
+ORACLE["norm_right_align"] = _PLACED_SQL + f""",
+    tr AS (SELECT 'chr' || (1 + s_suppkey % 5) AS tc, 1 + s_suppkey * 37 % 20000 AS a, s_suppkey * 37 % 20000 + 500 AS z, s_suppkey % 2 = 1 AS reverse FROM supplier),
+    fw AS (SELECT row_id FROM p JOIN tr ON tc = chrom AND a <= pos + length(ref) - 1 AND z >= pos GROUP BY row_id HAVING NOT bool_or(reverse)),
+    r(row_id, chrom, pos, ref, alt, fin) AS (SELECT row_id, chrom, CAST(pos AS BIGINT), ref, alt, CAST(pos + length(ref) - 1 AS BIGINT) FROM p JOIN fw USING (row_id)
+        UNION ALL SELECT row_id, chrom, pos + 1, CASE WHEN {_SHRINKS} THEN substr(ref, 2) ELSE substr(ref, 2) || substr(seq, fin + 1, 1) END,
+            CASE WHEN {_SHRINKS} THEN substr(alt, 2) ELSE substr(alt, 2) || substr(seq, fin + 1, 1) END, CASE WHEN {_SHRINKS} THEN fin ELSE fin + 1 END
+        FROM r, f WHERE {_SHRINKS} OR {_TURNS})
+    SELECT row_id, chrom, CAST(pos AS INTEGER) AS pos, ref, alt FROM r WHERE NOT ({_SHRINKS} OR {_TURNS}) UNION ALL SELECT * FROM lefts WHERE row_id NOT IN (SELECT row_id FROM fw)"""
+
+
 @q()
 def norm_left_align(spark, sf_dir):
     return _keep(norm.normalize(_placed(spark, sf_dir), _reference(spark, sf_dir), 4096))
@@ -619,12 +765,14 @@ def _checked(mode: str):
     return run
 
 
-_SEQ = "(SELECT string_agg(substr('ACGTTGCAAC', CAST((i * i + i // 7) % 10 + 1 AS INTEGER), 1), '' ORDER BY i) FROM range(0, 20200) t(i))"
 QUERIES["norm_check_ref_warn"] = _checked("w")
 ORACLE["norm_check_ref_warn"] = f"{BASE}, f AS (SELECT {_SEQ} AS seq) SELECT row_id, ref <> substr(seq, pos, length(ref)) AS mismatch FROM v, f"
 QUERIES["norm_check_ref_skip"] = _checked("x")
 ORACLE["norm_check_ref_skip"] = f"{BASE}, f AS (SELECT {_SEQ} AS seq) SELECT {_KEEP} FROM v, f WHERE ref = substr(seq, pos, length(ref))"
 QUERIES["norm_check_ref_fix"] = _checked("s")
+_REAL = "substr(seq, pos, length(ref))"
+_FIXED = f"CASE WHEN ref = {_REAL} THEN alts WHEN list_contains(alts, {_REAL}) THEN list_transform(alts, lambda a, i: CASE WHEN i = list_position(alts, {_REAL}) THEN ref ELSE a END) ELSE alts END"
+ORACLE["norm_check_ref_fix"] = f"{BASE}, f AS (SELECT {_SEQ} AS seq), x AS (SELECT *, {_REAL} AS real_ref, {_FIXED} AS fixed FROM v, f) SELECT row_id, chrom, pos, real_ref AS ref, CASE WHEN len(fixed) = 0 THEN '.' ELSE array_to_string(fixed, ',') END AS alt FROM x"
 
 
 @q("""SELECT row_id, pos + o AS pos, ref1 AS ref, alt1 AS alt FROM (
