@@ -2,19 +2,105 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variform.functions.projection import Projection
+from variform.sources import bgzf
 from variform.sources.header import Field, VariantHeader
 
 I32_MIN = -2147483640
 
 
+def _first_file(spark: SparkSession, path: str):
+    """(file system, path, size) of a file, or of the first data file of a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(p)
+    if status.isDirectory():
+        status = min((f for f in fs.listStatus(p) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+    return fs, status.getPath(), status.getLen()
+
+
+def _magic(spark: SparkSession, path: str, n: int = 18) -> bytes:
+    fs, p, size = _first_file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.read() for _ in range(min(n, size)))
+    finally:
+        stream.close()
+
+
 def read_header(spark: SparkSession, path: str) -> VariantHeader:
-    """The header of a (plain, gzip or BGZF) VCF: only its first lines are brought to the driver."""
-    lines = spark.read.text(path).where(F.col("value").startswith("#")).withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect()
-    return VariantHeader.parse("\n".join(r.value for r in lines))
+    """The header of a (plain, gzip or BGZF) VCF: the driver reads up to the #CHROM line, and no further."""
+    zipped = _magic(spark, path, 2) == b"\x1f\x8b"
+    fs, p, _ = _first_file(spark, path)
+    java = spark._jvm.java
+    stream = fs.open(p)
+    reader = java.io.BufferedReader(java.io.InputStreamReader(java.util.zip.GZIPInputStream(stream) if zipped else stream, "UTF-8"))
+    lines: list[str] = []
+    try:
+        while (line := reader.readLine()) is not None and line.startswith("#"):
+            lines.append(line)
+            if line.startswith("#CHROM"):
+                break
+    finally:
+        reader.close()
+    return VariantHeader.parse("\n".join(lines))
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """(row_id, value) of a text's lines in file order. Compression is known by the first bytes: a BGZF file is read in
+    ranges of split_bytes by as many tasks, other gzip by one task a file."""
+    magic = _magic(spark, path)
+    if magic[:2] != b"\x1f\x8b":
+        return spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "value")
+    fs, p, size = _first_file(spark, path)
+    single = fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isFile()
+    if bgzf.block_size(magic, 0) is None or not single:
+        return _gzip_lines(spark, path)
+    uri, n = p.toString(), max(1, -(-size // split_bytes))
+    starts = spark.range(0, n, 1, n).select("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+
+        system, place = arrow_fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                ids, values = [], []
+                with system.open_input_file(place) as stream:
+                    for i, line in enumerate(bgzf.lines(stream, k * split_bytes, min(size, (k + 1) * split_bytes), size)):
+                        ids.append((k << 33) + i)
+                        values.append(line.decode("utf-8"))
+                        if len(ids) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "value"])
+                            ids, values = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "value"])
+
+    return starts.mapInArrow(run, "row_id long, value string")
+
+
+def _gzip_lines(spark: SparkSession, path: str) -> DataFrame:
+    named = path.rstrip("/").endswith((".gz", ".gzip")) or spark.read.format("binaryFile").load(path).select("path").where("NOT path LIKE '%.gz'").isEmpty()
+    if named:
+        return spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "value")
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+
+        for batch in batches:
+            for content in batch.column(0):
+                found = gzip.decompress(content.as_py()).decode("utf-8").split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
+
+    # a name that does not tell: the file is one row
+    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unzip, "value string")
+    return text.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "value")
 
 
 def _typed(text: Column, f: Field) -> Column:
@@ -77,10 +163,10 @@ def parse_records(lines: DataFrame, header: VariantHeader) -> DataFrame:
     return rows.select(*out)
 
 
-def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, VariantHeader]:
-    """(rows, header) of a VCF; row_id follows the file's order. Compression is known by the file's name (.gz, .bgz)."""
+def read_vcf(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> tuple[DataFrame, VariantHeader]:
+    """(rows, header) of a plain, gzip or BGZF VCF, or of a folder that ``write_vcf`` made; row_id follows the file's order."""
     header = read_header(spark, path)
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("row_id", F.monotonically_increasing_id())
+    lines = read_lines(spark, path, split_bytes).where(~F.col("value").startswith("#") & ~F.col("value").isin("", "\r"))
     return parse_records(lines.withColumn("value", F.regexp_replace("value", "\r$", "")), header), header
 
 
@@ -90,13 +176,92 @@ def record_lines(df: DataFrame, header: VariantHeader) -> DataFrame:
     return rows.select(Projection("", header).line().alias("value"))
 
 
-def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool = False) -> None:
-    """A folder of sorted text parts: the header part first, then the body (gzip members may be concatenated)."""
+HEADER_MODES = ("full", "only", "none")
+
+
+def output_lines(df: DataFrame, header: VariantHeader, header_mode: str = "full") -> DataFrame:
+    """(value): the header in the first partition, then the sorted body in the partitions behind it."""
+    if header_mode not in HEADER_MODES:
+        raise ValueError(f"unknown header mode {header_mode}")
+    head = df.sparkSession.createDataFrame([("\n".join(header.lines()),)], "value string").coalesce(1)
+    if header_mode == "only":
+        return head
+    body = record_lines(df, header)
+    return body if header_mode == "none" else head.unionByName(body)
+
+
+def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool | str = False, header_mode: str = "full", overwrite: bool = False) -> None:
+    """A folder of sorted parts whose concatenation in the order of their names is one valid VCF, in one commit.
+
+    compress: False, 'gzip' (or True) or 'bgzf', which ends with the empty block. header_mode: 'full', 'only' or 'none'. A
+    folder that exists is an error unless overwrite; one that the rows are read from always is."""
     spark = df.sparkSession
-    opts = {"compression": "gzip"} if compress else {}
-    head = spark.createDataFrame([("\n".join(header.lines()),)], "value string").coalesce(1)
-    head.write.mode("overwrite").options(**opts).text(f"{path}/part=0")
-    record_lines(df, header).write.mode("overwrite").options(**opts).text(f"{path}/part=1")
+    own = lambda f: f.replace("file:///", "/").replace("file:/", "/").rstrip("/")
+    if any(own(f) == own(path) or own(f).startswith(own(path) + "/") for f in df.inputFiles()):
+        raise ValueError(f"{path} is read from, it cannot be written")
+    lines = output_lines(df, header, header_mode)
+    if compress != "bgzf":
+        lines.write.mode("overwrite" if overwrite else "errorifexists").options(**({"compression": "gzip"} if compress else {})).text(path)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise ValueError(f"{path} exists")
+    # attempts write to a folder beside the target under names of their own; only those of finished tasks are moved
+    staged = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + f"._staged-{uuid.uuid4().hex}")
+    fs.mkdirs(staged)
+    try:
+        uri = fs.makeQualified(staged).toString()
+        parts = lines.mapInArrow(_block_writer(uri), "part int, name string, size long").collect()
+        done = spark._jvm.org.apache.hadoop.fs.Path(staged, "done")
+        fs.mkdirs(done)
+        for r in parts:
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged, r.name), spark._jvm.org.apache.hadoop.fs.Path(done, f"part-{r.part:05d}.vcf.gz"))
+        for name, content in ((f"part-{max((r.part for r in parts), default=0) + 1:05d}.vcf.gz", bgzf.EOF_BLOCK), ("_SUCCESS", b"")):
+            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(done, name))
+            out.write(bytearray(content))
+            out.close()
+        if overwrite:
+            fs.delete(target, True)
+        if not fs.rename(done, target):
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        fs.delete(staged, True)
+
+
+def _block_writer(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+        from pyspark import TaskContext
+
+        system, folder = arrow_fs.FileSystem.from_uri(uri)
+        context = TaskContext.get()
+        name, size = f"{context.partitionId():05d}-{context.taskAttemptId()}", 0
+        texts = ("".join(f"{v}\n" for v in b.column(0).to_pylist()).encode("utf-8") for b in batches)
+        with system.open_output_stream(f"{folder}/{name}") as out:
+            for piece in bgzf.blocks(texts):
+                out.write(piece)
+                size += len(piece)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "name": [name], "size": [size]})
+
+    return run
+
+
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """One file of the parts that ``write_vcf`` made, streamed through the driver in the order of their names."""
+    jvm = spark._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    staged = jvm.org.apache.hadoop.fs.Path(path + f"._staged-{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    for name in names:
+        part = fs.open(jvm.org.apache.hadoop.fs.Path(source, name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+        part.close()
+    out.close()
+    if not fs.rename(staged, target):
+        raise OSError(f"{path} could not be put in place")
 
 
 def read_intervals(spark: SparkSession, path: str, columns: list[str], bed: bool | None = None) -> DataFrame:
