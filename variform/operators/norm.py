@@ -142,20 +142,24 @@ def sort_local(df: DataFrame, how: str = "pos") -> DataFrame:
     return df.orderBy("contig_idx", "pos", *order)
 
 
-def check_order(df: DataFrame) -> DataFrame:
-    """(row_id, problem) of records that break the input order: contig order, contiguous contigs, positions.
+def with_previous(df: DataFrame) -> DataFrame:
+    """(row_id, contig_idx, pos, before) with before the struct of the three of the row before it.
 
-    Each record is compared with the one before it; chunks of row_id are windows, their first rows are compared over the
-    chunks' last rows."""
+    Chunks of row_id are windows, their first rows meet the last rows of the chunks before."""
+    place = F.struct("row_id", "contig_idx", "pos")
     chunked = df.select("row_id", "contig_idx", "pos", F.floor(F.col("row_id") / (1 << 18)).alias("chunk"))
-    ends = chunked.groupBy("chunk").agg(F.max(F.struct("row_id", "contig_idx", "pos")).alias("l"))
-    previous = last_before(ends, "chunk", "l", "p")
+    ends = chunked.groupBy("chunk").agg(F.max(place).alias("l"))
     w = Window.partitionBy("chunk").orderBy("row_id")
-    rows = chunked.join(previous, "chunk").withColumn("before", F.coalesce(F.lag(F.struct("row_id", "contig_idx", "pos")).over(w), F.col("p")))
+    rows = chunked.join(last_before(ends, "chunk", "l", "p"), "chunk")
+    return rows.select("row_id", "contig_idx", "pos", F.coalesce(F.lag(place).over(w), F.col("p")).alias("before"))
+
+
+def check_order(df: DataFrame) -> DataFrame:
+    """(row_id, problem) of records that break the input order: contig order, contiguous contigs, positions."""
     problem = F.when(F.col("before.contig_idx") > F.col("contig_idx"), "contig-order").when(
         (F.col("before.contig_idx") == F.col("contig_idx")) & (F.col("before.pos") > F.col("pos")), "position-order"
     )
-    return rows.withColumn("problem", problem).where("problem IS NOT NULL").select("row_id", "problem")
+    return with_previous(df).withColumn("problem", problem).where("problem IS NOT NULL").select("row_id", "problem")
 
 
 # ---------------------------------------------------------------- joining

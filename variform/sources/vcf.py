@@ -36,7 +36,12 @@ def _magic(spark: SparkSession, path: str, n: int = 18) -> bytes:
 
 
 def read_header(spark: SparkSession, path: str) -> VariantHeader:
-    """The header of a (plain, gzip or BGZF) VCF: the driver reads up to the #CHROM line, and no further."""
+    """The header of a (plain, gzip or BGZF) VCF."""
+    return VariantHeader.parse(read_header_text(spark, path))
+
+
+def read_header_text(spark: SparkSession, path: str) -> str:
+    """The header's lines as they are: the driver reads up to the #CHROM line, and no further."""
     zipped = _magic(spark, path, 2) == b"\x1f\x8b"
     fs, p, _ = _first_file(spark, path)
     java = spark._jvm.java
@@ -50,7 +55,7 @@ def read_header(spark: SparkSession, path: str) -> VariantHeader:
                 break
     finally:
         reader.close()
-    return VariantHeader.parse("\n".join(lines))
+    return "".join(line + "\n" for line in lines)
 
 
 def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
