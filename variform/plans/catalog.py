@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from variform.functions import variant
 from variform.functions.expression import compile_truth
 from variform.functions.projection import Projection, query
-from variform.operators import annotate, filtering, norm, regions, setgt, validate, view
+from variform.operators import annotate, filtering, norm, regions, setgt, validate, validate_text, view
+from variform.sources import vcf
 from variform.sources.derived import HEADER, SITES_SQL, intervals, variants
 from variform.sources.header import Field
 
@@ -846,6 +849,47 @@ def validate_summary(spark, sf_dir):
     return validate.report(variants(spark, sf_dir), HEADER)
 
 
+#: What record k % 16 has wrong: the column that changes, its text, and the code.
+_FAULTS = {
+    1: ("info", "DP=x", "value-type"), 2: ("info", "DP=", "empty-value"), 3: ("info", "DP", "missing-value"), 4: ("info", "AF=2", "value-range"), 5: ("info", "DP=1;DP=2", "duplicate-info"), 6: ("qual", "-5", "qual"),
+    7: ("id", "a;a", "duplicate-id"), 8: ("ref", "R", "ref"), 9: ("alt", "<", "alt"), 10: ("filter", "0", "filter"), 11: ("info", "9x=1", "info-key"), 12: ("info", "DB=7", "flag-value"), 13: ("info", "DP=-1", "value-range"),
+    14: ("pos", "x", "pos"), 15: ("info", "DP=1\tmore", "columns"),
+}
+
+
+@q(f"""SELECT row_id, 'record.' || CASE CAST(k % 16 AS INTEGER) {' '.join(f"WHEN {k} THEN '{code}'" for k, (_, _, code) in _FAULTS.items())} END AS code FROM v WHERE k % 16 > 0
+    UNION ALL SELECT row_id, 'record.cardinality' FROM v WHERE k % 16 = 4 AND n <> 1""")
+def validate_text_codes(spark, sf_dir):
+    v = variants(spark, sf_dir)
+    text = {"chrom": F.col("chrom"), "pos": F.col("pos").cast("string"), "id": _list(F.col("ids"), ";"), "ref": F.col("ref"), "alt": _list(F.col("alts")), "qual": F.coalesce(F.col("qual").cast("int").cast("string"), F.lit(".")), "filter": _list(F.col("filters"), ";"), "info": F.concat(F.lit("DP="), F.col("info.DP").cast("string"))}
+    for k, (column, wrong, _) in _FAULTS.items():
+        text[column] = F.when(F.col("row_id") % 16 == k, wrong).otherwise(text[column])
+    lines = v.select("row_id", F.concat_ws("\t", *text.values()).alias("value"))
+    _, schema = validate_text.header_problems("".join(f"{line}\n" for line in HEADER.with_(samples=(), formats={}).lines()))
+    return validate_text.line_problems(lines, schema).select("row_id", "code")
+
+
+def _round_trip(compress: bool | str):
+    def run(spark, sf_dir):
+        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="variform-")
+        path = f"{shared.rstrip('/')}/variform-{uuid.uuid4().hex}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        vcf.write_vcf(variants(spark, sf_dir), HEADER, path, compress=compress)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+        back, header = vcf.read_vcf(spark, path)
+        if header.lines() != HEADER.lines():
+            raise AssertionError("the header came back otherwise")
+        tenths = F.array_join(F.transform("info.AF", lambda a: F.round(a * 10).cast("int").cast("string")), ",")
+        return back.select("chrom", "contig_idx", "pos", _list(F.col("ids"), ";").alias("id"), "ref", _list(F.col("alts")).alias("alt"), "qual", _list(F.col("filters"), ";").alias("filter"), F.col("info.DP").alias("dp"), tenths.alias("af10"), F.col("info.DB").alias("db"), _gts().alias("gts"))
+
+    return run
+
+
+for _name, _compress in (("vcf_roundtrip", False), ("vcf_roundtrip_bgzf", "bgzf")):
+    QUERIES[_name] = _round_trip(_compress)
+    ORACLE[_name] = f"{BASE} SELECT chrom, contig_idx, pos, id, ref, alt, qual, filter, dp, array_to_string(list_transform(af, lambda a: CAST(CAST(round(a * 10) AS INTEGER) AS VARCHAR)), ',') AS af10, k % 4 = 0 AS db, array_to_string(list_transform([1, 2, 3, 4], lambda i: {_GT_TEXT}), ' ') AS gts FROM v"
+
+
 @q("$BASE SELECT 'A,S2,S3,D' AS samples")
 def reheader_samples(spark, sf_dir):
     return spark.range(1).select(F.lit(",".join(HEADER.rename_samples(["S1 A", "S4 D"]).samples)).alias("samples"))
