@@ -422,18 +422,36 @@ def normalize(df: DataFrame, fasta: DataFrame, chunk: int = 1 << 16, transcripts
 
 
 def transcript_direction(df: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(row_id, right): only forward transcripts overlap the record."""
-    spans = df.select("row_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref") - 1).alias("end"))
+    """(row_id, right): only forward transcripts overlap the record or the base behind it; those of unknown strand do not count."""
+    spans = df.select("row_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
     sources = transcripts.select("chrom", F.col("start").alias("from"), F.col("end").alias("to"), "reverse")
     return overlap_join(spans, sources).groupBy("row_id").agg((~F.bool_or("reverse")).alias("right"))
 
 
+# Ambiguity codes and the first base that each stands for.
+AMBIGUOUS, FIRST_BASE = "RWMDHVYSBKrwmdhvysbk", "AAAAAACCCGaaaaaacccg"
+
+
+def _ordinary(a: Column) -> Column:
+    """A sequence, not a symbolic allele, '*', '.' or breakend."""
+    return ~a.rlike(r"^$|^<|^\.$|^\*$|[\[\]]")
+
+
+def _by_base(a: Column, f) -> Column:
+    """a with every base c at place i (from 0) replaced by f(c, i)."""
+    return F.array_join(F.transform(F.split(a, ""), f), "")
+
+
 def check_reference(df: DataFrame, fasta: DataFrame, mode: str = "e", chunk: int = 1 << 16) -> DataFrame:
-    """REF against the reference: 'e' fails on a mismatch, 'w' adds mismatch (boolean), 'x' drops, 's' repairs: REF and an
-    ALT equal to the reference change places, otherwise REF is overwritten, and ALTs equal to REF are dropped."""
+    """REF against the reference: 'e' fails on a mismatch, 'w' adds mismatch (boolean), 'x' drops, 's' repairs.
+
+    To repair, ambiguity codes become their first base and N in REF (and in ALTs at its place) the reference's base. Then REF
+    and an ALT equal to the reference change places, with GT, and INFO/AC of that ALT counts the old REF; without such
+    an ALT, REF becomes the reference's bases, and ALTs follow where they had REF's base. ALTs equal to REF are dropped,
+    their calls become REF. Records of unknown contigs stay."""
     rows = with_reference(df, fasta, chunk)
-    real = F.upper(F.substring("context", F.col("pos") - F.col("context_start") + 1, F.length("ref")))
-    bad = F.coalesce(F.upper("ref") != real, F.lit(True))
+    real = F.translate(F.upper(F.substring("context", F.col("pos") - F.col("context_start") + 1, F.length("ref"))), AMBIGUOUS, FIRST_BASE)
+    bad = F.coalesce((F.upper("ref") != real) | ~F.col("ref").rlike("(?i)^[ACGTN]+$"), F.lit(True))
     if mode == "e":
         failed = F.raise_error(F.concat(F.lit("REF mismatch at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("boolean")
         return rows.where(F.when(bad, failed).otherwise(True)).select(*df.columns)
@@ -443,20 +461,55 @@ def check_reference(df: DataFrame, fasta: DataFrame, mode: str = "e", chunk: int
         return rows.where(~bad).select(*df.columns)
     if mode != "s":
         raise ValueError(f"unknown mode {mode}")
-    place = F.array_position(F.transform("alts", lambda a: F.upper(a)), real).cast("int")
-    rows = rows.withColumns({"_real": real, "_bad": bad & F.col("context").isNotNull(), "_place": F.when(bad, place).otherwise(0)})
-    n = F.greatest(F.size("alts"), F.lit(1))
-    swapped = F.concat(F.slice("alts", F.lit(1), F.greatest(F.col("_place") - 1, F.lit(0))), F.array("ref"), F.slice("alts", F.col("_place") + 1, n))
-    patched = F.filter("alts", lambda a: F.upper(a) != F.col("_real"))
-    alts = F.when(~F.col("_bad"), F.col("alts")).when(F.col("_place") > 0, swapped).otherwise(patched)
-    out = {"alts": alts, "ref": F.when(F.col("_bad"), F.col("_real")).otherwise(F.col("ref"))}
+    rows = rows.select(*df.columns, real.alias("_real"))
+    at = lambda text, i: F.substring(text, i + 1, F.lit(1))
+    cleaned = F.when(_ordinary(F.col("ref")), F.translate("ref", AMBIGUOUS, FIRST_BASE)).otherwise(F.col("ref"))
+    rows = rows.withColumn("_ref0", F.when(F.col("ref") == ".", F.col("_real")).otherwise(cleaned))
+    unknown = lambda i: (F.upper(at(F.col("_ref0"), i)) == "N") & (at(F.col("_real"), i) != "N")
+    known = _by_base(F.col("_ref0"), lambda c, i: F.when(unknown(i), at(F.col("_real"), i)).otherwise(c))
+    named = lambda a: _by_base(a, lambda c, i: F.when((F.upper(c) == "N") & unknown(i) & (i < F.length("_ref0")), at(F.col("_real"), i)).otherwise(c))
+    has_n = F.upper("_ref0").contains("N") & F.col("_real").isNotNull()
+    alts = F.transform("alts", lambda a: F.when(_ordinary(a), F.translate(a, AMBIGUOUS, FIRST_BASE)).otherwise(a))
+    rows = rows.withColumns({"_ref": F.when(has_n, known).otherwise(F.col("_ref0")), "_alts": F.when(has_n, F.transform(alts, lambda a: F.when(_ordinary(a), named(a)).otherwise(a))).otherwise(alts)})
+    rows = rows.withColumn("_bad", F.coalesce(F.upper("_ref") != F.col("_real"), F.lit(False)))
+    place = F.array_position(F.transform("_alts", lambda a: F.when(_ordinary(a), F.upper(a)).otherwise("")), F.col("_real")).cast("int")
+    rows = rows.withColumn("_place", F.when(F.col("_bad"), place).otherwise(0))
+    swapped = F.transform("_alts", lambda a, i: F.when(i == F.col("_place") - 1, F.col("_ref")).otherwise(a))
+    follow = lambda a: _by_base(a, lambda c, i: F.when(F.upper(c) == F.upper(at(F.col("_ref"), i)), at(F.col("_real"), i)).otherwise(c))
+    patched = F.transform("_alts", lambda a: F.when(_ordinary(a), follow(a)).otherwise(a))
+    rows = rows.withColumns({
+        "_ref2": F.when(~F.col("_bad"), F.col("_ref")).when(F.col("_place") > 0, F.get("_alts", F.col("_place") - 1)).otherwise(F.col("_real")),
+        "_alts2": F.when(~F.col("_bad"), F.col("_alts")).when(F.col("_place") > 0, swapped).otherwise(patched),
+    })
+    # per ALT its new number: 0 for those that are REF now
+    same = lambda a: F.upper(a) == F.upper("_ref2")
+    number = lambda a, i: F.when(same(a), 0).otherwise(F.size(F.filter(F.slice("_alts2", F.lit(1), i + 1), lambda x: ~same(x))))
+    rows = rows.withColumn("_map", F.transform("_alts2", number))
+    out = {"ref": F.col("_ref2"), "alts": F.filter("_alts2", lambda a: ~same(a))}
     if "samples" in df.columns and "GT" in [f.name for f in df.schema["samples"].dataType.elementType]:
-        turn = lambda a: F.when(a == 0, F.col("_place")).when(a == F.col("_place"), 0).otherwise(a)
-        turned = F.transform("samples", lambda s: s.withField("GT.alleles", F.transform(s["GT"]["alleles"], turn)))
-        out["samples"] = F.when(F.col("_bad") & (F.col("_place") > 0), turned).otherwise(F.col("samples"))
+        turned = lambda a: F.when((F.col("_place") > 0) & (a == 0), F.col("_place")).when((F.col("_place") > 0) & (a == F.col("_place")), 0).otherwise(a)
+        moved = lambda a: variant.let(turned(a), lambda t: F.when(t > 0, F.get("_map", t - 1)).otherwise(t))
+        edited = F.transform("samples", lambda s: s.withField("GT", F.when(s["GT"].isNotNull(), s["GT"].withField("alleles", F.transform(s["GT"]["alleles"], moved)))))
+        out["samples"] = F.when(F.col("_bad") | F.exists("_map", lambda m: m == 0), edited).otherwise(F.col("samples"))
+        if "info" in df.columns and "AC" in [f.name for f in df.schema["info"].dataType]:
+            copies = F.size(F.filter(variant.called(), lambda a: a == 0))
+            counts = F.transform("info.AC", lambda c, i: F.when(i == F.col("_place") - 1, copies).otherwise(c))
+            out["info"] = F.col("info").withField("AC", F.when((F.col("_place") > 0) & F.col("info.AC").isNotNull(), counts).otherwise(F.col("info.AC")))
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
+def selected(df: DataFrame, header: VariantHeader, step, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """step (DataFrame -> DataFrame) for the records that an expression selects; all others pass through as they are, and are
+    not split, joined or compared with those. part of what passes through is 0."""
+    from variform.operators.filtering import condition
+
+    site = condition(header, include, exclude).site
+    out, rest = step(df.where(site)), df.where(~site)
+    if "part" in out.columns and "part" not in rest.columns:
+        rest = rest.withColumn("part", F.lit(0))
+    return out.unionByName(rest)
+
+
 # ---------------------------------------------------------------- atoms
 
 def atoms_of(ref: str, alt: str) -> list[tuple[int, str, str]]:

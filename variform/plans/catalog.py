@@ -741,7 +741,7 @@ ORACLE["norm_left_align"] = _PLACED_SQL + " SELECT * FROM lefts"
 _SHRINKS, _TURNS = "(length(ref) > 1 AND length(alt) > 1 AND left(ref, 1) = left(alt, 1))", "(length(ref) <> length(alt) AND least(length(ref), length(alt)) = 1 AND left(ref, 1) = left(alt, 1))"
 ORACLE["norm_right_align"] = _PLACED_SQL + f""",
     tr AS (SELECT 'chr' || (1 + s_suppkey % 5) AS tc, 1 + s_suppkey * 37 % 20000 AS a, s_suppkey * 37 % 20000 + 500 AS z, s_suppkey % 2 = 1 AS reverse FROM supplier),
-    fw AS (SELECT row_id FROM p JOIN tr ON tc = chrom AND a <= pos + length(ref) - 1 AND z >= pos GROUP BY row_id HAVING NOT bool_or(reverse)),
+    fw AS (SELECT row_id FROM p JOIN tr ON tc = chrom AND a <= pos + length(ref) AND z >= pos GROUP BY row_id HAVING NOT bool_or(reverse)),
     r(row_id, chrom, pos, ref, alt, fin) AS (SELECT row_id, chrom, CAST(pos AS BIGINT), ref, alt, CAST(pos + length(ref) - 1 AS BIGINT) FROM p JOIN fw USING (row_id)
         UNION ALL SELECT row_id, chrom, pos + 1, CASE WHEN {_SHRINKS} THEN substr(ref, 2) ELSE substr(ref, 2) || substr(seq, fin + 1, 1) END,
             CASE WHEN {_SHRINKS} THEN substr(alt, 2) ELSE substr(alt, 2) || substr(seq, fin + 1, 1) END, CASE WHEN {_SHRINKS} THEN fin ELSE fin + 1 END
@@ -774,8 +774,32 @@ QUERIES["norm_check_ref_skip"] = _checked("x")
 ORACLE["norm_check_ref_skip"] = f"{BASE}, f AS (SELECT {_SEQ} AS seq) SELECT {_KEEP} FROM v, f WHERE ref = substr(seq, pos, length(ref))"
 QUERIES["norm_check_ref_fix"] = _checked("s")
 _REAL = "substr(seq, pos, length(ref))"
-_FIXED = f"CASE WHEN ref = {_REAL} THEN alts WHEN list_contains(alts, {_REAL}) THEN list_transform(alts, lambda a, i: CASE WHEN i = list_position(alts, {_REAL}) THEN ref ELSE a END) ELSE alts END"
-ORACLE["norm_check_ref_fix"] = f"{BASE}, f AS (SELECT {_SEQ} AS seq), x AS (SELECT *, {_REAL} AS real_ref, {_FIXED} AS fixed FROM v, f) SELECT row_id, chrom, pos, real_ref AS ref, CASE WHEN len(fixed) = 0 THEN '.' ELSE array_to_string(fixed, ',') END AS alt FROM x"
+_FOLLOW = f"CASE WHEN a[1] IN ('<', '*') THEN a ELSE array_to_string(list_transform(string_split(a, ''), lambda c, i: CASE WHEN i <= length(ref) AND c = substr(ref, CAST(i AS BIGINT), 1) THEN substr({_REAL}, CAST(i AS BIGINT), 1) ELSE c END), '') END"
+_FIXED = f"CASE WHEN ref = {_REAL} THEN alts WHEN list_contains(alts, {_REAL}) THEN list_transform(alts, lambda a, i: CASE WHEN i = list_position(alts, {_REAL}) THEN ref ELSE a END) ELSE list_transform(alts, lambda a: {_FOLLOW}) END"
+_TURNED_CALL = "CASE WHEN place > 0 AND a = 0 THEN place WHEN place > 0 AND a = place THEN 0 ELSE a END"
+_FIXED_SQL = f"""{BASE}, f AS (SELECT {_SEQ} AS seq), x AS (SELECT *, {_REAL} AS real_ref, CASE WHEN ref = {_REAL} THEN 0 ELSE coalesce(list_position(alts, {_REAL}), 0) END AS place, {_FIXED} AS fixed FROM v, f),
+    y AS (SELECT *, list_filter(fixed, lambda a: a <> real_ref) AS kept FROM x)"""
+ORACLE["norm_check_ref_fix"] = f"{_FIXED_SQL} SELECT row_id, chrom, pos, real_ref AS ref, CASE WHEN len(kept) = 0 THEN '.' ELSE array_to_string(kept, ',') END AS alt FROM y"
+
+
+@q()
+def norm_check_ref_fix_calls(spark, sf_dir):
+    """Calls, and INFO/AC where REF and an ALT change places, after the repair."""
+    header = HEADER.with_(infos=HEADER.infos | {"AC": Field("AC", "A", "Integer", "")})
+    v = variants(spark, sf_dir).withColumn("info", F.col("info").withField("AC", F.transform("alts", lambda a, i: (i + 100).cast("int"))))
+    out = norm.check_reference(v, _reference(spark, sf_dir), "s", 4096)
+    return out.select("row_id", _alleles().alias("gts"), F.array_join("info.AC", ",").alias("ac"))
+
+
+ORACLE["norm_check_ref_fix_calls"] = f"""{_FIXED_SQL} SELECT row_id, {_sql_alleles(f"list_transform(gt, lambda g: list_transform(g, lambda a: CASE WHEN ({_TURNED_CALL}) > 0 THEN coalesce(list_position(kept, nullif(fixed[{_TURNED_CALL}], real_ref)), 0) ELSE ({_TURNED_CALL}) END))")} AS gts,
+    array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i = place THEN len(list_filter(flatten(gt), lambda a: a = 0)) ELSE 99 + i END), ',') AS ac FROM y"""
+
+
+@q(f"""$BASE, p AS (SELECT *, unnest(range(0, CASE WHEN coalesce(qual > 50, false) THEN greatest(n, 1) ELSE 1 END)) AS part FROM v)
+    SELECT row_id, CAST(part AS INTEGER) AS part, CASE WHEN n = 0 THEN '.' WHEN coalesce(qual > 50, false) THEN alts[part + 1] ELSE alt END AS alt FROM p""")
+def norm_split_selected(spark, sf_dir):
+    out = norm.selected(variants(spark, sf_dir), HEADER, lambda df: norm.split_multiallelic(df, HEADER), include="QUAL > 50")
+    return out.select("row_id", "part", _list(F.col("alts")).alias("alt"))
 
 
 @q("""SELECT row_id, pos + o AS pos, ref1 AS ref, alt1 AS alt FROM (

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variform.functions.projection import Projection
@@ -287,32 +287,79 @@ def read_intervals(spark: SparkSession, path: str, columns: list[str], bed: bool
     return lines.select("serial", picked["chrom"].alias("chrom"), start.alias("from"), checked.alias("to"), *rest)
 
 
+# Biotypes whose transcripts count, the first in any case, the others as they are spelled.
+BIOTYPES_ANY_CASE = {"mRNA", "Mt_rRNA", "Mt_tRNA", "3prime_overlapping_ncRNA", "3_prime_overlapping_ncRNA"}
+BIOTYPES = {
+    "protein_coding", "polymorphic_pseudogene", "IG_C", "IG_D", "IG_J", "IG_LV", "IG_V", "TR_C", "TR_D", "TR_J", "TR_V", "NMD", "nonsense_mediated_decay", "non_stop_decay", "lincRNA", "lncRNA", "miRNA", "misc_RNA", "rRNA",
+    "snRNA", "snoRNA", "processed_transcript", "antisense", "macro_lncRNA", "ribozyme", "sRNA", "scRNA", "scaRNA", "sense_intronic", "sense_overlapping", "pseudogene", "processed_pseudogene", "artifact", "IG_pseudogene",
+    "IG_C_pseudogene", "IG_J_pseudogene", "IG_V_pseudogene", "TR_V_pseudogene", "TR_J_pseudogene", "MT_tRNA_pseudogene", "misc_RNA_pseudogene", "miRNA_pseudogene", "retained_intron", "retrotransposed", "tRNA_pseudogene",
+    "Trna_pseudogene", "transcribed_processed_pseudogene", "transcribed_unprocessed_pseudogene", "transcribed_unitary_pseudogene", "translated_unprocessed_pseudogene", "translated_processed_pseudogene", "known_ncRNA",
+    "known_ncrna", "unitary_pseudogene", "unprocessed_pseudogene", "LRG_gene", "disrupted_domain", "vaultRNA", "bidirectional_promoter_lncRNA", "ambiguous_orf",
+}
+
+
+def _failing(message: str, row: Column | str, kind: str) -> Column:
+    return F.raise_error(F.concat(F.lit(message + " in line "), F.col(row).cast("string") if isinstance(row, str) else row)).cast(kind)
+
+
 def read_transcripts(spark: SparkSession, path: str, biotypes: set[str] | None = None) -> DataFrame:
-    """(chrom, start, end, reverse) of GFF3 transcripts whose gene is on the same sequence; by biotype if given."""
+    """(chrom, start, end, reverse) of a GFF3's transcripts of the listed biotypes (given, or the fixed ones, by biotype,
+    gene_biotype or the type itself); reverse is null where the strand is unknown.
+
+    A malformed line, a repeated gene or transcript, and a transcript without ID, Parent or gene on its sequence are errors."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(c) == 9))
-    attr = lambda k: F.nullif(F.regexp_extract(F.get(c, F.lit(8)), f"(?:^|;){k}=([^;]*)", 1), F.lit(""))
-    rows = rows.select(F.get(c, F.lit(0)).alias("chrom"), F.get(c, F.lit(2)).alias("type"), F.get(c, F.lit(3)).cast("int").alias("start"), F.get(c, F.lit(4)).cast("int").alias("end"), (F.get(c, F.lit(6)) == "-").alias("reverse"), attr("ID").alias("id"), attr("Parent").alias("parent"), F.coalesce(attr("biotype"), attr("gene_biotype"), F.get(c, F.lit(2))).alias("biotype"))
-    is_gene = (F.col("type") == "gene") | F.col("id").startswith("gene:")
-    genes = rows.where(is_gene).select("chrom", F.col("id").alias("parent"))
-    out = rows.where(~is_gene & ~F.col("type").isin("CDS", "exon") & ~F.col("type").contains("UTR") & F.col("id").isNotNull())
-    out = out.join(genes, ["chrom", "parent"], "left_semi")
-    if biotypes is not None:
-        out = out.where(F.col("biotype").isin(*biotypes))
-    return out.select("chrom", "start", "end", "reverse")
+    lines = read_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", "")).where("value != '' AND NOT value LIKE '#%'")
+    col = lambda i: F.get("c", F.lit(i))
+    # conditions may be evaluated before those that leave comments out, so comments must not fail either
+    comment = F.col("value").startswith("#") | (F.col("value") == "")
+    rows = lines.select("row_id", F.when(F.size(c) == 9, c).when(~comment, _failing("nine columns expected", "row_id", "array<string>")).alias("c"))
+    number = lambda i: F.when(col(i).rlike(r"^\+?[0-9]{1,10}$"), col(i).cast("int")).when(F.col("c").isNotNull(), _failing("a bad position", "row_id", "int"))
+    attributes = F.filter(F.split(col(8), ";"), lambda a: a != "")
+    sound = F.forall(attributes, lambda a: a.rlike("^[^=]+=.+$"))
+    # a repeated key fails here
+    entries = F.map_from_entries(F.transform(attributes, lambda a: F.struct(F.substring_index(a, "=", 1).alias("k"), F.substring(a, F.instr(a, "=") + 1, F.length(a)).alias("v"))))
+    rows = rows.select("row_id", "c", F.when(sound, entries).when(F.col("c").isNotNull(), _failing("a bad attribute", "row_id", "map<string,string>")).alias("a"))
+    attr = lambda k: F.try_element_at("a", F.lit(k))
+    strand = F.when(col(6) == "-", True).when(col(6) == "+", False).when(~col(6).isin(".", "?"), _failing("a bad strand", "row_id", "boolean"))
+    rows = rows.select(
+        "row_id", col(0).alias("chrom"), col(2).alias("type"), number(3).alias("start"), number(4).alias("end"), strand.alias("reverse"), attr("ID").alias("id"), attr("Parent").alias("parent"),
+        F.coalesce(attr("biotype"), attr("gene_biotype"), F.lit("")).alias("biotype"),
+    )
+    interval = F.when((F.col("start") > 0) & (F.col("end") >= F.col("start")), F.col("start")).when(F.col("start").isNotNull(), _failing("an empty interval", "row_id", "int"))
+    rows = rows.withColumn("start", interval)
+    is_gene = (F.col("type") == "gene") | F.coalesce(F.col("id").startswith("gene:"), F.lit(False))
+    plain = lambda x, prefix: F.regexp_replace(x, f"^{prefix}:", "")
+    genes = rows.where(is_gene & F.col("id").isNotNull()).groupBy(plain("id", "gene").alias("gene")).agg(F.count("*").alias("n"), F.min("chrom").alias("on"), F.max("row_id").alias("at"))
+    genes = genes.select("gene", F.when(F.col("n") == 1, F.col("on")).otherwise(_failing("a repeated gene", "at", "string")).alias("on"))
+    listed = lambda x: x.isin(*biotypes) if biotypes is not None else x.isin(*BIOTYPES) | F.lower(x).isin(*[b.lower() for b in BIOTYPES_ANY_CASE])
+    out = rows.where(~is_gene & ~F.col("type").isin("CDS", "exon", "three_prime_UTR", "five_prime_UTR") & (listed(F.col("biotype")) | listed(F.col("type"))))
+    out = out.withColumns({
+        "id": F.coalesce(plain("id", "transcript"), _failing("a transcript without ID", "row_id", "string")), "gene": F.coalesce(plain("parent", "gene"), _failing("a transcript without Parent", "row_id", "string")),
+    })
+    repeated = out.groupBy("id").agg(F.count("*").alias("n"), F.max("row_id").alias("at"))
+    out = out.join(repeated, "id").join(genes, "gene", "left")
+    chrom = F.when(F.col("n") > 1, _failing("a repeated transcript", "at", "string")).when(F.col("on").isNull(), _failing("a transcript without its gene", "row_id", "string"))
+    chrom = chrom.when(F.col("on") != F.col("chrom"), _failing("a transcript on another sequence than its gene", "row_id", "string")).otherwise(F.col("chrom"))
+    return out.select(chrom.alias("chrom"), "start", "end", "reverse")
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """(chrom, chunk, seq): sequences in pieces of ``chunk`` bases, read by file so that lines stay in order."""
-    def pieces(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for text in pdf["value"]:
-                for record in text.split(">")[1:]:
-                    name, _, body = record.partition("\n")
-                    seq = body.replace("\n", "").replace("\r", "")
-                    rows = [(name.split()[0], i // chunk, seq[i : i + chunk]) for i in range(0, len(seq), chunk)]
-                    yield pd.DataFrame(rows, columns=["chrom", "chunk", "seq"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(pieces, "chrom string, chunk int, seq string")
+    """(chrom, chunk, seq): sequences in pieces of ``chunk`` bases. The file is read in lines; every line's place in its
+    sequence is the sum of the lengths before it, summed over blocks of lines, so no row holds a sequence."""
+    lines = read_lines(spark, path).select("row_id", F.regexp_replace("value", "\\s+$", "").alias("value")).where("value != '' AND NOT value LIKE ';%'")
+    heads = lines.where("value LIKE '>%'").select(F.col("row_id").alias("head"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"))
+    # one row a sequence
+    heads = heads.withColumn("until", F.coalesce(F.lead("head").over(Window.orderBy("head")), F.lit((1 << 63) - 1)))
+    bases = lines.where("NOT value LIKE '>%'").withColumn("_block", F.floor(F.col("row_id") / 65536))
+    bases = bases.join(F.broadcast(heads), (F.col("row_id") > F.col("head")) & (F.col("row_id") < F.col("until")))
+    sizes = bases.groupBy("head", "_block").agg(F.sum(F.length("value")).alias("_n"))
+    before = sizes.withColumn("_base", F.sum("_n").over(Window.partitionBy("head").orderBy("_block")) - F.col("_n")).drop("_n")
+    inside = F.sum(F.length("value")).over(Window.partitionBy("head", "_block").orderBy("row_id")) - F.length("value")
+    placed = bases.withColumn("_in", inside).join(before, ["head", "_block"]).withColumn("_at", F.col("_base") + F.col("_in"))
+    # a line gives a piece to every chunk that it reaches
+    reach = F.sequence(F.floor(F.col("_at") / chunk), F.floor((F.col("_at") + F.length("value") - 1) / chunk))
+    cut = placed.withColumn("chunk", F.explode(reach))
+    first = F.greatest(F.col("chunk") * chunk - F.col("_at"), F.lit(0))
+    piece = F.substring("value", (first + 1).cast("int"), ((F.col("chunk") + 1) * chunk - F.greatest("_at", F.col("chunk") * chunk)).cast("int"))
+    whole = cut.groupBy("head", "chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), piece.alias("s")))).alias("p"))
+    return whole.select("chrom", F.col("chunk").cast("int").alias("chunk"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
