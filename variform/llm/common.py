@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder serves a
+    session on one machine (tests, bench); on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_variform_shared", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="variform-")
@@ -63,7 +66,8 @@ def checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: documents are long, and batches wait in memory on both sides."""
+    """Arrow batches of at most so many rows: documents are long, and batches wait in memory on both sides. Spark reads the
+    setting when a plan runs, which is after an operator has returned, so it stays for the session; smaller ones are kept."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
