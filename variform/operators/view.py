@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variform.functions import variant
@@ -86,6 +86,22 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("row_id").limit(n)
 
 
+def head_lines(df: DataFrame, header: VariantHeader, records: int = 0, header_lines: int | None = None, from_chrom: bool = False) -> DataFrame:
+    """(line, value): the first header_lines lines of the header (all if None; from_chrom: the #CHROM line too, if it is not
+    among them), then the first records as text."""
+    from variform.functions.projection import Projection  # which takes sample selection from here
+
+    lines = header.lines()
+    taken = lines if header_lines is None else lines[:header_lines]
+    lines = [*taken, lines[-1]] if from_chrom and len(taken) < len(lines) else taken
+    top = df.sparkSession.createDataFrame(list(enumerate(lines, 1)), "line long, value string")
+    if not records:
+        return top
+    # so few rows that one task may number them
+    numbered = head(df, records).withColumn("line", F.row_number().over(Window.orderBy("row_id")) + len(lines))
+    return top.unionByName(numbered.select(F.col("line").cast("long").alias("line"), Projection("", header).line().alias("value")))
+
+
 def contig_stats(df: DataFrame, header: VariantHeader, all_contigs: bool = False) -> DataFrame:
     """(contig_idx, chrom, length, records) by contig; contigs without records only on request."""
     rows = [(i, c, int(f["length"]) if f.get("length", "").isdigit() else None) for i, (c, f) in enumerate(header.contigs.items())]

@@ -149,6 +149,16 @@ _DEPTHS = "list_transform(gt[i], lambda a: CASE WHEN a IS NOT NULL THEN ad[i][a
 _BINOM_OF = "CASE WHEN {d}[1] IS NULL OR {d}[2] IS NULL OR {d}[1] + {d}[2] = 0 THEN NULL WHEN {d}[1] = {d}[2] THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({d}[1], {d}[2]) + 1), lambda j: exp(lgamma({d}[1] + {d}[2] + 1) - lgamma(j + 1) - lgamma({d}[1] + {d}[2] - j + 1) - ({d}[1] + {d}[2]) * ln(2.0))))) END"
 _BINOM = f"list_transform([1, 2, 3, 4], lambda i: {_BINOM_OF.format(d=_DEPTHS)})"
 
+_expression("fn_sample_count", "SMPL_COUNT(FMT/AD) > 2 & FMT/DP > 30", "len(list_filter([1, 2, 3, 4], lambda i: len(ad[i]) > 2 AND coalesce(sdp[i] > 30, false))) > 0")
+_expression("expr_and_many", "FMT/DP > 3 & FMT/DP < 45 & FMT/DP != 20 & FMT/AD[*:0] > 2 & FMT/AD[*:0] < 38 & GT != \"mis\" & FMT/DP >= 5 & FMT/DP <= 44", f"len(list_filter([1, 2, 3, 4], lambda i: sdp[i] BETWEEN 5 AND 44 AND sdp[i] <> 20 AND ad[i][1] > 2 AND ad[i][1] < 38 AND len(list_filter(gt[i], lambda a: a IS NULL)) = 0)) > 0")
+
+
+@q("SELECT row_id FROM c WHERE coalesce(sdp[2] > 40, false) OR coalesce(sdp[4] > 40, false)")
+def expr_sample_file(spark, sf_dir):
+    """Samples named in a file select the values that count."""
+    t = compile_truth("FMT/DP[@chosen] > 40", HEADER, lambda name: ["S2", "S4"])
+    return variants(spark, sf_dir).where(t.site).select("row_id")
+
 
 @q(f"SELECT row_id, array_to_string(list_transform({_BINOM}, lambda p: CASE WHEN coalesce(CAST(p AS FLOAT) < CAST(0.05 AS FLOAT), false) THEN 'true' ELSE 'false' END), ',') AS passes FROM v WHERE len(list_filter({_BINOM}, lambda p: CAST(p AS FLOAT) < CAST(0.05 AS FLOAT))) > 0")
 def fn_binom(spark, sf_dir):
@@ -221,6 +231,21 @@ def query_subscript(spark, sf_dir):
     return query(variants(spark, sf_dir), HEADER, "%ALT{1} [%AD{1}] %DB %INFO/AF{1}", ["S1"])
 
 
+_AF_TEXT = "array_to_string(list_transform(af, lambda a: printf('%g', CAST(a AS DOUBLE))), ',')"
+_INFO_TEXT = f"concat('DP=', dp, ';AF=', {_AF_TEXT}, CASE WHEN k % 4 = 0 THEN ';DB' ELSE '' END)"
+_SAMPLES_TEXT = "array_to_string(list_transform([1, 2, 3, 4], lambda i: concat(replace(array_to_string(list_transform(gt[i], lambda a: coalesce(CAST(a AS VARCHAR), '.')), '/'), '/', CASE WHEN ph[i] THEN '|' ELSE '/' END), ':', coalesce(CAST(sdp[i] AS VARCHAR), '.'), ':', array_to_string(ad[i], ','))), chr(9))"
+
+
+@q(f"SELECT row_id, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), id, ref, alt, {_QUAL}, filter, {_INFO_TEXT}, 'GT:DP:AD', {_SAMPLES_TEXT}) AS value FROM v")
+def query_line(spark, sf_dir):
+    return query(variants(spark, sf_dir), HEADER, "%LINE")
+
+
+@q(f"SELECT row_id, concat(pos, ' ', 'GT:DP:AD', chr(9), {_SAMPLES_TEXT}) AS value FROM v")
+def query_format(spark, sf_dir):
+    return query(variants(spark, sf_dir), HEADER, "%POS %FORMAT")
+
+
 @q("$BASE SELECT '#[1]CHROM [2]S1:DP [3]S4:DP' AS indexed, '#CHROM S1:DP S4:DP' AS plain")
 def query_header(spark, sf_dir):
     p = Projection("%CHROM [%DP ]", HEADER, ["S1", "S4"])
@@ -291,6 +316,12 @@ def head_n(spark, sf_dir):
     return _keep(view.head(variants(spark, sf_dir), 25))
 
 
+@q("SELECT line, value FROM (SELECT row_number() OVER (ORDER BY row_id) + 2 AS line, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), id, ref, alt) AS value FROM v) WHERE line <= 12 UNION ALL SELECT * FROM (VALUES (1, '##fileformat=VCFv4.3'), (2, '##FILTER=<ID=PASS,Description=\"All filters passed\">'))")
+def head_lines(spark, sf_dir):
+    out = view.head_lines(variants(spark, sf_dir), HEADER, records=10, header_lines=2)
+    return out.select("line", F.when(F.col("line") > 2, F.substring_index("value", "\t", 5)).otherwise(F.col("value")).alias("value"))
+
+
 # ---------------------------------------------------------------- soft filters, masks, genotypes, gaps
 
 _PASSES = "(dp >= 20 AND coalesce(qual >= 30, false))"
@@ -353,6 +384,12 @@ def filter_indelgap(spark, sf_dir):
     return filtering.indel_gap(variants(spark, sf_dir), HEADER, 2)
 
 
+QUERIES["filter_gap_soft"] = lambda spark, sf_dir: filtering.gap_filter(variants(spark, sf_dir), HEADER, snp=3, indel=2, soft=True)[0].select("row_id", _list(F.col("filters"), ";").alias("filter"))
+_MARKED = [ORACLE[f"filter_{n}"].removeprefix(BASE) for n in ("snpgap", "indelgap")]
+ORACLE["filter_gap_soft"] = f"""{BASE}, sg AS ({_MARKED[0]}), ig AS ({_MARKED[1]}),
+    m AS (SELECT row_id, filter, row_id IN (SELECT row_id FROM sg) AS s, row_id IN (SELECT row_id FROM ig) AS i FROM v)
+    SELECT row_id, CASE WHEN NOT s AND NOT i THEN filter ELSE concat_ws(';', CASE WHEN filter NOT IN ('PASS', '.') THEN filter END, CASE WHEN s THEN 'SnpGap' END, CASE WHEN i THEN 'IndelGap' END) END AS filter FROM m"""
+
 # ---------------------------------------------------------------- annotation
 
 _INTERVALS = "i AS (SELECT p_partkey AS serial, 'chr' || (1 + p_partkey % 5) AS ic, 1 + (p_partkey * 613) % 20011 AS a, 1 + (p_partkey * 613) % 20011 + p_size AS b, p_brand AS name FROM part)"
@@ -622,6 +659,18 @@ def norm_split(spark, sf_dir):
     return out.select("row_id", "part", _list(F.col("alts")).alias("alt"), _alleles().alias("gts"), F.round(F.get("info.AF", F.lit(0)) * 10).cast("int").alias("af10"))
 
 
+@q(f"""$BASE, {_PARTS} SELECT row_id, CAST(part AS INTEGER) AS part, array_to_string(list_transform([1, 2, 3, 4], lambda i: array_to_string(list_transform(CASE WHEN n < 2 THEN range(0, (n + 1) * (n + 2) // 2)
+    ELSE [0, (part + 1) * (part + 2) // 2, (part + 1) * (part + 2) // 2 + part + 1] END, lambda j: (k * 7 + i * 11 + 13 * j) % 97), ',')), ' ') AS pls FROM p""")
+def norm_split_genotypes(spark, sf_dir):
+    """FORMAT/PL (Number=G) of split records."""
+    size = ((F.size("alts") + 1) * (F.size("alts") + 2) / 2).cast("int")
+    likely = lambda i: F.transform(F.sequence(F.lit(0), size - 1), lambda j: ((F.col("row_id") * 7 + (i + 1) * 11 + 13 * j) % 97).cast("int"))
+    v = variants(spark, sf_dir)
+    v = v.withColumn("samples", F.array(*[F.get("samples", F.lit(i)).withField("PL", likely(i)) for i in range(4)]))
+    out = norm.split_multiallelic(v, HEADER.with_(formats=HEADER.formats | {"PL": Field("PL", "G", "Integer", "")}))
+    return out.select("row_id", "part", F.array_join(F.transform("samples", lambda s: F.array_join(s["PL"], ",")), " ").alias("pls"))
+
+
 @q(f"$BASE, {_PARTS} SELECT row_id, CAST(part AS INTEGER) AS part, array_to_string(list_transform(ad, lambda d: CASE WHEN n < 2 THEN array_to_string(d, ',') ELSE concat(list_sum(d) - d[part + 2], ',', d[part + 2]) END), ' ') AS ads FROM p")
 def norm_split_keep_ad(spark, sf_dir):
     out = norm.split_multiallelic(variants(spark, sf_dir), HEADER, keep_sum=True)
@@ -688,6 +737,14 @@ ORACLE["norm_join_both"] = _joined_sql("CASE WHEN mask IN (0, 1) THEN 'snp' WHEN
 ORACLE["norm_join_policy_snps"] = _joined_sql("CASE WHEN mask IN (0, 1) THEN 'snp' ELSE 'r' || row_id END", "")
 
 
+@q(f"""SELECT min(row_id) AS row_id, CAST(max(qual) AS INTEGER) AS qual, CASE WHEN bool_or(filter = 'q10') THEN 'q10' ELSE arg_max(filter, row_id) END AS filter,
+    string_agg(id, ';' ORDER BY row_id) FILTER (WHERE id <> '.') AS ids FROM v GROUP BY chrom, pos""")
+def norm_join_fields(spark, sf_dir):
+    """QUAL, FILTER and IDs of joined records."""
+    out = norm.join_multiallelic(variants(spark, sf_dir), HEADER, "any")
+    return out.select("row_id", F.col("qual").cast("int").alias("qual"), _list(F.col("filters"), ";").alias("filter"), F.when(F.size("ids") > 0, F.array_join("ids", ";")).alias("ids"))
+
+
 @q()
 def norm_join_policy_snps(spark, sf_dir):
     out = norm.join_multiallelic(variants(spark, sf_dir), HEADER, "snps")

@@ -195,35 +195,51 @@ def output_lines(df: DataFrame, header: VariantHeader, header_mode: str = "full"
     return body if header_mode == "none" else head.unionByName(body)
 
 
+def refuse_own_input(df: DataFrame, path: str) -> None:
+    own = lambda f: f.replace("file:///", "/").replace("file:/", "/").rstrip("/")
+    if any(own(f) == own(path) or own(f).startswith(own(path) + "/") for f in df.inputFiles()):
+        raise ValueError(f"{path} is read from, it cannot be written")
+
+
 def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool | str = False, header_mode: str = "full", overwrite: bool = False) -> None:
     """A folder of sorted parts whose concatenation in the order of their names is one valid VCF, in one commit.
 
     compress: False, 'gzip' (or True) or 'bgzf', which ends with the empty block. header_mode: 'full', 'only' or 'none'. A
     folder that exists is an error unless overwrite; one that the rows are read from always is."""
-    spark = df.sparkSession
-    own = lambda f: f.replace("file:///", "/").replace("file:/", "/").rstrip("/")
-    if any(own(f) == own(path) or own(f).startswith(own(path) + "/") for f in df.inputFiles()):
-        raise ValueError(f"{path} is read from, it cannot be written")
+    refuse_own_input(df, path)
     lines = output_lines(df, header, header_mode)
     if compress != "bgzf":
         lines.write.mode("overwrite" if overwrite else "errorifexists").options(**({"compression": "gzip"} if compress else {})).text(path)
         return
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    commit_blocks(lines, _texts, path, "vcf.gz", overwrite=overwrite)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    return ("".join(f"{v}\n" for v in b.column(0).to_pylist()).encode("utf-8") for b in batches)
+
+
+def commit_blocks(df: DataFrame, chunks, path: str, suffix: str, *, compress: bool = True, overwrite: bool = False) -> None:
+    """A folder of one part a partition of df, the bytes that chunks (batches -> bytes) makes of it, as BGZF with a last
+    empty block or as they are, in one commit: attempts write to a folder beside the target under names of their own,
+    and only those of finished tasks are moved."""
+    spark = df.sparkSession
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    target = hadoop_path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(target) and not overwrite:
         raise ValueError(f"{path} exists")
-    # attempts write to a folder beside the target under names of their own; only those of finished tasks are moved
-    staged = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + f"._staged-{uuid.uuid4().hex}")
+    staged = hadoop_path(path.rstrip("/") + f"._staged-{uuid.uuid4().hex}")
     fs.mkdirs(staged)
     try:
         uri = fs.makeQualified(staged).toString()
-        parts = lines.mapInArrow(_block_writer(uri), "part int, name string, size long").collect()
-        done = spark._jvm.org.apache.hadoop.fs.Path(staged, "done")
+        parts = df.mapInArrow(_part_writer(uri, chunks, compress), "part int, name string, size long").collect()
+        done = hadoop_path(staged, "done")
         fs.mkdirs(done)
         for r in parts:
-            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged, r.name), spark._jvm.org.apache.hadoop.fs.Path(done, f"part-{r.part:05d}.vcf.gz"))
-        for name, content in ((f"part-{max((r.part for r in parts), default=0) + 1:05d}.vcf.gz", bgzf.EOF_BLOCK), ("_SUCCESS", b"")):
-            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(done, name))
+            fs.rename(hadoop_path(staged, r.name), hadoop_path(done, f"part-{r.part:05d}.{suffix}"))
+        last = [(f"part-{max((r.part for r in parts), default=0) + 1:05d}.{suffix}", bgzf.EOF_BLOCK)] if compress else []
+        for name, content in [*last, ("_SUCCESS", b"")]:
+            out = fs.create(hadoop_path(done, name))
             out.write(bytearray(content))
             out.close()
         if overwrite:
@@ -234,7 +250,7 @@ def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool |
         fs.delete(staged, True)
 
 
-def _block_writer(uri: str):
+def _part_writer(uri: str, chunks, compress: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as arrow_fs
         from pyspark import TaskContext
@@ -242,9 +258,8 @@ def _block_writer(uri: str):
         system, folder = arrow_fs.FileSystem.from_uri(uri)
         context = TaskContext.get()
         name, size = f"{context.partitionId():05d}-{context.taskAttemptId()}", 0
-        texts = ("".join(f"{v}\n" for v in b.column(0).to_pylist()).encode("utf-8") for b in batches)
         with system.open_output_stream(f"{folder}/{name}") as out:
-            for piece in bgzf.blocks(texts):
+            for piece in bgzf.blocks(chunks(batches)) if compress else chunks(batches):
                 out.write(piece)
                 size += len(piece)
         yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "name": [name], "size": [size]})
