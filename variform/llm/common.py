@@ -84,18 +84,27 @@ def fresh(name: str, taken: list[str]) -> str:
 HOT_SHARE, HOT_LEAST = 512, 64
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: int, count: str = "c") -> DataFrame:
-    """(keys, _parts) of the keys of counts that too many of n rows have: at most HOT_SHARE rows, so they may be broadcast."""
+def hot_keys(counts: DataFrame, keys: list[str], n: int, count: str = "c") -> dict[int, int]:
+    """Of the keys of counts (a written table) that too many of n rows have: their hash, and over how many parts such a key's
+    rows are dealt. At most HOT_SHARE entries at any size, so the driver may hold them."""
     limit = max(HOT_LEAST, n // HOT_SHARE)
-    return counts.where(F.col(count) >= limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("_parts"))
+    found = counts.where(F.col(count) >= limit).select(F.xxhash64(*keys).alias("h"), F.ceil(F.col(count) / limit).cast("int").alias("parts"))
+    return {r.h: r.parts for r in found.collect()}
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row a key, on keys. The rows of a hot key are dealt by a hash of the columns
-    ``spread`` over as many parts as hot says, and its row of right is repeated for each."""
-    parts = F.broadcast(hot)  # at most HOT_SHARE rows
-    dealt = left.join(parts, keys, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
-    copies = right.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+def is_hot(hot: dict[int, int], *keys: str) -> Column:
+    return F.xxhash64(*keys).isin(*hot) if hot else F.lit(False)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys. The rows of a hot key are dealt by a hash of the columns ``spread`` over as many parts
+    as hot says, and right's rows of it are repeated for each. (A key of a hot one's hash is treated alike on both sides.)"""
+    if not hot:
+        return left.join(right, keys, how)
+    listed = F.create_map(*[F.lit(x) for item in hot.items() for x in item])
+    parts = F.when(is_hot(hot, *keys), F.element_at(listed, F.xxhash64(*keys))).otherwise(1)
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 
 

@@ -43,9 +43,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "t", "pos", F.xxhash64("line").alias("h"), words.alias("w"))
 
 
-def _ordered(df: DataFrame, keys: list[str], name: str, rank: str) -> tuple[DataFrame, str]:
-    """df with rank: the number of its row in the order of keys over all partitions (increasing, with gaps)."""
-    return materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(rank, F.monotonically_increasing_id()), name)
+#: So few rows are ordered, and split by one key, in one task: the last rounds have no more.
+FEW = 8192
+
+
+def _ordered(df: DataFrame, keys: list[str], name: str, rank: str, most: int | None = None) -> tuple[DataFrame, str]:
+    """df with rank: the number of its row in the order of keys over all partitions (increasing, with gaps). most: rows at most."""
+    dealt = df.coalesce(1) if most is not None and most <= FEW else df.repartitionByRange(*keys)
+    return materialize(dealt.sortWithinPartitions(*keys).withColumn(rank, F.monotonically_increasing_id()), name)
 
 
 class SuffixArray:
@@ -104,7 +109,7 @@ class SuffixArray:
         }).where("pos >= need")
         whole = F.col("pos") + 2 * span - 1 <= F.col("last")
         pairs = rows.where("live").groupBy("r", "nxt").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("f"), F.max(whole).alias("whole"))
-        pairs, path = _ordered(pairs, ["r", "nxt"], "ranks", "n")
+        pairs, path = _ordered(pairs, ["r", "nxt"], "ranks", "n", n)
         self.paths.append(path)
         # ended and unique suffixes meet no pair: all ranks are 0 or more
         rows = rows.withColumn("r", F.when(F.col("live"), F.col("r")).otherwise(-1 - F.abs(F.xxhash64(*PLACE) % (1 << 60))))
@@ -124,8 +129,6 @@ class SuffixArray:
             shared = new if shared is None else shared.unionByName(new)
             if not k:
                 break
-            shared, path = materialize(shared, "shared")
-            self.paths.append(path)
             shared, path = self._bit(shared, k - 1)
             self.paths.append(path)
         return self.lines.select(*PLACE).withColumn("l", F.lit(0)).limit(0) if shared is None else shared.select(*PLACE, "l")
@@ -133,20 +136,23 @@ class SuffixArray:
     def _bit(self, shared: DataFrame, j: int) -> tuple[DataFrame, str]:
         """shared after deciding whether 2**j lines more are shared. A set (h, l) holds positions that share l lines with
         position h, the first of them, and that are first themselves for 2**(j + 1) more."""
-        n = shared.count()
         at = self.levels[j].select("id", "t", F.col("pos").alias("_at"), F.col("r").alias("y"))
         asked = shared.withColumn("_at", F.col("pos") + F.col("l")).join(at, ["id", "t", "_at"], "left").drop("_at")
         # a position that is alone with its next lines shares no more; it meets no part, as ranks are 0 or more
         asked = asked.withColumn("y", F.coalesce("y", -1 - F.abs(F.xxhash64(*PLACE) % (1 << 60))))
         asked, path = materialize(asked, "asked")
         self.paths.append(path)
+        n = asked.count()
         parts = asked.where("y >= 0").groupBy("h", "l", "y").agg(F.count("*").alias("c"), F.min(F.struct(*PLACE)).alias("f"))
         heads = asked.where("y >= 0").select("h", "l").distinct().select("h", "l", F.col("h.id").alias("id"), F.col("h.t").alias("t"), (F.col("h.pos") + F.col("l")).alias("_at"))
         heads = heads.join(at, ["id", "t", "_at"]).select("h", "l", "y", F.lit(True).alias("own"))
         parts = parts.join(heads, ["h", "l", "y"], "left").select("h", "l", "y", "c", F.when(F.col("own"), F.col("h")).otherwise(F.col("f")).alias("f"))
-        parts, path = materialize(parts, "parts")
-        self.paths.append(path)
-        split = salted_join(asked, parts.drop("c"), ["h", "l", "y"], hot_keys(parts, ["h", "l", "y"], n), PLACE, "left")
+        hot = {}
+        if n > FEW:
+            parts, path = materialize(parts, "parts")
+            self.paths.append(path)
+            hot = hot_keys(parts, ["h", "l", "y"], n)
+        split = salted_join(asked, parts.drop("c"), ["h", "l", "y"], hot, PLACE, "left")
         more = F.coalesce(F.col("f") != F.struct(*PLACE), F.lit(False))
         return materialize(split.select(*PLACE, F.when(more, F.col("f")).otherwise(F.col("h")).alias("h"), F.when(more, F.col("l") + (1 << j)).otherwise(F.col("l")).alias("l")), "shared")
 

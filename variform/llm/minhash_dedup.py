@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, drop_path, hot_keys, materialize, salted_join, small_batches
+from .common import BitFilter, drop_path, hot_keys, is_hot, materialize, salted_join, small_batches
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
@@ -165,16 +165,16 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     while True:
         n = 2 * current.count()
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        least, least_path = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")), "least")
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         large = salted_join(both.where("v > u"), least.select("u", "m"), ["u"], hot_keys(least, ["u"], n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large, large_path = materialize(large.unionByName(least.where("m != u").select("u", F.col("m").alias("v"))).distinct(), "large")
         # small star: every smaller neighbour, and the node itself, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        low, low_path = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "low")
         small = salted_join(large, low.select("u", "m"), ["u"], hot_keys(low, ["u"], n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         after, after_path = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (path, large_path):
+        for old in (path, least_path, large_path, low_path):
             drop_path(edges.sparkSession, old)
         current, path = after, after_path
         if tuple(state) == seen:
@@ -220,7 +220,7 @@ class NearDuplicates:
         self.paths.append(path)
         return made
 
-    def members(self) -> tuple[DataFrame, DataFrame]:
+    def members(self) -> tuple[DataFrame, dict[int, int]]:
         """(key, node, n, size) of all buckets with two nodes or more, and the keys that very many have."""
         rows = self.nodes.select("node", "n", F.explode("keys").alias("key"))
         shared = self.scratch(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
@@ -267,37 +267,34 @@ class NearDuplicates:
         The node of a pair that has more pairs (a hub) comes last, so that its set is not shuffled for each of them."""
         pairs = self.scratch(pairs, "pairs")
         n = pairs.count()
-        degree = pairs.select(F.col("u").alias("x")).unionByName(pairs.select(F.col("v").alias("x"))).groupBy("x").agg(F.count("*").alias("c"))
-        hot = self.scratch(hot_keys(degree, ["x"], n), "hot")
+        degree = self.scratch(pairs.select(F.col("u").alias("x")).unionByName(pairs.select(F.col("v").alias("x"))).groupBy("x").agg(F.count("*").alias("c")), "degree")
+        hot = hot_keys(degree, ["x"], n)
         named = lambda df, x, **cols: df.select(F.col("node").alias(x), *[F.col(c).alias(k) for k, c in cols.items()])
-        parts = lambda x: hot.select(F.col("x").alias(x), "_parts")
-        # at most one node of HOT_SHARE is hot, and a pair of two hot ones may stand either way
-        hubs = F.broadcast(hot.select(F.col("x").alias("u"), F.lit(True).alias("_hub")))
-        turned = pairs.join(hubs, "u", "left").select(
-            F.when(F.col("_hub"), F.col("v")).otherwise(F.col("u")).alias("m"), F.when(F.col("_hub"), F.col("u")).otherwise(F.col("v")).alias("h")
-        )
+        # a pair of two hot nodes may stand either way
+        hub = is_hot(hot, "u")
+        turned = pairs.select(F.when(hub, F.col("v")).otherwise(F.col("u")).alias("m"), F.when(hub, F.col("u")).otherwise(F.col("v")).alias("h"))
         near = turned
         if sketched:
-            near = salted_join(near, named(self.nodes, "m", sm="sketch"), ["m"], parts("m"), ["h"])
-            near = salted_join(near, named(self.nodes, "h", sh="sketch"), ["h"], parts("h"), ["m"])
+            near = salted_join(near, named(self.nodes, "m", sm="sketch"), ["m"], hot, ["h"])
+            near = salted_join(near, named(self.nodes, "h", sh="sketch"), ["h"], hot, ["m"])
             near = near.where(odd_estimate(F.col("sm"), F.col("sh"), self.samples) >= self.percent / 100 - SLACK).select("m", "h")
         near = self.scratch(near, "near")
         sets = self.sets(near.select(F.col("m").alias("node")).unionByName(near.select(F.col("h").alias("node"))))
-        full = salted_join(near, named(sets, "m", a="shingles"), ["m"], parts("m"), ["h"])
-        full = salted_join(full, named(sets, "h", b="shingles"), ["h"], parts("h"), ["m"])
+        full = salted_join(near, named(sets, "m", a="shingles"), ["m"], hot, ["h"])
+        full = salted_join(full, named(sets, "h", b="shingles"), ["h"], hot, ["m"])
         both = F.size(F.array_intersect("a", "b"))
         # 100 * both >= percent * (|a| + |b| - both)
         links = full.where(both * (100 + self.percent) >= (F.size("a") + F.size("b")) * self.percent)
         return self.scratch(links.select(F.greatest("m", "h").alias("u"), F.least("m", "h").alias("v")), "links")
 
-    def hub_pairs(self, members: DataFrame, hot: DataFrame) -> DataFrame:
+    def hub_pairs(self, members: DataFrame, hot: dict[int, int]) -> DataFrame:
         """Every member with the hub of its bucket."""
         weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
         hubs = members.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("o"))).alias("h"))
         pairs = salted_join(members.select("key", "node"), hubs.select("key", (-F.col("h.o")).alias("hub")), ["key"], hot, ["node"]).where("node != hub")
         return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
-    def contested_pairs(self, members: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
+    def contested_pairs(self, members: DataFrame, hot: dict[int, int], labels: DataFrame) -> DataFrame:
         """The pairs between components, of nodes in buckets of three or more that hold several, that can be links.
 
         With shingles in one order, rarest first, a link's first shared shingle at places i and j (from 0) leaves at most
