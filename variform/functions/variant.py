@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SNP, MNP, INDEL, OTHER, BND, OVERLAP, REF = 1, 2, 4, 8, 16, 32, 64
@@ -83,6 +83,25 @@ def type_text(mask: Column) -> Column:
     return let(mask, text)
 
 
+def bound(df: DataFrame, name: str) -> DataFrame:
+    """df with a column that is evaluated once a row, however often a filter above mentions it.
+
+    The optimizer moves a filter below the projection that makes a column and puts the column's whole expression in place
+    of every mention. A column that is read from a table has no expression and is left alone, so that reads are pruned."""
+    if name not in df.columns:
+        return df
+    plan = df.select(name)._jdf.queryExecution().optimizedPlan()
+    made, todo = False, [plan]
+    while todo and not made:
+        node = todo.pop()
+        made = node.nodeName() in ("Project", "Aggregate", "Generate", "MapInArrow", "Window") and f" AS {name}#" in node.simpleString(1 << 20)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    if not made:
+        return df
+    return df.select(*[F.explode(F.array(c)).alias(c) if c == name else F.col(c) for c in df.columns])
+
+
 def called(samples: Column | str = "samples") -> Column:
     """All called allele indexes of a record."""
     samples = F.col(samples) if isinstance(samples, str) else samples

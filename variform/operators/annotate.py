@@ -21,13 +21,6 @@ MODES = ("", ".", "+", ".+", "-", "=", ".=")
 LEVELS = (1 << 7, 1 << 13, 1 << 19)
 
 
-def _binned(df: DataFrame, a: str, b: str, levels: Column) -> DataFrame:
-    """df once for every bin that [a, b] reaches in each of the levels: _level and _bin."""
-    width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), F.col("_level") + 1)
-    df = df.withColumn("_level", F.explode(levels))
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-
-
 def _level(a: str, b: str) -> Column:
     out = F.lit(len(LEVELS) - 1)
     for k in range(len(LEVELS) - 2, -1, -1):
@@ -35,22 +28,31 @@ def _level(a: str, b: str) -> Column:
     return out
 
 
+def _binned(df: DataFrame, a: str, b: str, slots: Column) -> DataFrame:
+    """df once for every slot (2 * level, or 2 * level + 1) and bin of its level that [a, b] reaches: _slot, _bin, _width."""
+    width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), (F.col("_slot") / 2).cast("int") + 1)
+    df = df.withColumn("_slot", F.explode(slots)).withColumn("_width", width)
+    return df.withColumn("_bin", F.explode(F.sequence(F.expr(f"`{a}` DIV _width"), F.expr(f"`{b}` DIV _width"))))
+
+
 def overlap_join(targets: DataFrame, sources: DataFrame) -> DataFrame:
     """Every target with every source interval it overlaps: an equi-join on bins plus the exact test.
 
     targets: row_id, chrom, start, end; sources: serial, chrom, from, to. The longer interval of a pair says at which level
-    of bins it meets, so that a long one is not cut into many short bins nor a short one lost in a wide bin. A pair that
-    meets in several bins is emitted only in the first that both reach, so nothing is deduplicated afterwards."""
-    upward = lambda own: F.sequence(own, F.lit(len(LEVELS) - 1))
-    width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), F.col("_level") + 1)
+    of bins it meets, so that a long one is not cut into many short bins nor a short one lost in a wide bin: a target
+    meets sources up to its own level in the even slot of that level, and longer ones in the odd slot of theirs. A pair
+    that meets in several bins is emitted only in the first that both reach, so nothing is deduplicated afterwards."""
+    s = sources.withColumnRenamed("chrom", "_chrom").withColumn("_own", _level("from", "to"))
+    present = {r[0] for r in s.select("_own").distinct().collect()}  # three at most
+    top = len(LEVELS) - 1
     t = targets.withColumn("_own", _level("start", "end"))
-    t = _binned(t, "start", "end", upward(F.col("_own")))
-    s = sources.withColumnRenamed("chrom", "_chrom").withColumn("_slevel", _level("from", "to"))
-    s = _binned(s, "from", "to", upward(F.col("_slevel"))).withColumnsRenamed({"_level": "_at", "_bin": "_sbin"})
-    first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("from") / width))
-    held = (t["chrom"] == s["_chrom"]) & (t["_level"] == s["_at"]) & (t["_bin"] == s["_sbin"]) & (s["from"] <= t["end"]) & (s["to"] >= t["start"])
-    held = held & (t["_level"] == F.greatest("_own", "_slevel")) & (t["_bin"] == first)
-    return t.join(s, held).drop("_bin", "_sbin", "_chrom", "_own", "_slevel", "_level", "_at")
+    longer = F.filter(F.array(*[F.lit(k) for k in sorted(present)]).cast("array<int>"), lambda k: k > F.col("_own"))
+    t = _binned(t, "start", "end", F.concat(F.array(F.col("_own") * 2), F.transform(longer, lambda k: k * 2 + 1))).drop("_own")
+    s = _binned(s, "from", "to", F.concat(F.transform(F.sequence(F.col("_own"), F.lit(top)), lambda k: k * 2), F.array(F.col("_own") * 2 + 1))).drop("_own", "_width")
+    s = s.withColumnsRenamed({"_slot": "_sslot", "_bin": "_sbin"})
+    held = (t["chrom"] == s["_chrom"]) & (t["_slot"] == s["_sslot"]) & (t["_bin"] == s["_sbin"]) & (s["from"] <= t["end"]) & (s["to"] >= t["start"])
+    held = held & (t["_bin"] == F.expr("greatest(`start`, `from`) DIV _width"))
+    return t.join(s, held).drop("_bin", "_sbin", "_chrom", "_slot", "_sslot", "_width")
 
 
 def target_spans(df: DataFrame, header: VariantHeader, *extra: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variform.functions import variant
 from variform.sources.header import FIXED, VariantHeader, parse_map
 
 # Reserved definitions (Number, Type) and value bounds.
@@ -243,23 +244,27 @@ def validate_records(df: DataFrame, header: VariantHeader, require_evidence: boo
     return df.select("row_id", F.inline(record_issues(header, require_evidence)))
 
 
-def trimmed_key() -> tuple[Column, Column, Column]:
-    """Position, REF and first ALT with the common end, then the common start, cut away (one base stays)."""
-    from variform.functions.variant import common_prefix
+def trimmed_key() -> Column:
+    """struct<p, r, a>: position, REF and first ALT with the common end, then the common start, cut away (one base stays)."""
+    alleles = F.struct(F.col("pos").alias("p"), F.upper("ref").alias("r"), F.upper(F.coalesce(F.get("alts", F.lit(0)), F.lit("."))).alias("a"))
 
-    r, a = F.upper("ref"), F.upper(F.coalesce(F.get("alts", F.lit(0)), F.lit(".")))
-    sequence = r.rlike("^[ACGTN]+$") & a.rlike("^[ACGTN]+$")
-    cut = F.when(sequence, F.least(common_prefix(F.reverse(r), F.reverse(a)), F.length(r) - 1, F.length(a) - 1)).otherwise(0)
-    r1, a1 = F.substring(r, F.lit(1), F.length(r) - cut), F.substring(a, F.lit(1), F.length(a) - cut)
-    skip = F.when(sequence, F.least(common_prefix(r1, a1), F.length(r1) - 1, F.length(a1) - 1)).otherwise(0)
-    return F.col("pos") + skip, F.substring(r1, skip + 1, F.length(r1)), F.substring(a1, skip + 1, F.length(a1))
+    def end_cut(x: Column) -> Column:
+        n = F.least(variant.common_prefix(F.reverse(x["r"]), F.reverse(x["a"])), F.length(x["r"]) - 1, F.length(x["a"]) - 1)
+        return variant.let(n, lambda k: F.struct(x["p"].alias("p"), F.substring(x["r"], F.lit(1), F.length(x["r"]) - k).alias("r"), F.substring(x["a"], F.lit(1), F.length(x["a"]) - k).alias("a")))
+
+    def start_cut(x: Column) -> Column:
+        n = F.least(variant.common_prefix(x["r"], x["a"]), F.length(x["r"]) - 1, F.length(x["a"]) - 1)
+        return variant.let(n, lambda k: F.struct((x["p"] + k).alias("p"), F.substring(x["r"], k + 1, F.length(x["r"])).alias("r"), F.substring(x["a"], k + 1, F.length(x["a"])).alias("a")))
+
+    # where either is one base nothing can be cut, which is nearly everywhere
+    cuttable = lambda x: (F.length(x["r"]) > 1) & (F.length(x["a"]) > 1) & x["r"].rlike("^[ACGTN]+$") & x["a"].rlike("^[ACGTN]+$")
+    return variant.let(alleles, lambda x: F.when(cuttable(x), variant.let(end_cut(x), start_cut)).otherwise(x))
 
 
 def duplicate_variants(df: DataFrame) -> DataFrame:
     """(row_id, code, field) of ALTs that an earlier record has too, after trimming."""
     one = df.select("row_id", "chrom", "pos", "ref", F.explode("alts").alias("a")).withColumn("alts", F.array("a"))
-    pos, ref, alt = trimmed_key()
-    keyed = one.select("row_id", "chrom", pos.alias("p"), ref.alias("r"), alt.alias("a"))
+    keyed = one.select("row_id", "chrom", trimmed_key().alias("k")).select("row_id", "chrom", "k.*")
     first = keyed.groupBy("chrom", "p", "r", "a").agg(F.min("row_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     later = keyed.join(first, ["chrom", "p", "r", "a"]).where(F.col("row_id") > F.col("first")).select("row_id").distinct()
     return later.select("row_id", F.lit("record.duplicate-variant").alias("code"), F.lit("ALT").alias("field"))
@@ -274,11 +279,16 @@ def validate(df: DataFrame, header: VariantHeader, require_evidence: bool = Fals
 
 
 def report(df: DataFrame, header: VariantHeader, max_diagnostics: int = 100, require_evidence: bool = False) -> DataFrame:
-    """One row: version, records, errors, shown and whether the list was cut."""
-    errors = validate(df, header, require_evidence).agg(F.count("*").alias("errors"))
-    records = df.agg(F.count("*").alias("records"))
+    """One row: version, records, errors, shown and whether the list was cut.
+
+    One pass over the whole records counts them and their own problems; order and duplicates read narrow rows."""
+    from variform.operators.norm import check_order
+
+    own = df.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size(record_issues(header, require_evidence)).cast("long")), F.lit(0)).alias("errors"))
+    parts = [own, *[x.agg(F.lit(0).cast("long").alias("records"), F.count("*").alias("errors")) for x in (check_order(df), duplicate_variants(df))]]
+    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
     shown = F.least("errors", F.lit(max_diagnostics).cast("long"))
-    return records.join(errors, F.lit(True)).select(F.lit(header.version).alias("version"), "records", "errors", shown.alias("shown"), (F.col("errors") > max_diagnostics).alias("truncated"))
+    return total.select(F.lit(header.version).alias("version"), "records", "errors", shown.alias("shown"), (F.col("errors") > max_diagnostics).alias("truncated"))
 
 
 def first_diagnostics(diagnostics: DataFrame, n: int = 100) -> DataFrame:
