@@ -24,9 +24,14 @@ from variform.sources.header import VariantHeader
 CONTIG = 1 << 32
 
 
+def _contig(df: DataFrame) -> Column:
+    """The contig's number; of rows without one all positions count alike."""
+    return F.coalesce("contig_idx", F.lit(0)) if "contig_idx" in df.columns else F.lit(0)
+
+
 def with_position_time(df: DataFrame, window: int) -> DataFrame:
     """Places as event time: a record more than ``window`` positions behind the latest one is late."""
-    place = F.coalesce("contig_idx", F.lit(0)).cast("long") * CONTIG + F.col("pos")
+    place = _contig(df).cast("long") * CONTIG + F.col("pos")
     return df.withColumn("position_time", F.timestamp_millis(place)).withWatermark("position_time", f"{window} milliseconds")
 
 
@@ -39,7 +44,7 @@ def deduplicated(df: DataFrame, window: int) -> DataFrame:
 def _packed(df: DataFrame, window: int, **more: Column) -> DataFrame:
     """chrom, contig, pos, row_id, the record as JSON, and more columns, with watermark."""
     timed = with_position_time(df, window)
-    return timed.select("chrom", F.coalesce("contig_idx", F.lit(0)).alias("contig"), "pos", "row_id", F.to_json(F.struct(*df.columns)).alias("record"), "position_time", *[c.alias(k) for k, c in more.items()])
+    return timed.select("chrom", _contig(df).alias("contig"), "pos", "row_id", F.to_json(F.struct(*df.columns)).alias("record"), "position_time", *[c.alias(k) for k, c in more.items()])
 
 
 def _unpacked(df: DataFrame, like: DataFrame, *more: str) -> DataFrame:
