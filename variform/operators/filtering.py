@@ -159,8 +159,15 @@ def indel_gap(df: DataFrame, header: VariantHeader, distance: int, width: int =
     return rows.where(F.when(use_qual, F.col("by_qual")).otherwise(F.col("by_ac")) > 1).select("row_id")
 
 
-def gap_filter(df: DataFrame, header: VariantHeader, *, snp: tuple[int, str] | int | None = None, indel: int | None = None, soft: bool = False) -> tuple[DataFrame, VariantHeader]:
-    """Gap filters; marked records are dropped, or get SnpGap and IndelGap in FILTER with ``soft``."""
+def gap_filter(df: DataFrame, header: VariantHeader, *, snp: tuple[int, str] | int | None = None, indel: int | None = None, soft: bool = False, require_order: bool = False) -> tuple[DataFrame, VariantHeader]:
+    """Gap filters; marked records are dropped, or get SnpGap and IndelGap in FILTER with ``soft``.
+
+    The marks do not depend on the order of rows; require_order fails if row_id does not follow contig and position."""
+    if require_order:
+        from variform.operators.norm import check_order
+
+        if not (broken := check_order(df).limit(1)).isEmpty():
+            raise ValueError(f"records are not sorted: {broken.first().problem}")
     marks = []
     if snp is not None:
         distance, types = snp if isinstance(snp, tuple) else (snp, "indel")

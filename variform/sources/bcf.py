@@ -346,12 +346,14 @@ def _matrix(rows: list[list]) -> bytes:
     return _kind(code, n) + np.array([[missing if v is None else v for v in r] + [end] * (n - len(r)) for r in rows], dtype).tobytes()
 
 
-def write_bcf(df: DataFrame, header: VariantHeader, path: str, compress: bool = True, overwrite: bool = False) -> None:
-    """A folder of sorted parts whose concatenation in the order of their names is one BCF (BGZF, or raw), in one commit."""
+def write_bcf(df: DataFrame, header: VariantHeader, path: str, compress: bool = True, overwrite: bool = False, ordered: bool = False) -> None:
+    """A folder of sorted parts whose concatenation in the order of their names is one BCF (BGZF, or raw), in one commit.
+    ordered: df is sorted."""
     refuse_own_input(df, path)
     spark = df.sparkSession
     schema = spark.createDataFrame([], header.schema()).schema
-    rows = df.select(*schema.fieldNames()).repartitionByRange("contig_idx", "pos", "row_id").sortWithinPartitions("contig_idx", "pos", "row_id")
+    rows = df.select(*schema.fieldNames())
+    rows = rows if ordered else rows.repartitionByRange("contig_idx", "pos", "row_id").sortWithinPartitions("contig_idx", "pos", "row_id")
     # the header is the first partition: a row of nulls
     top = spark.range(0, 1, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 

@@ -175,23 +175,23 @@ def read_vcf(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> tup
     return parse_records(lines.withColumn("value", F.regexp_replace("value", "\r$", "")), header), header
 
 
-def record_lines(df: DataFrame, header: VariantHeader) -> DataFrame:
-    """(value) body lines, sorted by contig, position and input order."""
-    rows = df.repartitionByRange("contig_idx", "pos", "row_id").sortWithinPartitions("contig_idx", "pos", "row_id")
+def record_lines(df: DataFrame, header: VariantHeader, ordered: bool = False) -> DataFrame:
+    """(value) body lines, sorted by contig, position and input order (ordered: they are)."""
+    rows = df if ordered else df.repartitionByRange("contig_idx", "pos", "row_id").sortWithinPartitions("contig_idx", "pos", "row_id")
     return rows.select(Projection("", header).line().alias("value"))
 
 
 HEADER_MODES = ("full", "only", "none")
 
 
-def output_lines(df: DataFrame, header: VariantHeader, header_mode: str = "full") -> DataFrame:
+def output_lines(df: DataFrame, header: VariantHeader, header_mode: str = "full", ordered: bool = False) -> DataFrame:
     """(value): the header in the first partition, then the sorted body in the partitions behind it."""
     if header_mode not in HEADER_MODES:
         raise ValueError(f"unknown header mode {header_mode}")
     head = df.sparkSession.createDataFrame([("\n".join(header.lines()),)], "value string").coalesce(1)
     if header_mode == "only":
         return head
-    body = record_lines(df, header)
+    body = record_lines(df, header, ordered)
     return body if header_mode == "none" else head.unionByName(body)
 
 
@@ -201,13 +201,13 @@ def refuse_own_input(df: DataFrame, path: str) -> None:
         raise ValueError(f"{path} is read from, it cannot be written")
 
 
-def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool | str = False, header_mode: str = "full", overwrite: bool = False) -> None:
+def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool | str = False, header_mode: str = "full", overwrite: bool = False, ordered: bool = False) -> None:
     """A folder of sorted parts whose concatenation in the order of their names is one valid VCF, in one commit.
 
     compress: False, 'gzip' (or True) or 'bgzf', which ends with the empty block. header_mode: 'full', 'only' or 'none'. A
-    folder that exists is an error unless overwrite; one that the rows are read from always is."""
+    folder that exists is an error unless overwrite; one that the rows are read from always is. ordered: df is sorted."""
     refuse_own_input(df, path)
-    lines = output_lines(df, header, header_mode)
+    lines = output_lines(df, header, header_mode, ordered)
     if compress != "bgzf":
         lines.write.mode("overwrite" if overwrite else "errorifexists").options(**({"compression": "gzip"} if compress else {})).text(path)
         return
