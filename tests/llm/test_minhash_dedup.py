@@ -99,3 +99,19 @@ def test_repeated_identifiers_equal_brute_force(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted((i, want[at][0], least[want[at][1]]) for at, (i, _) in enumerate(rows))
     assert drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == len({w for _, w in want.values()})
+
+
+def test_prefixes_by_broadcast_and_by_join_are_the_same(spark, monkeypatch):
+    from variform.llm import minhash_dedup
+
+    rows = corpus(5, 10, 12)
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], SCHEMA)
+    found = []
+    for bound in (1 << 25, 0):
+        monkeypatch.setattr(minhash_dedup, "BROADCAST_BYTES", bound)
+        run = minhash_dedup.NearDuplicates(df, 2, 80, "doc_id", "text", 32, 5)
+        members, hot = run.members()
+        labels, _ = minhash_dedup.components(run.confirm(run.hub_pairs(members, hot)))
+        pairs = {(r.u, r.v) for r in run.contested_pairs(members, hot, labels).collect()}
+        found.append(pairs)
+    assert found[0] == found[1]

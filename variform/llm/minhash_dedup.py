@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, drop_path, hot_keys, is_hot, materialize, salted_join, small_batches
+from .common import BROADCAST_BYTES, BitFilter, drop_path, hot_keys, is_hot, materialize, salted_join, small_batches
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
@@ -303,15 +303,19 @@ class NearDuplicates:
         rows = self.scratch(members.where("size > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
         split = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
         nodes = self.scratch(salted_join(rows, split, ["key"], hot, ["node"]).select("node", "n", "label").distinct(), "contested")
-        shingles = self.sets(nodes).select("node", F.explode("shingles").alias("h"))
+        sets = self.sets(nodes)
+        shingles = sets.select("node", F.explode("shingles").alias("h"))
         common = self.scratch(shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
-        n = common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        held = salted_join(shingles, common, ["h"], hot_keys(common, ["h"], n, "df"), ["node"]).join(nodes, "node")
-        # shingles of one holder come first in the order; they need no rows
-        w = Window.partitionBy("node")
-        first = held.select(
-            "node", "n", "label", "h", (F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "h")) - 1).alias("i")
-        ).where((F.col("n") - F.col("i")) * 100 >= F.col("n") * p)
+        n_common, n = common.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+        if 16 * n_common <= BROADCAST_BYTES:
+            first = self.prefixes(sets.join(nodes, "node"), common)
+        else:
+            held = salted_join(shingles, common, ["h"], hot_keys(common, ["h"], n, "df"), ["node"]).join(nodes, "node")
+            # shingles of one holder come first in the order; they need no rows
+            w = Window.partitionBy("node")
+            first = held.select(
+                "node", "n", "label", "h", (F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "h")) - 1).cast("long").alias("i")
+            ).where((F.col("n") - F.col("i")) * 100 >= F.col("n") * p)
         first = self.scratch(first, "first")
         largest = first.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1")
         largest = self.scratch(largest.drop("k"), "largest")
@@ -323,6 +327,36 @@ class NearDuplicates:
         pairs = salted_join(a, b, ["h"], wide, ["node_a"]).where((F.col("label_a") != F.col("label_b")) & (shared * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p))
         return pairs.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
 
+    def prefixes(self, sets: DataFrame, common: DataFrame) -> DataFrame:
+        """(node, n, label, h, i) of the first shingles of sets (node, shingles, n, label) that others hold too: i is their place
+        among the set's, rarest first. common (h, df) is broadcast, its size is checked before."""
+        table = common.orderBy("h").toArrow()
+        shared = sets.sparkSession.sparkContext.broadcast((table["h"].to_numpy(), table["df"].to_numpy()))
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, counts = shared.value
+            for b in batches:
+                of, hs, places = [], [], []
+                for row, shingles in enumerate(b.column(3)):
+                    h = shingles.values.to_numpy()
+                    if not len(known) or not len(h):
+                        continue
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    df = np.where(known[at] == h, counts[at], 1)
+                    order = np.lexsort((h, df))
+                    i = np.arange(len(h))
+                    kept = ((len(h) - i) * 100 >= len(h) * percent) & (df[order] > 1)
+                    of.append(np.full(int(kept.sum()), row))
+                    hs.append(h[order][kept])
+                    places.append(i[kept])
+                if of:
+                    rows = pa.array(np.concatenate(of))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(3)), pa.array(np.concatenate(hs), pa.int64()), pa.array(np.concatenate(places), pa.int64())], names=["node", "n", "label", "h", "i"])
+
+        longs = [T.StructField(c, T.LongType()) for c in ("h", "i")]
+        return sets.select("node", "n", "label", "shingles").mapInArrow(run, T.StructType([*[sets.schema[c] for c in ("node", "n", "label")], *longs]))
+
     def labels(self) -> DataFrame:
         """(node, label) of all linked nodes."""
         members, hot = self.members()
