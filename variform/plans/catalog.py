@@ -976,6 +976,13 @@ def reheader_samples(spark, sf_dir):
     return spark.range(1).select(F.lit(",".join(HEADER.rename_samples(["S1 A", "S4 D"]).samples)).alias("samples"))
 
 
+@q("SELECT row_id, array_to_string(list_transform([1, 2, 3, 4], lambda i: concat(['A', 'S2', 'S3', 'D'][i], '=', coalesce(CAST(sdp[i] AS VARCHAR), '.'))), ' ') AS value FROM v")
+def reheader_rows(spark, sf_dir):
+    """Rows under renamed samples."""
+    out = query(variants(spark, sf_dir), HEADER.rename_samples(["S1 A", "S4 D"]), "[%SAMPLE=%DP ]")
+    return out.select("row_id", F.rtrim("value").alias("value"))
+
+
 @q("$BASE SELECT * FROM (VALUES (0, 'chr1', 5000), (1, 'chr3', 20100), (2, 'chrX', 77)) AS t(idx, contig, length)")
 def reheader_contigs(spark, sf_dir):
     header = HEADER.sync_contigs([("chrX", 77), ("chr3", 20100), ("chr1", 5000)])
