@@ -65,7 +65,7 @@ def checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of at most so many rows: documents are long, and batches wait in memory on both sides. Spark reads the
     setting when a plan runs, which is after an operator has returned, so it stays for the session; smaller ones are kept."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

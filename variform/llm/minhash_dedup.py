@@ -44,7 +44,7 @@ SKETCH_BITS = 512
 #: How far below the threshold an odd-sketch estimate must be to drop a candidate (over five standard errors).
 SLACK = 0.25
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd mixing constants
-WORD_CACHE = 150_000
+WORD_CACHE = 60_000
 #: More than the sets that can share their smallest identifier.
 NUMBERS = 1 << 31
 
