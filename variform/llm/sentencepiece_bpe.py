@@ -29,7 +29,7 @@ from .common import small_batches
 MARK = "▁"  # stands for a blank
 NORMAL, BYTE, UNKNOWN = 1, 6, 2
 #: Words kept per Python worker; the table is emptied when full, so memory stays bounded.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 180_000
 #: Words longer than this are encoded but not kept.
 CACHE_CHARS = 64
 
