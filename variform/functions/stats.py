@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def _checked(*counts: float) -> list[float]:
     return list(counts)
 
 
+@lru_cache(maxsize=1 << 16)
 def binom_p(a: float | None, b: float | None) -> float | None:
     """Two-sided binomial test of a against b at one half; null for 0, 0."""
     if a is None or b is None or math.isnan(a) or math.isnan(b):

@@ -83,23 +83,38 @@ def type_text(mask: Column) -> Column:
     return let(mask, text)
 
 
-def bound(df: DataFrame, name: str) -> DataFrame:
-    """df with a column that is evaluated once a row, however often a filter above mentions it.
+def mentioned(df: DataFrame, *conditions: Column) -> list[str]:
+    """The columns of df that conditions read."""
+    found = df.select(*conditions)._jdf.queryExecution().analyzed().references().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().name())
+    return [c for c in df.columns if c in names]
+
+
+def bound(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns that are evaluated once a row, however often a filter above mentions them.
 
     The optimizer moves a filter below the projection that makes a column and puts the column's whole expression in place
     of every mention. A column that is read from a table has no expression and is left alone, so that reads are pruned."""
-    if name not in df.columns:
+    names = [n for n in names if n in df.columns]
+    if not names:
         return df
-    plan = df.select(name)._jdf.queryExecution().optimizedPlan()
-    made, todo = False, [plan]
-    while todo and not made:
+    made, todo = set(), [df.select(*names)._jdf.queryExecution().optimizedPlan()]
+    while todo:
         node = todo.pop()
-        made = node.nodeName() in ("Project", "Aggregate", "Generate", "MapInArrow", "Window") and f" AS {name}#" in node.simpleString(1 << 20)
+        if node.nodeName() in ("Project", "Aggregate", "Generate", "MapInArrow", "Window"):
+            text = node.simpleString(1 << 20)
+            made |= {n for n in names if f" AS {n}#" in text}
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     if not made:
         return df
-    return df.select(*[F.explode(F.array(c)).alias(c) if c == name else F.col(c) for c in df.columns])
+    if len(made) == 1:
+        return df.select(*[F.explode(F.array(c)).alias(c) if c in made else F.col(c) for c in df.columns])
+    held = F.explode(F.array(F.struct(*[c for c in df.columns if c in made]))).alias("_bound")
+    out = df.select(*[c for c in df.columns if c not in made], held)
+    return out.select(*[F.col("_bound")[c].alias(c) if c in made else F.col(c) for c in df.columns])
 
 
 def called(samples: Column | str = "samples") -> Column:

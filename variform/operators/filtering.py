@@ -60,7 +60,7 @@ def filter_variants(
     if mask is not None:
         hit = regions.overlap(mask, mask_overlap, F.col("info.END") if "END" in header.infos else None)
         site = site & (hit if mask_negate else ~hit)
-    staged = (variant.bound(df, "samples") if t.passes is not None else df).withColumn("_pass", site)
+    staged = variant.bound(df, *variant.mentioned(df, site)).withColumn("_pass", site)
     if t.passes is not None and set_genotypes is not None:
         staged = staged.withColumn("_samples_pass", t.passes)
     filters = F.col("filters")

@@ -165,6 +165,8 @@ def set_genotypes(
         major, minor = _ranked()
         some = F.exists("_chosen", lambda c: c)
         out = out.withColumn("_major", F.when(some, major)).withColumn("_minor", F.when(some, minor) if "m" in new else F.lit(None).cast("int"))
+        # the replacement stands within loops over samples and alleles, which would rank again every time
+        out = variant.bound(out, "_chosen", "_major", "_minor")
     dot = F.struct(F.array(F.lit(None).cast("int")).alias("alleles"), F.array(F.lit(False)).alias("phased"))
     held = F.transform("samples", lambda s: s.withField("GT", F.coalesce(s["GT"], dot)))
     edited = F.zip_with(held, "_chosen", lambda s, c: s.withField("GT", F.when(c, replacement(new, s)).otherwise(s["GT"])))

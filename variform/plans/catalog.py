@@ -162,8 +162,11 @@ def expr_sample_file(spark, sf_dir):
 
 @q(f"SELECT row_id, array_to_string(list_transform({_BINOM}, lambda p: CASE WHEN coalesce(CAST(p AS FLOAT) < CAST(0.05 AS FLOAT), false) THEN 'true' ELSE 'false' END), ',') AS passes FROM v WHERE len(list_filter({_BINOM}, lambda p: CAST(p AS FLOAT) < CAST(0.05 AS FLOAT))) > 0")
 def fn_binom(spark, sf_dir):
+    v = variants(spark, sf_dir)
     t = compile_truth("BINOM(FMT/AD) < 0.05", HEADER)
-    return variants(spark, sf_dir).where(t.site).select("row_id", F.array_join(t.passes.cast("array<string>"), ",").alias("passes"))
+    v = variant.bound(v, *variant.mentioned(v, t.passes)).select("row_id", t.passes.alias("passes"))
+    v = variant.bound(v, "passes").where(F.exists("passes", lambda p: p))
+    return v.select("row_id", F.array_join(F.col("passes").cast("array<string>"), ",").alias("passes"))
 
 
 _FISHER_AT = "exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({x} + 1) - lgamma(a + b - {x} + 1) - lgamma(a + c - {x} + 1) - lgamma(d - a + {x} + 1))"

@@ -42,6 +42,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     Allele h of sample i is (k + i + h) % (ALTs + 1), missing where (k + 3i + 5h) % 7 = 6; phased where (k + i) % 3 = 0;
     DP is (3k + 7i) % 50, missing where (k + i) % 9 = 0; AD of allele a is (k + i + 3a) % 40."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    # a small or unsplit file would leave the work on these rows to one or two tasks
+    orders = orders.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
     s = spark.sql(SITES_SQL.format(orders="{orders}"), orders=orders)
     alts = F.when(F.col("alt") == ".", F.array().cast("array<string>")).otherwise(F.split("alt", ","))
     s = s.withColumn("alts", alts).withColumn("filters", F.when(F.col("filter") == ".", F.array().cast("array<string>")).otherwise(F.array("filter")))
