@@ -1,11 +1,16 @@
 """What a query costs as its tables grow."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tests.test_catalog import rows
 from variform.functions import variant
 from variform.functions.expression import compile_truth
-from variform.operators import filtering, norm, setgt
+from variform.operators import annotate, filtering, norm, setgt
+from variform.plans import catalog
 from variform.sources.derived import HEADER, variants
+from variform.sources.header import VariantHeader
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +56,32 @@ def test_join_of_records_with_other_refs(spark):
         assert "incompatible REF" in str(error)
     else:
         raise AssertionError("other REFs are an error")
+
+
+@pytest.fixture(scope="module")
+def dense(tmp_path_factory):
+    """Orders whose copies fall on the same loci with other alleles."""
+    folder = tmp_path_factory.mktemp("dense")
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT o.* REPLACE (o_orderkey + 200110 * j AS o_orderkey) FROM '{SF}/orders.parquet' o, range(4) r(j)) TO '{folder}/orders.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT * FROM '{SF}/part.parquet') TO '{folder}/part.parquet' (FORMAT parquet)")
+    for t in ("orders", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return c, str(folder)
+
+
+@pytest.mark.parametrize("name", ["norm_join_snps", "norm_join_fields", "ann_pair_all", "ann_pair_both", "ann_pair_id", "ann_pair_some", "ann_format_samples", "ann_interval_all", "ann_min_overlap", "ann_write_missing", "ann_tab_id", "ann_tab_alleles"])
+def test_dense_loci(spark, dense, name):
+    duck, folder = dense
+    got = catalog.QUERIES[name](spark, folder).toPandas()
+    assert rows(got) == rows(duck.sql(catalog.ORACLE[name]).df())
+
+
+def test_records_of_one_span_meet_sources_once(spark):
+    schema = "row_id long, chrom string, pos int, ref string, alts array<string>, ids array<string>"
+    v = spark.createDataFrame([(k, "chr1", 5, "A", ["C"], []) for k in range(200)], schema)
+    sources = spark.createDataFrame([(k, "chr1", 1, 9) for k in range(100)], "serial long, chrom string, `from` int, `to` int")
+    targets, keys, pairs = annotate._span_pairs(v, VariantHeader(), sources, None, frozenset())
+    assert pairs.count() == 100
+    assert annotate.match_intervals(v, VariantHeader(), sources, first=False).count() == 20000
+    assert {(r.row_id, r.serial) for r in annotate.match_intervals(v, VariantHeader(), sources).collect()} == {(k, 0) for k in range(200)}
