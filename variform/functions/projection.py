@@ -71,19 +71,30 @@ def number_text(c: Column, float_: bool) -> Column:
     """Integers as they are; floats with six significant digits, as %g prints them."""
     if not float_:
         return c.cast("string")
-    x = c.cast("double")
+    # a spelling of at most six digits without an exponent is what six digits give
+    plain = lambda t: (F.length(t) <= 7) & t.rlike(r"^-?[0-9]+\.[0-9]*[1-9]$")
+    return variant.let(c, lambda v: variant.let(v.cast("string"), lambda t: F.when(plain(t), t).otherwise(variant.let(v.cast("double"), _six_digits))))
+
+
+def _six_digits(x: Column) -> Column:
     exponent = F.floor(F.log10(F.abs(x)))
     # the exponent after rounding to six digits decides between the two notations
-    rounded_exp = F.when(F.abs(x) / F.pow(F.lit(10.0), exponent) >= 9.999995, exponent + 1).otherwise(exponent)
-    plain = F.lit(None).cast("string")
-    for digits in range(10, -1, -1):
-        plain = F.when(5 - rounded_exp == digits, F.format_string(f"%.{digits}f", x)).otherwise(plain)
-    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    sci = F.format_string("%.5e", x)
-    sci = F.regexp_replace(F.regexp_replace(sci, r"\.?0+e", "e"), r"e([+-])(\d)$", "e$1" + "0$2")
+    rounded = variant.let(exponent, lambda e: F.when(F.abs(x) / F.pow(F.lit(10.0), e) >= 9.999995, e + 1).otherwise(e))
+
+    def spelled(e: Column) -> Column:
+        plain = F.lit(None).cast("string")
+        for digits in range(10, -1, -1):
+            plain = F.when(e == 5 - digits, F.format_string(f"%.{digits}f", x)).otherwise(plain)
+        plain = variant.let(plain, lambda p: F.when(p.contains("."), F.regexp_replace(p, r"\.?0+$", "")).otherwise(p))
+        sci = F.format_string("%.5e", x)
+        sci = F.regexp_replace(F.regexp_replace(sci, r"\.?0+e", "e"), r"e([+-])(\d)$", "e$1" + "0$2")
+        return F.when((e < -4) | (e > 5), sci).otherwise(plain)
+
+    # whole numbers of up to six digits are spelled as they are
+    whole = (F.abs(x) < 1000000) & (x == F.floor(x))
     return (
         F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0")
-        .when((rounded_exp < -4) | (rounded_exp > 5), sci).otherwise(plain)
+        .when(whole, x.cast("long").cast("string")).otherwise(variant.let(rounded, spelled))
     )
 
 

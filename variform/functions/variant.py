@@ -143,8 +143,8 @@ def ac_text(alts: Column, counts: Column) -> Column:
 def gt_text(gt: Column) -> Column:
     """Spelling of a genotype: 0/1, .|1; '.' if there is none."""
     body = F.zip_with(gt["alleles"], gt["phased"], lambda a, p: F.concat(F.when(F.coalesce(p, F.lit(False)), "|").otherwise("/"), F.coalesce(a.cast("string"), F.lit("."))))
-    joined = F.array_join(body, "")
-    return F.coalesce(F.when(F.size(gt["alleles"]) > 0, F.substring(joined, F.lit(2), F.length(joined))), F.lit("."))
+    # from the second character on, without a second mention of the text for its length
+    return F.coalesce(F.when(F.size(gt["alleles"]) > 0, F.substring(F.array_join(body, ""), 2, 1 << 30)), F.lit("."))
 
 
 def end_pos(info_end: Column | None = None) -> Column:

@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from variform.functions.projection import Projection
-from variform.sources import bgzf
+from variform.functions.variant import let
+from variform.sources import bgzf, columns
 from variform.sources.header import Field, VariantHeader
 
 I32_MIN = -2147483640
@@ -113,32 +116,47 @@ def _typed(text: Column, f: Field) -> Column:
     def one(t: Column) -> Column:
         t = F.when(t != ".", t)
         if f.type == "Integer":
-            n = t.cast("long")
-            return F.when(n.between(I32_MIN, 2147483647), n).cast("int")
+            return let(t.cast("long"), lambda n: F.when(n.between(I32_MIN, 2147483647), n).cast("int"))
         return t.cast("double").cast("float") if f.type == "Float" else t
 
-    present = F.when((text != ".") & (text != ""), text)
-    return one(present) if f.scalar else F.transform(F.split(present, ","), one)
+    return let(text, lambda t: F.when((t != ".") & (t != ""), one(t) if f.scalar else F.transform(F.split(t, ","), one)))
 
 
 def genotype(text: Column) -> Column:
     """struct<alleles, phased> of a spelled genotype; null for '.' alone of no ploidy."""
-    alleles = F.transform(F.split(F.regexp_replace(text, r"^[/|]", ""), r"[/|]"), lambda a: F.when(a != ".", a).cast("int"))
-    seps = F.filter(F.split(F.regexp_replace(F.regexp_replace(text, r"^[/|]", ""), r"[^/|]+", " "), " "), lambda s: s != "")
-    phased = F.transform(seps, lambda s: s == "|")
-    first = F.when(text.startswith("|"), True).when(text.startswith("/"), False).otherwise(F.coalesce(F.get(phased, F.lit(0)), F.lit(True)))
-    return F.when(text.isNotNull() & (text != ""), F.struct(alleles.alias("alleles"), F.concat(F.array(first), phased).alias("phased")))
+    def call(t: Column) -> Column:
+        bare = F.when(t.startswith("|") | t.startswith("/"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+        return F.when(t != "", let(F.struct(t.alias("t"), bare.alias("bare")), spelled))
+
+    def spelled(x: Column) -> Column:
+        alleles = F.transform(F.split(F.translate(x["bare"], "|", "/"), "/"), lambda a: F.when(a != ".", a).cast("int"))
+        seps = F.filter(F.split(F.regexp_replace(x["bare"], r"[^/|]+", " "), " "), lambda s: s != "")
+        first = lambda p: F.when(x["t"].startswith("|"), True).when(x["t"].startswith("/"), False).otherwise(F.coalesce(F.get(p, F.lit(0)), F.lit(True)))
+        return F.struct(alleles.alias("alleles"), let(F.transform(seps, lambda s: s == "|"), lambda p: F.concat(F.array(first(p)), p)).alias("phased"))
+
+    return let(text, call)
+
+
+def _read_in_batches(text: Column, otherwise: Column, reader, fields: dict[str, Field], listed: bool) -> Column:
+    """What the reader makes of plain spellings, else what the expression makes of them."""
+    base = lambda k, f: "boolean" if f.type == "Flag" and not listed else f.spark() if k == "GT" else {"Integer": "int", "Float": "float"}.get(f.type, "string")
+    kinds = ", ".join(f"`{k}`: {base(k, f) if f.scalar else f'array<{base(k, f)}>'}" for k, f in fields.items())
+    kind = T._parse_datatype_string(f"array<struct<{kinds}>>" if listed else f"struct<{kinds}>")
+    run = F.arrow_udf(columns.column(to_arrow_type(kind), reader), kind)
+    return F.coalesce(run(text), otherwise)
 
 
 def parse_records(lines: DataFrame, header: VariantHeader) -> DataFrame:
-    """Typed rows of body lines (row_id, value). Malformed columns fail with the line's number."""
+    """Typed rows of body lines (row_id, value). Malformed columns fail with the line's number.
+
+    INFO and samples of plain spelling are read in Arrow batches. In the expressions whatever is read more than once is
+    bound, since an expression in a lambda is evaluated at every mention."""
     cols = F.split("value", "\t")
     n_cols = 8 + (1 + len(header.samples) if header.samples else 0)
     bad = F.raise_error(F.concat(F.lit("malformed record "), F.col("row_id").cast("string")))
-    rows = lines.withColumn("c", F.when(F.size(cols) >= n_cols, cols).otherwise(bad.cast("array<string>")))
+    rows = lines.withColumn("c", let(cols, lambda x: F.when(F.size(x) >= n_cols, x).otherwise(bad.cast("array<string>"))))
     c = lambda i: F.get("c", F.lit(i))
-    pos = F.when(c(1).rlike(r"^\d+$"), c(1).cast("long"))
-    pos = F.when(pos.between(1, 2147483647), pos).otherwise(bad.cast("long")).cast("int")
+    pos = let(F.when(c(1).rlike(r"^\d+$"), c(1).cast("long")), lambda p: F.when(p.between(1, 2147483647), p).otherwise(bad.cast("long")).cast("int"))
     listed = lambda t, sep: F.when(t == ".", F.array().cast("array<string>")).otherwise(F.split(t, sep))
     idx = F.lit(None).cast("int")
     for i, name in enumerate(header.contigs):
@@ -149,22 +167,19 @@ def parse_records(lines: DataFrame, header: VariantHeader) -> DataFrame:
     ]
     if header.infos:
         entries = F.map_from_entries(F.transform(F.array_distinct(F.filter(F.split(c(7), ";"), lambda e: e != ".")), lambda e: F.struct(F.substring_index(e, "=", 1).alias("k"), F.when(e.contains("="), F.substring(e, F.instr(e, "=") + 1, F.length(e))).otherwise("").alias("v"))))
-        rows = rows.withColumn("info_map", entries)
-        item = lambda k: F.try_element_at("info_map", F.lit(k))
-        out.append(F.struct(*[(item(k).isNotNull() if f.type == "Flag" else _typed(item(k), f)).alias(k) for k, f in header.infos.items()]).alias("info"))
+        item = lambda m, k: F.try_element_at(m, F.lit(k))
+        info = let(entries, lambda m: F.struct(*[(item(m, k).isNotNull() if f.type == "Flag" else _typed(item(m, k), f)).alias(k) for k, f in header.infos.items()]))
+        out.append(_read_in_batches(c(7), info, columns.info_reader(header), header.infos, False).alias("info"))
     if header.samples and header.formats:
-        keys = F.split(c(8), ":")
-
-        def sample(text: Column) -> Column:
-            parts = F.split(text, ":")
-            fields = []
-            for k, f in header.formats.items():
-                at = F.array_position(keys, k)
-                value = F.when(at > 0, F.get(parts, (at - 1).cast("int")))
-                fields.append((genotype(value) if k == "GT" else _typed(value, f)).alias(k))
-            return F.struct(*fields)
-
-        out.append(F.transform(F.slice("c", 10, len(header.samples)), sample).alias("samples"))
+        # places of the header's keys in FORMAT, from 0; -1 where it lacks the key
+        places = let(F.split(c(8), ":"), lambda keys: F.struct(*[(F.array_position(keys, k) - 1).cast("int").alias(k) for k in header.formats]))
+
+        def sample(parts: Column, at: Column) -> Column:
+            values = ((k, f, F.get(parts, at[k])) for k, f in header.formats.items())
+            return F.struct(*[(genotype(value) if k == "GT" else _typed(value, f)).alias(k) for k, f, value in values])
+
+        samples = let(places, lambda at: F.transform(F.slice("c", 10, len(header.samples)), lambda text: let(F.split(text, ":"), lambda parts: sample(parts, at))))
+        out.append(_read_in_batches(F.col("value"), samples, columns.samples_reader(header), header.formats, True).alias("samples"))
     return rows.select(*out)
 
 
@@ -175,10 +190,42 @@ def read_vcf(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> tup
     return parse_records(lines.withColumn("value", F.regexp_replace("value", "\r$", "")), header), header
 
 
+#: Rows of a sorted part at least, and sampled rows a part.
+PART_ROWS, PART_SAMPLE = 20_000, 20
+
+
+def _by_ranges(df: DataFrame, order: list[str], made: Column) -> DataFrame:
+    """df's order and what is made of its rows, in partitions of rising ranges of the order.
+
+    Spark's own ranges run the whole plan twice, once for a sample. Here only the order is sampled, by the smallest hashes of
+    it, which also tell how many rows there are."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = PART_SAMPLE * most
+    found = df.select(*order, F.xxhash64(*order).alias("_h")).orderBy("_h").limit(wanted).collect()
+    rows = len(found) if len(found) < wanted else len(found) / ((found[-1]["_h"] + (1 << 63)) / (1 << 64) or 1)
+    n = max(1, min(most, int(rows // PART_ROWS)))
+    keys = sorted((tuple(r[c] for c in order) for r in found), key=lambda k: [(v is not None, v) for v in k])
+    bounds = list(dict.fromkeys(keys[i * len(keys) // n] for i in range(1, n)))
+    rows_made = df.select(*order, made)
+    if not bounds:
+        return rows_made.coalesce(1)
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    spelled = lambda k: ", ".join(f"'{c}', CAST({'NULL' if v is None else v} AS {t})" for c, v, t in zip(order, k, kinds, strict=True))
+    table = F.expr(f"array({', '.join(f'named_struct({spelled(k)})' for k in bounds)})")
+    # the number of bounds up to the row's order, by halving steps
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.struct(*order), at + step).otherwise(at))
+    return rows_made.repartitionById(len(bounds) + 1, place)
+
+
 def record_lines(df: DataFrame, header: VariantHeader, ordered: bool = False) -> DataFrame:
     """(value) body lines, sorted by contig, position and input order (ordered: they are)."""
-    rows = df if ordered else df.repartitionByRange("contig_idx", "pos", "row_id").sortWithinPartitions("contig_idx", "pos", "row_id")
-    return rows.select(Projection("", header).line().alias("value"))
+    line = Projection("", header).line().alias("value")
+    if ordered:
+        return df.select(line)
+    # lines are several times smaller than typed rows, so they are what is moved and sorted
+    order = ["contig_idx", "pos", "row_id"]
+    return _by_ranges(df, order, line).sortWithinPartitions(*order).select("value")
 
 
 HEADER_MODES = ("full", "only", "none")
