@@ -1,5 +1,7 @@
 """What a query costs as its tables grow."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,17 @@ def test_records_of_one_span_meet_sources_once(spark):
     assert pairs.count() == 100
     assert annotate.match_intervals(v, VariantHeader(), sources, first=False).count() == 20000
     assert {(r.row_id, r.serial) for r in annotate.match_intervals(v, VariantHeader(), sources).collect()} == {(k, 0) for k in range(200)}
+
+
+def test_covered_places_and_spans_of_transcripts(spark):
+    r = random.Random(4)
+    places = [(r.choice("xy"), a := r.randrange(1, 600), a + r.choice([0, 1, 9, 200])) for _ in range(120)]
+    held = {(c, p) for c, a, b in places for p in range(a, b + 1)}
+    for width in (1, 16, 8192):
+        got = norm.covered(spark.createDataFrame(places * 2, "chrom string, `from` int, `to` int"), width).collect()
+        told = [(x.chrom, p) for x in got for p in range(x["from"], x.to + 1)]
+        assert len(told) == len(set(told)) and set(told) == held
+    v = spark.createDataFrame([(k, "x", 10 + k % 3, "A", ["C"]) for k in range(300)], "row_id long, chrom string, pos int, ref string, alts array<string>")
+    strands = [("x", 1, 11, False)] * 50 + [("x", 13, 20, True), ("x", 1, 30, None)]
+    found = norm.transcript_direction(v, spark.createDataFrame(strands, "chrom string, start int, end int, reverse boolean"))
+    assert sorted(tuple(x) for x in found.collect()) == [("x", 10, 11, True), ("x", 11, 12, True), ("x", 12, 13, False)]

@@ -396,7 +396,9 @@ def normalize(df: DataFrame, fasta: DataFrame, chunk: int = 1 << 16, transcripts
     plain = (F.size("alts") > 0) & F.col("ref").rlike("(?i)^[ACGTNRYSWKMBDHV]+$") & F.forall("alts", lambda a: a.rlike("(?i)^[ACGTN]+$"))
     rows = df.withColumn("_ok", plain)
     if transcripts is not None:
-        rows = rows.join(transcript_direction(df, transcripts), "row_id", "left").withColumn("_right", F.coalesce("right", F.lit(False))).drop("right")
+        found = transcript_direction(df, transcripts).withColumnsRenamed({c: f"_{c}" for c in ("chrom", "start", "end", "right")})
+        at = (F.col("chrom") == F.col("_chrom")) & (F.col("pos") == F.col("_start")) & (F.col("pos") + F.length("ref") == F.col("_end"))
+        rows = rows.join(found, at, "left").withColumn("_right", F.coalesce("_right", F.lit(False))).drop("_chrom", "_start", "_end")
     else:
         rows = rows.withColumn("_right", F.lit(False))
     result = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alts", T.ArrayType(T.StringType())), T.StructField("short", T.BooleanType())])
@@ -422,11 +424,32 @@ def normalize(df: DataFrame, fasta: DataFrame, chunk: int = 1 << 16, transcripts
     return done.select(*[F.col(f"_n.{c}").alias(c) if c in ("pos", "ref", "alts") else F.col(c) for c in df.columns])
 
 
+def covered(intervals: DataFrame, bin_width: int = 1 << 13) -> DataFrame:
+    """(chrom, from, to): disjoint intervals that cover the places of the given ones.
+
+    Intervals that start in one bin are merged there, one a start; of a bin's runs only what no earlier bin reaches stays."""
+    longest = intervals.groupBy("chrom", "from").agg(F.max("to").alias("to")).withColumn("_bin", F.floor(F.col("from") / bin_width))
+    inside = Window.partitionBy("chrom", "_bin").orderBy("from")
+    reach = F.max("to").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    begins = longest.withColumn("_begins", (reach.isNull() | (F.col("from") > reach + 1)).cast("int"))
+    runs = begins.withColumn("_run", F.sum("_begins").over(inside)).groupBy("chrom", "_bin", "_run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    # a row a bin
+    ends = runs.groupBy("chrom", "_bin").agg(F.max("to").alias("_to"))
+    before = F.max("_to").over(Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    rest = runs.join(ends.select("chrom", "_bin", before.alias("_before")), ["chrom", "_bin"])
+    start = F.greatest("from", F.coalesce(F.col("_before") + 1, F.col("from")))
+    return rest.select("chrom", start.cast("int").alias("from"), F.col("to").cast("int").alias("to")).where("`to` >= `from`")
+
+
 def transcript_direction(df: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(row_id, right): only forward transcripts overlap the record or the base behind it; those of unknown strand do not count."""
-    spans = df.select("row_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
-    sources = transcripts.select("chrom", F.col("start").alias("from"), F.col("end").alias("to"), "reverse")
-    return overlap_join(spans, sources).groupBy("row_id").agg((~F.bool_or("reverse")).alias("right"))
+    """(chrom, start, end, right) of every span of the records that meets a transcript, up to the base behind REF: only forward
+    ones overlap it; those of unknown strand do not count.
+
+    What matters is which places the transcripts of a strand cover, so pairs grow with neither records nor transcripts."""
+    spans = df.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end")).distinct()
+    known = transcripts.select("chrom", F.col("start").alias("from"), F.col("end").alias("to"), "reverse")
+    strands = [covered(known.where(F.col("reverse") == reverse)).withColumn("reverse", F.lit(reverse)) for reverse in (False, True)]
+    return overlap_join(spans, strands[0].unionByName(strands[1])).groupBy("chrom", "start", "end").agg((~F.bool_or("reverse")).alias("right"))
 
 
 # Ambiguity codes and the first base that each stands for.
