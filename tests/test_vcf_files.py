@@ -8,7 +8,7 @@ import pytest
 
 from variform.sources import bgzf
 from variform.sources.header import VariantHeader
-from variform.sources.vcf import join_parts, output_lines, read_header, read_vcf, write_vcf
+from variform.sources.vcf import join_parts, output_lines, read_header, read_lines, read_vcf, write_vcf
 
 HEAD = """##fileformat=VCFv4.3
 ##FILTER=<ID=PASS,Description="All filters passed">
@@ -88,3 +88,44 @@ def test_header_only_and_head_reads_no_record(spark, tmp_path):
     df, _ = read_vcf(spark, str(tmp_path / "in.vcf"))
     write_vcf(df, header, str(tmp_path / "h"), header_mode="only")
     assert "".join(p.read_text() for p in (tmp_path / "h").glob("part-*")) == HEAD + "\n"
+
+
+def test_parts_of_a_folder_are_read_in_ranges_and_in_order(spark, tmp_path):
+    # parts grow, so an order by size is the wrong one; the last is large enough for many ranges
+    texts = [[f"{i} {j} {'x' * (j % 50)}" for j in range(n)] for i, n in enumerate([1, 40, 0, 300, 20_000])]
+    for i, lines in enumerate(texts):
+        (tmp_path / f"part-{i:05d}.vcf.gz").write_bytes(blocked("".join(f"{x}\n" for x in lines).encode(), 3000))
+    df = read_lines(spark, str(tmp_path), 10_000)
+    rows = df.orderBy("row_id").collect()
+    assert [r.value for r in rows] == sum(texts, []) and len({r.row_id for r in rows}) == len(rows)
+    assert sum(map(bool, df.rdd.glom().map(len).collect())) > 4
+    assert len(df.inputFiles()) == len(texts)
+
+
+def test_a_folder_may_hold_parts_of_other_kinds(spark, tmp_path):
+    lines = [f"{i} é {'x' * (i % 700)}" for i in range(9000)]
+    text = lambda a, b: "\n".join(lines[a:b]).encode()
+    (tmp_path / "a.vcf.gz").write_bytes(blocked(text(0, 2000) + b"\n", 5000))
+    (tmp_path / "b.vcf").write_bytes(text(2000, 6000))
+    (tmp_path / "c.vcf.gz").write_bytes(gzip.compress(text(6000, 6100)) + gzip.compress(b"\n" + text(6100, 8000)))
+    (tmp_path / "d.vcf").write_bytes(b"")
+    (tmp_path / "e.vcf.gz").write_bytes(blocked(text(8000, 9000), 5000))
+    for split in (10_000, 64 << 20):
+        assert [r.value for r in read_lines(spark, str(tmp_path), split).orderBy("row_id").collect()] == lines
+
+
+def test_one_blocked_file_is_not_written_on(spark, tmp_path):
+    path = tmp_path / "in.vcf.gz"
+    path.write_bytes(blocked((HEAD + "\n" + "\n".join(body(20)) + "\n").encode(), 3000))
+    df, header = read_vcf(spark, str(path))
+    with pytest.raises(ValueError, match="read from"):
+        write_vcf(df, header, str(path), compress="bgzf", overwrite=True)
+    assert sorted(r.pos for r in read_vcf(spark, str(path))[0].collect()) == list(range(1, 21))
+
+
+def test_a_line_that_is_no_utf8_is_read_as_in_a_plain_file(spark, tmp_path):
+    text = b"one\ntwo \xff\nthree\n"
+    (tmp_path / "x.txt").write_bytes(text)
+    (tmp_path / "x.txt.gz").write_bytes(blocked(text, 5))
+    read = lambda name: [r.value for r in read_lines(spark, str(tmp_path / name)).orderBy("row_id").collect()]
+    assert read("x.txt.gz") == read("x.txt")

@@ -79,24 +79,24 @@ def payloads(stream, start: int, end: int, whole: int) -> Iterator[tuple[bool, b
     at = 0 if not start else first_block(data)
     if at < 0:
         return
-    place, data = start + at, data[at:]
+    place = start + at
     while place < whole:
-        while (size := block_size(data, 0)) is None or len(data) < size:
+        while (size := block_size(data, at)) is None or len(data) - at < size:
             got = stream.read(1 << 20)
             if not got:
                 raise ValueError(f"the block at {place} is cut off or is no block")
-            data += got
-        head = 12 + struct.unpack_from("<H", data, 10)[0]
-        payload = zlib.decompress(data[head : size - 8], -15)
-        if zlib.crc32(payload) != struct.unpack_from("<I", data, size - 8)[0]:
+            data, at = data[at:] + got, 0
+        head, tail = at + 12 + struct.unpack_from("<H", data, at + 10)[0], at + size - 8
+        payload = zlib.decompress(data[head:tail], -15)
+        if zlib.crc32(payload) != struct.unpack_from("<I", data, tail)[0]:
             raise ValueError(f"the block at {place} is damaged")
         yield place >= end, payload
-        data, place = data[size:], place + size
+        at, place = at + size, place + size
 
 
-def lines(stream, start: int, end: int, whole: int) -> Iterator[bytes]:
-    """The lines of a text whose preceding line feed (or the file's start) is in the blocks that start in [start, end)."""
-    held, skip = b"", start > 0
+def _own_text(stream, start: int, end: int, whole: int) -> Iterator[bytes]:
+    """The text of the lines whose preceding line feed (or the file's start) is in the blocks that start in [start, end)."""
+    skip = start > 0
     for past, payload in payloads(stream, start, end, whole):
         if skip:
             # the first line is the range's before
@@ -106,15 +106,34 @@ def lines(stream, start: int, end: int, whole: int) -> Iterator[bytes]:
             if cut < 0:
                 continue
             payload, skip = payload[cut + 1 :], False
-        elif past:
-            cut = payload.find(b"\n")
-            if cut >= 0:
-                yield held + payload[:cut]
-                return
-            held += payload
-            continue
-        parts = (held + payload).split(b"\n")
-        held = parts.pop()
-        yield from parts
-    if held:
-        yield held
+        elif past and (cut := payload.find(b"\n")) >= 0:
+            yield payload[: cut + 1]
+            return
+        yield payload
+
+
+def whole_lines(chunks: Iterator[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The chunks of a text, joined to about ``size`` bytes and cut behind a line feed; the last line may lack it."""
+    held, n = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        n += len(chunk)
+        if n >= size:
+            text = b"".join(held)
+            cut, n = text.rfind(b"\n") + 1, 0
+            if cut:
+                yield text[:cut]
+            held = [text[cut:]]
+    if text := b"".join(held):
+        yield text
+
+
+def pieces(stream, start: int, end: int, whole: int) -> Iterator[bytes]:
+    """The lines of a range, see ``_own_text``, many in a piece."""
+    return whole_lines(_own_text(stream, start, end, whole))
+
+
+def lines(stream, start: int, end: int, whole: int) -> Iterator[bytes]:
+    """The lines of a range, see ``_own_text``, without their line feeds."""
+    for piece in pieces(stream, start, end, whole):
+        yield from piece.removesuffix(b"\n").split(b"\n")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,35 +65,67 @@ def read_header_text(spark: SparkSession, path: str) -> str:
 
 
 def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """(row_id, value) of a text's lines in file order. Compression is known by the first bytes: a BGZF file is read in
-    ranges of split_bytes by as many tasks, other gzip by one task a file."""
+    """(row_id, value) of a text's lines in file order. Compression is known by the first bytes: BGZF files are read in
+    ranges of split_bytes by many tasks, a folder's in the order of their names; other gzip by one task a file."""
     magic = _magic(spark, path)
     if magic[:2] != b"\x1f\x8b":
         return spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "value")
-    fs, p, size = _first_file(spark, path)
-    single = fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isFile()
-    if bgzf.block_size(magic, 0) is None or not single:
+    if bgzf.block_size(magic, 0) is None or not _arrow_opens(_first_file(spark, path)[1].toString()):
         return _gzip_lines(spark, path)
-    uri, n = p.toString(), max(1, -(-size // split_bytes))
-    starts = spark.range(0, n, 1, n).select("id")
+    # the files stay in the plan, so that writing on them is refused; their content is not read here
+    ranges = F.greatest(F.ceil(F.col("length") / split_bytes), F.lit(1))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", ranges.alias("n"))
+    n, size = files.agg(F.sum("n"), F.sum("length")).first()
+    files = files.withColumn("first", F.sum("n").over(Window.orderBy("path")) - F.col("n"))
+    cut = files.select("path", "length", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    cut = cut.select("path", "length", (F.col("k") * split_bytes).alias("start"), (F.col("first") + F.col("k")).alias("range"))
+    tasks = max(-(-size // split_bytes), min(n, 4 * spark.sparkContext.defaultParallelism))
+    return cut.repartitionById(tasks, F.floor(F.col("range") * tasks / n).cast("int")).mapInArrow(_range_reader(split_bytes), "row_id long, value string")
+
+
+def _arrow_opens(uri: str) -> bool:
+    from pyarrow import fs as arrow_fs
+
+    try:
+        system, place = arrow_fs.FileSystem.from_uri(uri)
+        return system.get_file_info(place).is_file
+    except (pa.ArrowInvalid, NotImplementedError, OSError):
+        return False
+
+
+def _range_reader(split_bytes: int):
+    def texts(stream, start: int, size: int) -> Iterator[bytes]:
+        magic = stream.read(18)
+        if bgzf.block_size(magic, 0) is not None:
+            return bgzf.pieces(stream, start, min(size, start + split_bytes), size)
+        # another file among the folder's: its first range is all of it
+        stream.seek(0)
+        source = gzip.open(stream) if magic[:2] == b"\x1f\x8b" else stream
+        return bgzf.whole_lines(iter(lambda: source.read(1 << 20), b"")) if not start else iter(())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as arrow_fs
 
-        system, place = arrow_fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                ids, values = [], []
+            for r in batch.to_pylist():
+                system, place = arrow_fs.FileSystem.from_uri(r["path"])
+                at = r["range"] << 33
                 with system.open_input_file(place) as stream:
-                    for i, line in enumerate(bgzf.lines(stream, k * split_bytes, min(size, (k + 1) * split_bytes), size)):
-                        ids.append((k << 33) + i)
-                        values.append(line.decode("utf-8"))
-                        if len(ids) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "value"])
-                            ids, values = [], []
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["row_id", "value"])
+                    for text in texts(stream, r["start"], r["length"]):
+                        values = _split_lines(text)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(values))), values], names=["row_id", "value"])
+                        at += len(values)
+
+    return run
+
 
-    return starts.mapInArrow(run, "row_id long, value string")
+def _split_lines(text: bytes) -> pa.Array:
+    """The lines of a text, whose last line feed may lack."""
+    data = np.frombuffer(text if text.endswith(b"\n") else text + b"\n", np.uint8)
+    feeds = data == 10
+    ends = np.flatnonzero(feeds)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data[~feeds]))
 
 
 def _gzip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +134,6 @@ def _gzip_lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "value")
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for content in batch.column(0):
                 found = gzip.decompress(content.as_py()).decode("utf-8").split("\n")
@@ -262,7 +295,10 @@ def write_vcf(df: DataFrame, header: VariantHeader, path: str, compress: bool |
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-    return ("".join(f"{v}\n" for v in b.column(0).to_pylist()).encode("utf-8") for b in batches)
+    for b in batches:
+        if b.num_rows:
+            lines = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            yield pc.binary_join(lines, "\n")[0].as_buffer().to_pybytes() + b"\n"
 
 
 def commit_blocks(df: DataFrame, chunks, path: str, suffix: str, *, compress: bool = True, overwrite: bool = False) -> None:
