@@ -109,7 +109,7 @@ def test_a_folder_may_hold_parts_of_other_kinds(spark, tmp_path):
     (tmp_path / "b.vcf").write_bytes(text(2000, 6000))
     (tmp_path / "c.vcf.gz").write_bytes(gzip.compress(text(6000, 6100)) + gzip.compress(b"\n" + text(6100, 8000)))
     (tmp_path / "d.vcf").write_bytes(b"")
-    (tmp_path / "e.vcf.gz").write_bytes(blocked(text(8000, 9000), 5000))
+    (tmp_path / "e f%20 é.vcf.gz").write_bytes(blocked(text(8000, 9000), 5000))
     for split in (10_000, 64 << 20):
         assert [r.value for r in read_lines(spark, str(tmp_path), split).orderBy("row_id").collect()] == lines
 
@@ -129,3 +129,13 @@ def test_a_line_that_is_no_utf8_is_read_as_in_a_plain_file(spark, tmp_path):
     (tmp_path / "x.txt.gz").write_bytes(blocked(text, 5))
     read = lambda name: [r.value for r in read_lines(spark, str(tmp_path / name)).orderBy("row_id").collect()]
     assert read("x.txt.gz") == read("x.txt")
+
+
+@pytest.mark.parametrize("compress", [False, "bgzf"])
+def test_conditions_on_rows_meet_no_comment(spark, tmp_path, compress):
+    (tmp_path / "in.vcf").write_text(HEAD + "\n\n" + "\n".join(body(30)) + "\n")
+    df, header = read_vcf(spark, str(tmp_path / "in.vcf"))
+    write_vcf(df, header, str(tmp_path / "out"), compress=compress)
+    for path in ("in.vcf", "out"):
+        rows = read_vcf(spark, str(tmp_path / path))[0].where("(chrom = 'chr1' AND pos BETWEEN 10 AND 15) OR chrom = 'chr2' OR (contig_idx = 0 AND pos < 3)")
+        assert sorted(r.pos for r in rows.collect()) == [1, 2, *range(10, 16)]

@@ -83,11 +83,16 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> D
     return cut.repartitionById(tasks, F.floor(F.col("range") * tasks / n).cast("int")).mapInArrow(_range_reader(split_bytes), "row_id long, value string")
 
 
-def _arrow_opens(uri: str) -> bool:
+def _arrow_place(uri: str):
+    """(pyarrow file system, path in it) of a path as Hadoop spells it, which escapes nothing."""
     from pyarrow import fs as arrow_fs
 
+    return (arrow_fs.LocalFileSystem(), uri[5:]) if uri.startswith("file:/") else arrow_fs.FileSystem.from_uri(uri)
+
+
+def _arrow_opens(uri: str) -> bool:
     try:
-        system, place = arrow_fs.FileSystem.from_uri(uri)
+        system, place = _arrow_place(uri)
         return system.get_file_info(place).is_file
     except (pa.ArrowInvalid, NotImplementedError, OSError):
         return False
@@ -104,11 +109,9 @@ def _range_reader(split_bytes: int):
         return bgzf.whole_lines(iter(lambda: source.read(1 << 20), b"")) if not start else iter(())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as arrow_fs
-
         for batch in batches:
             for r in batch.to_pylist():
-                system, place = arrow_fs.FileSystem.from_uri(r["path"])
+                system, place = _arrow_place(r["path"])
                 at = r["range"] << 33
                 with system.open_input_file(place) as stream:
                     for text in texts(stream, r["start"], r["length"]):
@@ -187,9 +190,11 @@ def parse_records(lines: DataFrame, header: VariantHeader) -> DataFrame:
     cols = F.split("value", "\t")
     n_cols = 8 + (1 + len(header.samples) if header.samples else 0)
     bad = F.raise_error(F.concat(F.lit("malformed record "), F.col("row_id").cast("string")))
-    rows = lines.withColumn("c", let(cols, lambda x: F.when(F.size(x) >= n_cols, x).otherwise(bad.cast("array<string>"))))
+    # a condition on the rows may be evaluated before the one that leaves comments out, so comments must not fail
+    comment = F.col("value").startswith("#") | F.col("value").isin("", "\r")
+    rows = lines.withColumn("c", let(cols, lambda x: F.when(comment, None).when(F.size(x) >= n_cols, x).otherwise(bad.cast("array<string>"))))
     c = lambda i: F.get("c", F.lit(i))
-    pos = let(F.when(c(1).rlike(r"^\d+$"), c(1).cast("long")), lambda p: F.when(p.between(1, 2147483647), p).otherwise(bad.cast("long")).cast("int"))
+    pos = let(F.when(c(1).rlike(r"^\d+$"), c(1).cast("long")), lambda p: F.when(p.between(1, 2147483647), p).when(F.col("c").isNotNull(), bad.cast("long")).cast("int"))
     listed = lambda t, sep: F.when(t == ".", F.array().cast("array<string>")).otherwise(F.split(t, sep))
     idx = F.lit(None).cast("int")
     for i, name in enumerate(header.contigs):
